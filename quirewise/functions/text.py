@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -23,13 +22,17 @@ from ..rules import (
     SCHOOL_QUANTIFIERS,
     SCHOOL_REJECTS,
     SCHOOL_SUFFIXES,
+    DIGIT,
     WS,
+    WS_CHARS,
+    WS_SET,
     YEAR_CANDIDATE,
     RuleProfile,
+    any_of,
 )
 
 SCHOOL = (
-    rf"(?U)({HAN}{{2,16}}?(?:{'|'.join(SCHOOL_SUFFIXES)}))"
+    rf"({HAN}{{2,16}}?(?:{'|'.join(SCHOOL_SUFFIXES)}))"
     rf"{WS}*([（(]{WS}*({HAN}{{1,10}}){WS}*[)）])?"
 )
 # A school name can only come from text holding one of these characters.
@@ -46,30 +49,24 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def any_of(words: Iterable[str]) -> str:
-    """Alternation matching any of the literal words."""
-    return "|".join(re.escape(w) for w in words)
-
-
 def nonempty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
 def strip(c: Column) -> Column:
-    # The look-behind lets a long inner run of blanks fail once, not once per blank.
-    return F.regexp_replace(c, rf"(?U)^{WS}++|(?<!{WS}){WS}++$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{WS}++", "")
+    return F.ltrim(c, F.lit(WS_CHARS))
 
 
 def drop_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){WS}+", "")
+    return F.translate(c, WS_CHARS, "")
 
 
 def squeeze_space(c: Column) -> Column:
-    return strip(F.regexp_replace(c, rf"(?U){WS}+", " "))
+    return strip(F.regexp_replace(c, f"{WS}+", " "))
 
 
 def lines(c: Column) -> Column:
@@ -94,10 +91,24 @@ def min_length_lines(c: Column, n: int = 4) -> Column:
     return F.filter(lines(c), lambda x: F.length(x) >= n)
 
 
+def constant(rows: Iterable[tuple], *names: str) -> Column:
+    """A fixed table as one literal array of structs."""
+    quote = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    structs = (
+        "struct(" + ", ".join(f"{quote(v)} AS {n}" for v, n in zip(row, names)) + ")" for row in rows
+    )
+    return F.expr(f"array({', '.join(structs)})")
+
+
 def replace_pairs(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
-    for old, new in pairs:
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return c
+    """Literal replacements one after the other.
+
+    A fold over a literal table keeps the expression small however often the
+    correction is used in a plan.
+    """
+    return F.aggregate(
+        constant(pairs, "old", "new"), c, lambda acc, p: F.replace(acc, p["old"], p["new"])
+    )
 
 
 def apply_fix(c: Column, rules: RuleProfile = CN_EXAM) -> Column:
@@ -130,12 +141,12 @@ def restore_placeholder(c: Column) -> Column:
 def strip_lead(c: Column) -> Column:
     """item numbers and their misreadings at the start of a line."""
     c = F.regexp_replace(c, f"^[{CIRCLED}]+", "")
-    c = F.regexp_replace(c, rf"(?U)^[(（]{WS}*\d+{WS}*[)）]{WS}*", "")
-    c = F.regexp_replace(c, rf"(?U)^\d++[.、)）]{WS}*", "")
+    c = F.regexp_replace(c, rf"^[(（]{WS}*{DIGIT}+{WS}*[)）]{WS}*", "")
+    c = F.regexp_replace(c, rf"^{DIGIT}++[.、)）]{WS}*", "")
     c = F.regexp_replace(c, "^四(?!川)", "")
-    c = F.regexp_replace(c, rf"(?U)['\"‘’“”]{WS}*[a-zA-Z]{{0,3}}{WS}*", "")
+    c = F.regexp_replace(c, rf"['\"‘’“”]{WS}*[a-zA-Z]{{0,3}}{WS}*", "")
     return F.regexp_replace(
-        lstrip(c), rf"(?U)^(?:(?:{any_of(NOISE_WORDS)}|[{NOISE_CHARS}]){WS}*)++", ""
+        lstrip(c), rf"^(?:(?:{any_of(NOISE_WORDS)}|[{NOISE_CHARS}]){WS}*)++", ""
     )
 
 
@@ -156,7 +167,7 @@ def normalize_title(c: Column, rules: RuleProfile = CN_EXAM) -> Column:
 def clean_school_name(c: Column, rules: RuleProfile = CN_EXAM) -> Column:
     """F7"""
     c = lstrip(restore_placeholder(apply_fix(c, rules)))
-    c = F.regexp_replace(c, rf"(?U)^(?:[{NAME_NOISE_CHARS}]{WS}*)++", "")
+    c = F.regexp_replace(c, rf"^(?:[{NAME_NOISE_CHARS}]{WS}*)++", "")
     return F.regexp_replace(c, f"^{PLACEHOLDER}(?=[{CITY_CHARS}])", "")
 
 
@@ -168,14 +179,14 @@ def clean_title(c: Column, rules: RuleProfile = CN_EXAM) -> Column:
     c = F.regexp_replace(c, r"真卷语\(", "真卷英语(")
     c = F.regexp_replace(c, r"分班语\(", "分班英语(")
     c = F.regexp_replace(
-        c, rf"(?U)(?<!\d)\d++\){WS}*(?=\d{{4}}{WS}*届|初{WS}*\d{{4}})", ""
+        c, rf"(?<!{DIGIT}){DIGIT}++\){WS}*(?={DIGIT}{{4}}{WS}*届|初{WS}*{DIGIT}{{4}})", ""
     )
     c = F.regexp_replace(
-        c, rf"(?U){WS}*[|—\-«~•·]+{WS}*(?=\d{{4}}{WS}*[届级]|初{WS}*\d{{4}})", ""
+        c, rf"{WS}*[|—\-«~•·]+{WS}*(?={DIGIT}{{4}}{WS}*[届级]|初{WS}*{DIGIT}{{4}})", ""
     )
-    c = F.regexp_replace(c, rf"(?U)(?<!成)华{WS}*[(（]{WS}*校{WS}*区{WS}*[)）]", "成华（校区）")
-    tail = r"[\s\x1c-\x1f©®|、．·a-zA-Z]"
-    return F.regexp_replace(c, rf"(?U)(?<!{tail}){tail}++$", "")
+    c = F.regexp_replace(c, rf"(?<!成)华{WS}*[(（]{WS}*校{WS}*区{WS}*[)）]", "成华（校区）")
+    tail = rf"[{WS_SET}©®|、．·a-zA-Z]"
+    return F.regexp_replace(c, rf"(?<!{tail}){tail}++$", "")
 
 
 # --- predicates ------------------------------------------------------------
@@ -247,11 +258,16 @@ def year_from_line(c: Column, rules: RuleProfile = CN_EXAM) -> Column:
     )
 
 
-def year_relaxed(c: Column, following: Column, rules: RuleProfile = CN_EXAM) -> Column:
-    """any plausible number once this or the next line carries a hint."""
+def year_relaxed(
+    c: Column, following: Column, rules: RuleProfile = CN_EXAM, strict: Column | None = None
+) -> Column:
+    """any plausible number once this or the next line carries a hint.
+
+    ``strict`` is the line's F9 year when the caller has it already.
+    """
     hints = any_of(rules.relaxed_year_hints)
     return F.coalesce(
-        year_from_line(c, rules),
+        year_from_line(c, rules) if strict is None else strict,
         F.when(c.rlike(hints) | following.rlike(hints), _first_plausible(c, YEAR_CANDIDATE, rules)),
     )
 
@@ -283,11 +299,22 @@ def _without_latin(c: Column) -> Column:
     return drop_space(F.regexp_replace(c, LATIN_JUNK, ""))
 
 
+def school_in_first(texts: Column, rules: RuleProfile = CN_EXAM) -> Column:
+    """F11 on the first of several readings that shows a school."""
+    none = F.lit(None).cast("struct<school:string,branch:string>")
+    return F.aggregate(texts, none, lambda acc, t: F.coalesce(acc, school_in_line(t, rules)))
+
+
+def noisy_reading(c: Column) -> Column:
+    """A polluted line with Latin, digits, brackets and blanks taken out."""
+    return _without_latin(strip_lead(c))
+
+
 def school_in_noisy_line(c: Column, rules: RuleProfile = CN_EXAM) -> Column:
     """F12"""
     return F.when(
         c.rlike(SCHOOL_HINT_CHARS),
-        bind(_without_latin(strip_lead(c)), lambda s: school_in_line(s, rules)),
+        bind(noisy_reading(c), lambda s: school_in_line(s, rules)),
     )
 
 
@@ -303,15 +330,12 @@ def school_in_full_text(full: Column, rules: RuleProfile = CN_EXAM) -> Column:
 
 def subject_in(c: Column, rules: RuleProfile = CN_EXAM) -> Column:
     """prefix order decides before subject order."""
+    marks = [(pre + sub, sub) for pre in rules.subject_prefixes for sub in rules.subjects]
     return bind(
         fix_subject(c, rules),
-        lambda b: F.coalesce(
-            *[
-                F.when(F.contains(b, F.lit(pre + s)), F.lit(s))
-                for pre in rules.subject_prefixes
-                for s in rules.subjects
-            ]
-        ),
+        lambda b: F.get(
+            F.filter(constant(marks, "mark", "subject"), lambda m: F.contains(b, m["mark"])), F.lit(0)
+        )["subject"],
     )
 
 
@@ -409,11 +433,11 @@ def output_name(title: Column, school: Column, branch: Column, year: Column) ->
 def prefix_year(c: Column, rules: RuleProfile = CN_EXAM) -> Column:
     """put the prefix before a bare year."""
     if rules.strict_year_prefix:
-        return F.regexp_replace(c, rf"(?U)(?:初{WS}*)?(?<!\d)(\d{{4}})届", "初$1届")
-    return F.regexp_replace(c, r"(?U)(?<!初)(\d{4})届", "初$1届")
+        return F.regexp_replace(c, rf"(?:初{WS}*)?(?<!{DIGIT})({DIGIT}{{4}})届", "初$1届")
+    return F.regexp_replace(c, rf"(?<!初)({DIGIT}{{4}})届", "初$1届")
 
 
-TITLE_PARTS = rf"(?Ud)^(.*?)(?:[(（](.*?)[)）])?{WS}*初{WS}*(\d{{4}}){WS}*届"
+TITLE_PARTS = rf"(?d)^(.*?)(?:[(（](.*?)[)）])?{WS}*初{WS}*({DIGIT}{{4}}){WS}*届"
 
 
 def parse_title(c: Column) -> Column:

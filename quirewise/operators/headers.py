@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,13 +16,15 @@ from ..rules import (
     TIME_LIMIT,
     VOLUME_MARK,
     VOLUME_NAME,
+    WS_SET,
     RuleProfile,
+    any_of,
 )
 
 HEADER = "struct<school:string,branch:string,year:string,title:string,volume:boolean>"
 HEADERS = f"array<{HEADER}>"
 # Cheap necessary conditions, tried before anything is normalised.
-FOUR_DIGITS = r"(?U)\d\D*+\d\D*+\d\D*+\d"
+FOUR_DIGITS = "[0-9０-９](?:[^0-9０-９]*+[0-9０-９]){3}"
 STRICT_GATE = T.SCHOOL_HINT_CHARS
 RELAXED_GATE = "[学中川届级班卷初]"
 NONE = lambda: F.lit(None).cast(HEADER)
@@ -43,7 +47,7 @@ def _strict_title(n: Column, rules: RuleProfile) -> Column:
     from_school = F.regexp_extract(n, "(?s)" + T.SCHOOL + ".*", 0)
     cut = F.regexp_replace(
         T.normalize_title(from_school, rules),
-        rf"(?U)(?<![\s\x1c-\x1f。，；:])[\s\x1c-\x1f。，；:]++$",
+        f"(?<![{WS_SET}。，；:])[{WS_SET}。，；:]++$",
         "",
     )
     return T.clean_title(cut, rules)
@@ -78,101 +82,95 @@ def strict_header(line: Column, rules: RuleProfile = CN_EXAM) -> Column:
 def strict_headers(text: Column, rules: RuleProfile = CN_EXAM) -> Column:
     """H1 + W6 + U2: distinct header candidates of a text, in order.
 
-    One left fold over the lines.  ``held`` is the candidate still open to
-    short follow-on lines, ``taken`` its merged text, ``skip`` says that the
-    next line already went into a two-line header.
+    Only lines with a school character or a subtitle word can start, extend or
+    complete a header; the fold runs over those.  Each gets three tries, in
+    order: extend the held header, stand alone, form a pair with the next
+    line.  ``held`` is the header still open to follow-on lines, ``taken`` its
+    text so far and ``used`` the last line that went into one.
     """
-    state = "struct<found:{0},held:{1},taken:string,skip:boolean>".format(HEADERS, HEADER)
+    state = f"struct<found:{HEADERS},held:{HEADER},taken:string,used:int>"
+    empty = F.array().cast(HEADERS)
+    zero = F.struct(
+        empty.alias("found"),
+        NONE().alias("held"),
+        F.lit(None).cast("string").alias("taken"),
+        F.lit(-1).alias("used"),
+    ).cast(state)
 
-    def start_at(ls: Column, i: Column) -> Column:
-        line, nxt = F.get(ls, i), F.get(ls, i + 1)
-        alone = strict_header(line, rules)
-        pair = F.concat(line, nxt)
-        return bind(
-            alone,
-            lambda c: F.when(
-                c.isNotNull(), F.struct(c.alias("h"), line.alias("t"), F.lit(False).alias("p"))
-            ).otherwise(
-                F.when(
-                    T.is_short_subtitle(nxt, rules=rules)
-                    & T.school_in_line(line, rules).isNotNull(),
-                    F.struct(
-                        strict_header(pair, rules).alias("h"), pair.alias("t"), F.lit(True).alias("p")
-                    ),
-                )
-            ),
-        )
+    def short(x: Column) -> Column:
+        return F.coalesce(T.is_short_subtitle(x, rules=rules), F.lit(False))
 
-    def grown(acc: Column, line: Column) -> Column:
-        merged = F.concat(acc["taken"], line)
-        return F.when(
-            acc["held"].isNotNull()
-            & T.is_short_subtitle(line, rules=rules)
-            & T.school_in_line(line, rules).isNull(),
-            strict_header(merged, rules),
+    def relevant(ls: Column) -> Column:
+        told = f"{T.SCHOOL_HINT_CHARS}|{any_of(rules.subtitle_hints)}"
+        found = F.filter(
+            F.transform(ls, lambda x, i: F.struct(x.alias("t"), i.alias("i"))),
+            lambda x: x["t"].rlike(told),
         )
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["held"].isNotNull(), F.array_append(acc["found"], acc["held"])).otherwise(
-            acc["found"]
-        )
+        def flags(x: Column) -> Column:
+            nxt = F.get(ls, x["i"] + 1)
+            return F.struct(
+                x["i"].alias("i"),
+                x["t"].alias("t"),
+                nxt.alias("next"),
+                short(x["t"]).alias("short"),
+                short(nxt).alias("next_short"),
+                F.when(
+                    short(x["t"]) | short(nxt), T.school_in_line(x["t"], rules).isNotNull()
+                ).alias("school"),
+            )
+
+        return F.transform(found, flags)
+
+    def step(acc: Column, m: Column, rel: Column) -> Column:
+        def tried(x: Column, turn: Column) -> Column:
+            holding = acc["held"].isNotNull()
+            fresh = x["i"] > acc["used"]
+            extends = holding & (x["i"] == acc["used"] + 1) & x["short"] & ~x["school"]
+            trial = F.when(
+                fresh,
+                F.when((turn == 0) & extends, F.concat(acc["taken"], x["t"]))
+                .when((turn == 1) & ~holding, x["t"])
+                .when((turn == 2) & ~holding & x["next_short"] & x["school"], F.concat(x["t"], x["next"])),
+            )
 
-    def step(acc: Column, i: Column, ls: Column) -> Column:
-        line = F.get(ls, i)
+            def settle(h: Column) -> Column:
+                last = F.when(turn == 2, x["i"] + 1).otherwise(x["i"])
+                return (
+                    F.when(h.isNotNull(), _state(acc["found"], h, trial, last))
+                    .when(
+                        fresh & (turn == 0) & holding,
+                        _state(F.array_append(acc["found"], acc["held"]), NONE(), F.lit(None), acc["used"]),
+                    )
+                    .otherwise(acc)
+                )
 
-        def begin(s: Column) -> Column:
-            hit = s["h"].isNotNull()
-            return F.struct(
-                closed(acc).alias("found"),
-                s["h"].alias("held"),
-                F.when(hit, s["t"]).alias("taken"),
-                (hit & s["p"]).alias("skip"),
-            ).cast(state)
+            return bind(trial, lambda t: bind(strict_header(t, rules), settle))
 
-        return F.when(
-            F.coalesce(acc["skip"], F.lit(False)),
-            F.struct(
-                acc["found"].alias("found"),
-                acc["held"].alias("held"),
-                acc["taken"].alias("taken"),
-                F.lit(False).alias("skip"),
-            ).cast(state),
-        ).otherwise(
-            bind(
-                grown(acc, line),
-                lambda g: F.when(
-                    g.isNotNull(),
-                    F.struct(
-                        acc["found"].alias("found"),
-                        g.alias("held"),
-                        F.concat(acc["taken"], line).alias("taken"),
-                        F.lit(False).alias("skip"),
-                    ).cast(state),
-                ).otherwise(bind(start_at(ls, i), begin)),
+        return bind(F.get(rel, F.floor(m / 3).cast("int")), lambda x: tried(x, m % 3))
+
+    def _state(found, held, taken, used) -> Column:
+        return F.struct(
+            found.alias("found"), held.alias("held"), taken.alias("taken"), used.alias("used")
+        ).cast(state)
+
+    def finish(acc: Column) -> Column:
+        return F.array_distinct(
+            F.when(acc["held"].isNotNull(), F.array_append(acc["found"], acc["held"])).otherwise(
+                acc["found"]
             )
         )
 
-    empty = F.array().cast(HEADERS)
-    zero = F.struct(
-        empty.alias("found"),
-        NONE().alias("held"),
-        F.lit(None).cast("string").alias("taken"),
-        F.lit(False).alias("skip"),
-    ).cast(state)
+    def fold(rel: Column) -> Column:
+        turns = F.sequence(F.lit(0), F.size(rel) * 3 - 1)
+        return F.when(
+            F.size(rel) > 0, F.aggregate(turns, zero, lambda acc, m: step(acc, m, rel), finish)
+        ).otherwise(empty)
 
-    folded = bind(
-        T.min_length_lines(text, 4),
-        lambda ls: F.when(
-            F.size(ls) > 0,
-            F.aggregate(
-                F.sequence(F.lit(0), F.size(ls) - 1),
-                zero,
-                lambda acc, i: step(acc, i, ls),
-                lambda acc: F.array_distinct(closed(acc)),
-            ),
-        ).otherwise(empty),
-    )
-    return F.when(text.rlike(STRICT_GATE) & text.rlike(FOUR_DIGITS), folded).otherwise(empty)
+    return F.when(
+        text.rlike(STRICT_GATE) & text.rlike(FOUR_DIGITS),
+        bind(T.min_length_lines(text, 4), lambda ls: bind(relevant(ls), fold)),
+    ).otherwise(empty)
 
 
 # --- relaxed ----------------------------------------------------------------
@@ -199,20 +197,22 @@ def relaxed_header(
         def one(x: Column, i: Column) -> Column:
             in_band = i < band
             nxt = F.coalesce(F.get(ls, i + 1), F.lit(""))
-            return bind(
-                T.year_relaxed(x, nxt, rules),
-                lambda y: F.struct(
+
+            def dated(yl: Column) -> Column:
+                y = T.year_relaxed(x, nxt, rules, strict=yl)
+                return F.struct(
                     x.alias("t"),
                     F.when(
                         in_band & x.rlike(T.SCHOOL_HINT_CHARS) & ~T.is_body_line(x, 45, rules),
-                        F.coalesce(T.school_in_noisy_line(x, rules), T.school_in_line(x, rules)),
+                        T.school_in_first(F.array(T.noisy_reading(x), x), rules),
                     ).alias("so"),
                     y.alias("y"),
-                    F.when(in_band & y.isNotNull() & ~T.is_body_line(x, 60, rules), y).alias("ys"),
-                    F.when(in_band, T.year_from_line(x, rules)).alias("yl"),
+                    (in_band & ~T.is_body_line(x, 60, rules)).alias("title_like"),
+                    F.when(in_band, yl).alias("yl"),
                     T.has_subtitle(x, rules).alias("sub"),
-                ),
-            )
+                )
+
+            return bind(T.year_from_line(x, rules), dated)
 
         return F.transform(ls, one)
 
@@ -228,49 +228,50 @@ def relaxed_header(
         index = F.sequence(F.lit(0), F.size(v) - 1)
         return F.get(F.filter(index, lambda i: test(F.get(v, i), i)), F.lit(0))
 
+    # A detector's finding before the title is built: the line the title is
+    # read around, the school and the year.
+    def finding(at: Column, so: Column, year: Column) -> Column:
+        return F.struct(at.alias("at"), so.alias("so"), year.alias("year"))
+
     def strong(v: Column, yi: Column) -> Column:
-        def titled(si: Column) -> Column:
-            in_column = F.get(v, si)["so"]
+        def with_school(si: Column) -> Column:
             lost = no_school if full is None else T.school_in_full_text(full, rules)
-            return bind(
-                F.when(si.isNotNull(), in_column).otherwise(lost),
-                lambda so: _titled(v, F.greatest(F.coalesce(si, F.lit(-1)), yi), so, F.get(v, yi)["ys"]),
-            )
-
-        return bind(first_index(v, lambda x, i: x["so"].isNotNull()), titled)
+            so = F.when(si.isNotNull(), F.get(v, si)["so"]).otherwise(lost)
+            return finding(F.greatest(F.coalesce(si, F.lit(-1)), yi), so, F.get(v, yi)["y"])
 
-    def _titled(v: Column, at: Column, so: Column, year: Column) -> Column:
-        school = F.coalesce(so["school"], F.lit(rules.unnamed_school))
-        title = T.canonical_title(blob_at(v, at), school, so["branch"], year, subject, rules)
-        return _header(school, so["branch"], year, title)
+        return bind(first_index(v, lambda x, i: x["so"].isNotNull()), with_school)
 
     def vouched(v: Column, i: Column) -> Column:
         """A subtitle or a marks-and-minutes line close to the school line."""
         near = around(v, i)
-        blob = blob_at(v, i)
-        return F.exists(near, lambda x: x["sub"]) | (blob.rlike(FULL_MARKS) & blob.rlike(TIME_LIMIT))
+        return F.exists(near, lambda x: x["sub"]) | bind(
+            blob_at(v, i), lambda b: b.rlike(FULL_MARKS) & b.rlike(TIME_LIMIT)
+        )
 
     def medium(v: Column) -> Column:
-        at = first_index(v, lambda x, i: x["so"].isNotNull() & vouched(v, i))
-
-        def titled(i: Column) -> Column:
+        def with_year(i: Column) -> Column:
             after = F.filter(F.slice(v, i + 1, 5), lambda x: x["y"].isNotNull())
             top = F.filter(v, lambda x: x["yl"].isNotNull())
             year = F.coalesce(F.get(after, F.lit(0))["y"], F.get(top, F.lit(0))["yl"])
-            return F.when(
-                i.isNotNull(), bind(year, lambda y: _titled(v, i, F.get(v, i)["so"], y))
-            )
+            return F.when(i.isNotNull(), finding(i, F.get(v, i)["so"], year))
 
-        return bind(at, titled)
+        return bind(first_index(v, lambda x, i: x["so"].isNotNull() & vouched(v, i)), with_year)
+
+    def titled(v: Column, f: Column) -> Column:
+        school = F.coalesce(f["so"]["school"], F.lit(rules.unnamed_school))
+        branch = f["so"]["branch"]
+        title = bind(
+            blob_at(v, f["at"]),
+            lambda b: T.canonical_title(b, school, branch, f["year"], subject, rules),
+        )
+        return F.when(f.isNotNull(), _header(school, branch, f["year"], title))
 
     def detect(v: Column) -> Column:
-        return F.when(
-            F.size(v) > 0,
-            bind(
-                first_index(v, lambda x, i: x["ys"].isNotNull()),
-                lambda yi: F.when(yi.isNotNull(), strong(v, yi)).otherwise(medium(v)),
-            ),
+        year_line = first_index(v, lambda x, i: x["title_like"] & x["y"].isNotNull())
+        found = bind(
+            year_line, lambda yi: F.when(yi.isNotNull(), strong(v, yi)).otherwise(medium(v))
         )
+        return F.when(F.size(v) > 0, bind(found, lambda f: titled(v, f)))
 
     top_lines = F.slice(T.strip_noise(T.nonblank_lines(text), rules), 1, band + 5)
     return F.when(
@@ -344,26 +345,31 @@ def volume_header(texts: Column, rules: RuleProfile = CN_EXAM) -> Column:
 # --- cascade ----------------------------------------------------------------
 
 
-def column_headers(
-    text: Column, full: Column, book_subject: Column, rules: RuleProfile = CN_EXAM
-) -> Column:
-    """H4: strict candidates, else one relaxed or volume header.
+@functools.lru_cache(maxsize=16)
+def column_headers(texts: str, full: str, subject: str, rules: RuleProfile = CN_EXAM) -> Column:
+    """H4 over the column texts of a page: strict candidates, else one relaxed
+    or volume header.
 
-    struct<strict: array, loose: header>; ``loose`` is looked for only when no
-    strict candidate exists.
+    array<struct<strict: array, loose: header>>; ``loose`` is looked for only
+    when no strict candidate exists.  The arguments are column names, so the
+    expression is the same for every table and is built once.
     """
-    return bind(
-        strict_headers(text, rules),
-        lambda hs: F.struct(
-            hs.alias("strict"),
-            F.when(
-                F.size(hs) == 0,
-                F.coalesce(
-                    relaxed_header(text, full, book_subject, rules),
-                    volume_header(F.array(text), rules),
-                ),
-            )
-            .otherwise(NONE())
-            .alias("loose"),
-        ),
-    )
+
+    def one(text: Column) -> Column:
+        return bind(
+            strict_headers(text, rules),
+            lambda hs: F.struct(
+                hs.alias("strict"),
+                F.when(
+                    F.size(hs) == 0,
+                    F.coalesce(
+                        relaxed_header(text, F.col(full), F.col(subject), rules),
+                        volume_header(F.array(text), rules),
+                    ),
+                )
+                .otherwise(NONE())
+                .alias("loose"),
+            ),
+        )
+
+    return F.transform(F.col(texts), one)

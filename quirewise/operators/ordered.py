@@ -34,6 +34,7 @@ def rank_in_group(
     rows = df.withColumns(
         {**{k: F.struct(F.col(g).alias("v")) for k, g in zip(keys, group)}, "__block": block_of(order, width)}
     )
+    rows = rows.filter("__block IS NOT NULL")
     sizes = rows.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(
         Window.unboundedPreceding, -1
@@ -61,7 +62,7 @@ def salted_lookup(
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     salted = lookup.withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")
+        "__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))
     )
     return (
         rows.withColumn("__salt", F.pmod(spread.cast("long"), F.lit(salts).cast("long")))

@@ -38,9 +38,11 @@ def segment_columns(subpages: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
     signal = F.when(
         closed | F.col("key").isNotNull(), F.struct(closed.alias("closed"), F.col("key").alias("key"))
     )
+    # The filter says what the join below would infer anyway.  Said here, both
+    # uses of the rows get the same plan and share one exchange.
     rows = subpages.select(
         "book_id", "page", "col", signal.alias("signal"), block_of("page", width).alias("block")
-    )
+    ).filter("book_id IS NOT NULL AND block IS NOT NULL")
     ordered = Window.partitionBy("book_id", "block").orderBy("page", "col")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -58,9 +60,10 @@ def segment_columns(subpages: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
             F.coalesce(opens & prev.isNotNull() & (prev["closed"] | _differs(prev, sig)), F.lit(False)),
         )
         .withColumn("kept_in", F.coalesce(~F.col("state")["closed"], F.lit(False)))
+        .withColumn("in_head", F.col("state").isNull())
         .withColumn("n_starts", F.count_if(F.col("starts_in")).over(so_far))
         .withColumn("n_kept", F.count_if(F.col("kept_in")).over(so_far))
-        .withColumn("n_head", F.count_if(F.col("state").isNull()).over(so_far))
+        .withColumn("n_head", F.count_if(F.col("in_head")).over(so_far))
     )
     place = F.struct("page", "col")
     blocks = local.groupBy("book_id", "block").agg(
@@ -107,7 +110,7 @@ def segment_columns(subpages: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
             "opened_before",
         )
     )
-    in_head = F.col("state").isNull()
+    in_head = F.col("in_head")
     joined = (
         local.join(entry, ["book_id", "block"])
         .withColumn("kept_row", F.when(in_head, F.col("enters")).otherwise(F.col("kept_in")))

@@ -89,10 +89,7 @@ def detect_headers(
     full = F.col("full")
     return (
         pages.withColumn("texts", texts)
-        .withColumn(
-            "found",
-            F.transform("texts", lambda t: column_headers(t, full, F.col("subject"), rules)),
-        )
+        .withColumn("found", column_headers("texts", "full", "subject", rules))
         .select(
             "book_id",
             "page",

@@ -6,11 +6,19 @@ plan-building time, so nothing here is shipped to executors as Python code.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-# Unicode white space as Java sees it under (?U), plus the four ASCII
-# separators that Java leaves out.
-WS = r"[\s\x1c-\x1f]"
+# White space spelt out: the class is cheaper to match than Java's  mode,
+# and the characters serve trim and translate, which need no regex at all.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+WS_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{WS_SET}]"
+DIGIT = r"\p{Nd}"
 HAN = r"[一-鿿]"
 
 # ---------------------------------------------------------------------------
@@ -70,10 +78,10 @@ SUBTITLE_HINTS = ("分班", "真卷", "真题", "新初一", "奖学金", "数
 RELAXED_YEAR_HINTS = ("分班", "入学", "新初一", "真卷")
 SUBJECTS = ("数学", "语文", "英语", "科学", "物理", "化学", "综合")
 SUBJECT_PREFIXES = ("真卷", "分班", "试卷", "考试")
-NOISE_LINE = (
-    "水印|正版|盗版|翻印|侵权|版权|必究|印次|印张|出版|书号|定价|"
-    "百年树人|品德第一|我做起|扫码|二维码|微信|公众号|淘宝|客服|"
-    "视频讲解|购买正版|举报"
+NOISE_LINE_WORDS = (
+    "水印", "正版", "盗版", "翻印", "侵权", "版权", "必究", "印次", "印张", "出版", "书号", "定价",
+    "百年树人", "品德第一", "我做起", "扫码", "二维码", "微信", "公众号", "淘宝", "客服",
+    "视频讲解", "购买正版", "举报",
 )
 BODY_PUNCT = "[。？?！!；;]"
 BODY_WORDS = (
@@ -81,22 +89,32 @@ BODY_WORDS = (
     "每小题", "共有", "则这", "那么",
 )
 YEAR_PATTERNS = (
-    rf"(?U)初{WS}*(\d{{4}}){WS}*(?:级|届)?",
-    rf"(?U)(\d{{4}}){WS}*届",
-    rf"(?U)(\d{{4}})(?:{WS}*[a-zA-Z]*)?{WS}*(?:届|级|分班|入学|新初一|真卷)",
+    rf"初{WS}*({DIGIT}{{4}}){WS}*(?:级|届)?",
+    rf"({DIGIT}{{4}}){WS}*届",
+    rf"({DIGIT}{{4}})(?:{WS}*[a-zA-Z]*)?{WS}*(?:届|级|分班|入学|新初一|真卷)",
 )
-YEAR_CANDIDATE = r"(?U)(\d{4})"
-VOLUME_MARK = rf"(?U)真卷精编{WS}*[（(]{WS}*([一二三四五六七八九十百0-9]+){WS}*[)）]?"
-ANSWER_MARK = rf"(?U)参考{WS}*答案"
+YEAR_CANDIDATE = rf"({DIGIT}{{4}})"
+VOLUME_MARK = rf"真卷精编{WS}*[（(]{WS}*([一二三四五六七八九十百0-9]+){WS}*[)）]?"
+ANSWER_MARK = rf"参考{WS}*答案"
 VOLUME_NAME = "名校|公立|私立|入学|人学|新生|初一"
-QUESTION_LINE = rf"(?U)^[一二三四五六七八九十]、|^第{WS}*\d+{WS}*题|答案|解析|选择题|填空题"
-FULL_MARKS = rf"(?U)满分{WS}*[：:]{WS}*\d+"
-TIME_LIMIT = rf"(?U)时[间加]{WS}*[：:]{WS}*\d+|\d+{WS}*分钟"
+QUESTION_LINE = rf"^[一二三四五六七八九十]、|^第{WS}*{DIGIT}+{WS}*题|答案|解析|选择题|填空题"
+FULL_MARKS = rf"满分{WS}*[：:]{WS}*{DIGIT}+"
+TIME_LIMIT = rf"时[间加]{WS}*[：:]{WS}*{DIGIT}+|{DIGIT}+{WS}*分钟"
 LAYOUTS = ("1-up", "2-up", "3-up")
 # End of the fixed values.
 # ---------------------------------------------------------------------------
 
 
+def any_of(words: Iterable[str]) -> str:
+    """Alternation matching any of the literal words.
+
+    For Han words one range test rules out every position of Latin text.
+    """
+    words = tuple(words)
+    ahead = f"(?={HAN})" if all(re.match(HAN, w) for w in words) else ""
+    return f"{ahead}(?:{'|'.join(re.escape(w) for w in words)})"
+
+
 @dataclass(frozen=True)
 class RuleProfile:
     """Text rules for one kind of collection."""
@@ -109,7 +127,7 @@ class RuleProfile:
     subjects: tuple = SUBJECTS
     subject_prefixes: tuple = SUBJECT_PREFIXES
     default_subject: str = "英语"
-    noise_line: str = NOISE_LINE
+    noise_line: str = any_of(NOISE_LINE_WORDS)
     noise_keep: tuple = field(default=YEAR_PATTERNS[:2])
     body_punct: str = BODY_PUNCT
     body_words: tuple = BODY_WORDS

@@ -285,5 +285,10 @@ def page_layout(pages: DataFrame, layout: DataFrame) -> DataFrame:
     return (
         pages.join(rows, ["book_id", "page"], "left")
         .withColumn("layout", F.coalesce("layout", F.lit("2-up")))
-        .withColumn("cuts", F.coalesce("cuts", default_cuts(F.lit("2-up"))))
+        # The always-true test ties the default to the pages' side.  Without
+        # it Spark 4.1 may move a later cuts[i].x0 below the outer join, where
+        # pages without a layout row have lost the default.
+        .withColumn(
+            "cuts", F.coalesce("cuts", F.when(F.col("page") >= 0, default_cuts(F.lit("2-up"))))
+        )
     )

@@ -49,7 +49,7 @@ def ink_profile(raster: DataFrame, p: LayoutProfile = SCAN) -> DataFrame:
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                yield pd.DataFrame(list(_bands(row, p)), columns=names).astype({"band": "Int32"})
+            found = [band for row in batch.itertuples(index=False) for band in _bands(row, p)]
+            yield pd.DataFrame(found, columns=names).astype({"band": "Int32"})
 
     return raster.select("book_id", "page", "w", "h", "n", "samples").mapInPandas(profile, PROFILE)

@@ -266,6 +266,8 @@ def apply_layout_overrides(
     order = F.col("seq") if "seq" in overrides.columns else F.col("layout")
     chosen = valid.groupBy("book_id", "page").agg(F.max_by("layout", order).alias("new_layout"))
     new = F.col("new_layout")
+    if "corrected" not in layout.columns:
+        layout = layout.withColumn("corrected", F.lit(False))
     return (
         layout.join(chosen, ["book_id", "page"], "left")
         .withColumn("old_layout", F.col("layout"))
@@ -279,8 +281,9 @@ def apply_layout_overrides(
 
 def page_layout(pages: DataFrame, layout: DataFrame) -> DataFrame:
     """J1 + J2: every page with its layout and windows, two halves by default."""
+    measured = F.when(F.size("cuts") > 0, F.col("cuts"))
     rows = layout.select(
-        "book_id", "page", "layout", F.when(F.size("cuts") > 0, F.col("cuts")).alias("cuts")
+        "book_id", "page", "layout", F.coalesce(measured, default_cuts(F.col("layout"))).alias("cuts")
     )
     return (
         pages.join(rows, ["book_id", "page"], "left")

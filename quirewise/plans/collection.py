@@ -35,8 +35,15 @@ class Result:
     segments: DataFrame
     slices: DataFrame
     manifest: DataFrame
-    verdicts: DataFrame
-    hidden: DataFrame
+    strips: DataFrame
+    subjects: DataFrame | None
+    rules: RuleProfile
+
+    def verify(self) -> tuple[DataFrame, DataFrame]:
+        """(verdict per long document, hidden headers inside)."""
+        return segments.verify_long(
+            self.exam, self.segments, strip_rows(self.strips), self.subjects, self.rules
+        )
 
 
 def _as_is(df: DataFrame, name: str) -> DataFrame:
@@ -75,9 +82,6 @@ def split_collections(
     exam = segments.roll_up(marked)
     segs = marked.select("book_id", "idx", "seq", "page", "col")
     slices = output.slice_plan(segs, lay, inputs.pages)
-    verdicts, hidden = segments.verify_long(
-        exam, segs, strip_rows(inputs.page_strip), subjects, rules
-    )
     return Result(
         layout=lay,
         subpages=sub,
@@ -85,8 +89,9 @@ def split_collections(
         segments=segs,
         slices=slices,
         manifest=output.manifest(exam, slices, naming),
-        verdicts=verdicts,
-        hidden=hidden,
+        strips=inputs.page_strip,
+        subjects=subjects,
+        rules=rules,
     )
 
 

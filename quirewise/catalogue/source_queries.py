@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import collection
-from ..plans.storage import fresh_path
+from ..plans.storage import fresh_path, materialize
 from ..sources import json_tables as J
 from ..sources import listing as S
 from ..streaming.arrivals import stream_books
@@ -208,7 +208,6 @@ def stream_books_query(spark, sf_dir):
     texts = arriving.selectExpr("source AS book_id", "doc_id AS page", "array(text) AS cols", "'' AS full")
 
     def split(batch):
-        batch = batch.persist()
         pages = batch.selectExpr("book_id", "page", "CAST(600 AS DOUBLE) AS width", "CAST(800 AS DOUBLE) AS height")
         lay = batch.selectExpr(
             "book_id", "page", "'1-up' AS layout", "CAST(NULL AS array<struct<x0:double,x1:double>>) AS cuts"
@@ -218,7 +217,9 @@ def stream_books_query(spark, sf_dir):
             "book_id", "page", "'未名' AS school", "CAST(NULL AS STRING) AS branch", "CAST(NULL AS STRING) AS year", "'未名' AS title"
         )
         result = collection.split_collections(
-            collection.Inputs(batch, pages, layout=lay, title_overrides=titles), infer_subject=False
+            collection.Inputs(batch, pages, layout=lay, title_overrides=titles),
+            infer_subject=False,
+            keep=materialize,
         )
         return result.manifest
 

@@ -154,7 +154,7 @@ def answer_pages(spark, sf_dir):
 
 def _flags(spark, sf_dir):
     pages = strips(spark, sf_dir)
-    return S.page_flags(S.detect_headers(pages, t.page_layouts(spark, sf_dir), S.book_subjects(pages)))
+    return S.page_flags(S.detect_headers(pages), t.page_layouts(spark, sf_dir), S.book_subjects(pages))
 
 
 @query(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import segments as G
-from ..operators.ordered import rank_in_group
+from ..operators.ordered import carry_forward, rank_in_group
 from ..plans import collection
 from ..plans.storage import materialize
 from . import query
@@ -86,11 +85,10 @@ def segment_text(spark, sf_dir):
     "(PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS recent FROM conversations",
 )
 def recent_carry(spark, sf_dir):
-    # One page's columns only, so the partition is bounded by the page.
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     conv = t.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = F.when(F.col("role") == "user", F.length("text"))
-    return conv.select("conv_id", "turn", F.last(own, ignorenulls=True).over(before).alias("recent"))
+    rows = conv.select("conv_id", "turn", own.alias("own"))
+    return carry_forward(rows, ["conv_id"], "turn", "own", "recent", WIDTH).drop("own")
 
 
 @query(

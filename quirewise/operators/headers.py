@@ -345,14 +345,20 @@ def volume_header(texts: Column, rules: RuleProfile = CN_EXAM) -> Column:
 # --- cascade ----------------------------------------------------------------
 
 
+# Stands for the book's subject in a title until that is known.  A Unicode
+# noncharacter, so no text can hold it.
+PENDING_SUBJECT = "\ufdd0"
+
+
 @functools.lru_cache(maxsize=16)
-def column_headers(texts: str, full: str, subject: str, rules: RuleProfile = CN_EXAM) -> Column:
+def column_headers(texts: str, full: str, rules: RuleProfile = CN_EXAM) -> Column:
     """H4 over the column texts of a page: strict candidates, else one relaxed
     or volume header.
 
     array<struct<strict: array, loose: header>>; ``loose`` is looked for only
-    when no strict candidate exists.  The arguments are column names, so the
-    expression is the same for every table and is built once.
+    when no strict candidate exists, and its title may hold PENDING_SUBJECT.
+    The arguments are column names, so the expression is the same for every
+    table and is built once.
     """
 
     def one(text: Column) -> Column:
@@ -363,7 +369,7 @@ def column_headers(texts: str, full: str, subject: str, rules: RuleProfile = CN_
                 F.when(
                     F.size(hs) == 0,
                     F.coalesce(
-                        relaxed_header(text, F.col(full), F.col(subject), rules),
+                        relaxed_header(text, F.col(full), F.lit(PENDING_SUBJECT), rules),
                         volume_header(F.array(text), rules),
                     ),
                 )
@@ -373,3 +379,10 @@ def column_headers(texts: str, full: str, subject: str, rules: RuleProfile = CN_
         )
 
     return F.transform(F.col(texts), one)
+
+
+def settle_subject(title: Column, subject: Column, rules: RuleProfile = CN_EXAM) -> Column:
+    """header's own subject (already in), else the book's, else the default."""
+    return F.replace(
+        title, F.lit(PENDING_SUBJECT), F.coalesce(subject, F.lit(rules.default_subject))
+    )

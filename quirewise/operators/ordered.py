@@ -51,6 +51,29 @@ def rank_in_group(
     )
 
 
+def carry_forward(
+    df: DataFrame, group: Sequence[str], order: str, value: str, out: str, width: int = BLOCK_WIDTH
+) -> DataFrame:
+    """Latest non-null ``value`` strictly before each row of its group.
+
+    Equal to ``last(value, ignorenulls)`` over all preceding rows.
+    """
+    group = list(group)
+    rows = df.withColumn("__block", block_of(order, width)).filter("__block IS NOT NULL")
+    tails = rows.groupBy(*group, "__block").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__tail")
+    )
+    past = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    entry = tails.select(*group, "__block", F.last("__tail", ignorenulls=True).over(past).alias("__entry"))
+    inner = Window.partitionBy(*group, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.withColumn("__near", F.last(value, ignorenulls=True).over(inner))
+        .join(entry, [*group, "__block"])
+        .withColumn(out, F.coalesce("__near", "__entry"))
+        .drop("__block", "__near", "__entry")
+    )
+
+
 def salted_lookup(
     rows: DataFrame, lookup: DataFrame, keys: str | Sequence[str], spread, salts: int = 16, how: str = "left"
 ) -> DataFrame:

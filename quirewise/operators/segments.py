@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import CN_EXAM, RuleProfile
-from .headers import relaxed_header
+from .headers import PENDING_SUBJECT, relaxed_header, settle_subject
 from .ordered import BLOCK_WIDTH, block_of, salted_lookup
 from .subpages import identity
 
@@ -199,22 +199,25 @@ def verify_long(
 ) -> tuple[DataFrame, DataFrame]:
     """(verdict per long document, hidden headers inside).
 
-    Interior columns are read again with the relaxed rules alone.
+    Interior columns are read again with the relaxed rules alone.  These were
+    tried on every column already, so only a column that has a key (repeated
+    or overridden) can show a header: those few rows fetch their text.
     """
-    inside = interior(segments, exam, rules.long_exam_pages).join(
+    keyed = interior(segments.filter("key IS NOT NULL"), exam, rules.long_exam_pages)
+    inside = keyed.select("book_id", "idx", "page", "col").join(
         strip.select("book_id", "page", "col", "text"), ["book_id", "page", "col"]
     )
+    header = relaxed_header(F.col("text"), None, F.lit(PENDING_SUBJECT), rules)
+    hidden = inside.select("book_id", "idx", "page", "col", header["title"].alias("hidden_title")).filter(
+        "hidden_title IS NOT NULL"
+    )
     if subjects is None:
-        inside = inside.withColumn("subject", F.lit(None).cast("string"))
+        hidden = hidden.withColumn("subject", F.lit(None).cast("string"))
     else:
-        inside = salted_lookup(inside, subjects, "book_id", F.col("page"))
-    hidden = (
-        inside.withColumn(
-            "header", relaxed_header(F.col("text"), None, F.col("subject"), rules)
-        )
-        .filter(F.col("header").isNotNull())
-        .select("book_id", "idx", "page", "col", F.col("header.title").alias("hidden_title"))
-    )
+        hidden = salted_lookup(hidden, subjects, "book_id", F.col("page"))
+    hidden = hidden.withColumn(
+        "hidden_title", settle_subject(F.col("hidden_title"), F.col("subject"), rules)
+    ).drop("subject")
     counts = hidden.groupBy("book_id", "idx").agg(F.count(F.lit(1)).alias("n_hidden"))
     verdict = (
         exam.filter(F.col("n_columns") > rules.long_exam_pages)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..rules import CN_EXAM, RuleProfile
-from .headers import HEADER, HEADERS, column_headers
+from .headers import HEADER, HEADERS, column_headers, settle_subject
 from .layout import columns_per_layout
 from .ordered import salted_lookup
 
@@ -38,23 +38,51 @@ def page_texts(page_strip: DataFrame) -> DataFrame:
     )
 
 
-def book_subjects(page_strip: DataFrame, rules: RuleProfile = CN_EXAM) -> DataFrame:
-    """A6 + J9: the subject met in most texts of a book.
+def _subject_hits(texts: Column, rules: RuleProfile) -> Column:
+    """(subject, text number, word number) for every subject a text holds."""
+    words = T.constant([(w,) for w in rules.subjects], "subject")
 
-    A tie goes to the subject met first in (page, text, list) order.  Counts
-    are combined before the shuffle, so a huge book costs one row per task.
+    def in_text(t: Column, seq: Column) -> Column:
+        numbered = F.transform(
+            words, lambda w, i: F.struct(w["subject"].alias("subject"), seq.alias("seq"), i.alias("word_no"))
+        )
+        return F.filter(numbered, lambda w: F.contains(t, w["subject"]))
+
+    return F.flatten(F.transform(texts, in_text))
+
+
+def detect_headers(page_strip: DataFrame, rules: RuleProfile = CN_EXAM) -> DataFrame:
+    """The one pass over the texts: headers, answer marks and subject words.
+
+    One small row per page and no shuffle: whatever needs other tables (layout,
+    subjects, overrides) is joined to these rows, never to the texts.
     """
-    found = F.filter(
+    full = F.coalesce("full", F.lit(""))
+    cols = F.transform(F.col("cols"), lambda t: F.coalesce(t, F.lit("")))
+    pages = page_strip.select("book_id", "page", cols.alias("cols"), full.alias("full"))
+    return pages.select(
+        "book_id",
+        "page",
+        column_headers("cols", "full", rules).alias("found"),
+        # The mark may run over the seam between the two texts.
         F.transform(
-            F.array(*[F.lit(s) for s in rules.subjects]),
-            lambda s, i: F.struct(s.alias("subject"), i.alias("word_no")),
-        ),
-        lambda s: F.contains(F.col("text"), s["subject"]),
+            "cols", lambda t: T.has_answer_mark(F.concat(t, F.lit("\n"), F.col("full")), rules)
+        ).alias("answers"),
+        T.has_answer_mark(F.col("full"), rules).alias("full_answer"),
+        _subject_hits(F.array_append("cols", F.col("full")), rules).alias("hits"),
     )
-    hits = page_texts(page_strip).select("book_id", "page", "seq", F.explode(found).alias("s"))
+
+
+def subjects_of(detected: DataFrame) -> DataFrame:
+    """The subject met in most texts of a book.
+
+    A tie goes to the subject met first in (page, text, list) order.  Counts
+    are combined before the shuffle, so a huge book costs one row per task.
+    """
+    hits = detected.select("book_id", "page", F.explode("hits").alias("s"))
     counts = hits.groupBy("book_id", F.col("s.subject").alias("subject")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(F.struct("page", "seq", "s.word_no")).alias("first"),
+        F.min(F.struct("page", "s.seq", "s.word_no")).alias("first"),
     )
     rank = F.struct(
         F.col("n"), -F.col("first.page"), -F.col("first.seq"), -F.col("first.word_no")
@@ -62,49 +90,27 @@ def book_subjects(page_strip: DataFrame, rules: RuleProfile = CN_EXAM) -> DataFr
     return counts.groupBy("book_id").agg(F.max_by("subject", rank).alias("subject"))
 
 
-def detect_headers(
-    page_strip: DataFrame,
-    layout: DataFrame,
-    subjects: DataFrame | None = None,
-    rules: RuleProfile = CN_EXAM,
-) -> DataFrame:
-    """H4 on every column of every page; one output row per page.
+def book_subjects(page_strip: DataFrame, rules: RuleProfile = CN_EXAM) -> DataFrame:
+    """A6 straight from the texts, for use without header detection."""
+    texts = F.array_append("cols", F.coalesce("full", F.lit("")))
+    return subjects_of(page_strip.select("book_id", "page", _subject_hits(texts, rules).alias("hits")))
 
-    Stays one row per page, so nothing but the two lookups moves data.
-    """
+
+def with_layout(detected: DataFrame, layout: DataFrame) -> DataFrame:
+    """Findings cut or padded to the number of columns of the page's layout."""
     lay = layout.select("book_id", "page", "layout")
-    pages = (
-        page_strip.join(lay, ["book_id", "page"], "left")
-        .withColumn("layout", F.coalesce("layout", F.lit("2-up")))
-        .withColumn("full", F.coalesce("full", F.lit("")))
-    )
-    if subjects is None:
-        pages = pages.withColumn("subject", F.lit(None).cast("string"))
-    else:
-        pages = salted_lookup(pages, subjects, "book_id", F.col("page"))
-    texts = F.transform(
-        F.sequence(F.lit(0), columns_per_layout(F.col("layout")) - 1),
-        lambda c: F.coalesce(F.get("cols", c), F.lit("")),
-    )
-    full = F.col("full")
+    empty = F.struct(F.array().cast(HEADERS).alias("strict"), F.lit(None).cast(HEADER).alias("loose"))
+    index = F.sequence(F.lit(0), columns_per_layout(F.col("layout")) - 1)
     return (
-        pages.withColumn("texts", texts)
-        .withColumn("found", column_headers("texts", "full", "subject", rules))
-        .select(
-            "book_id",
-            "page",
-            "layout",
-            "found",
-            F.transform("texts", lambda t: _answers(t, full, rules)).alias("answers"),
+        detected.join(lay, ["book_id", "page"], "left")
+        .withColumn("layout", F.coalesce("layout", F.lit("2-up")))
+        .withColumn("found", F.transform(index, lambda c: F.coalesce(F.get("found", c), empty)))
+        .withColumn(
+            "answers", F.transform(index, lambda c: F.coalesce(F.get("answers", c), F.col("full_answer")))
         )
     )
 
 
-def _answers(t: Column, full: Column, rules: RuleProfile) -> Column:
-    # The mark may run over the seam between the two texts.
-    return T.has_answer_mark(F.concat(t, F.lit("\n"), full), rules)
-
-
 def _carry_year(found: Column) -> Column:
     """W10 + W8: first header per column; a missing year comes from the left.
 
@@ -159,9 +165,30 @@ def identity(h: Column) -> Column:
     )
 
 
-def page_flags(detected: DataFrame, rules: RuleProfile = CN_EXAM) -> DataFrame:
+def _settled(heads: Column, rules: RuleProfile) -> Column:
+    return F.transform(
+        heads,
+        lambda h: F.when(
+            h.isNotNull(), h.withField("title", settle_subject(h["title"], F.col("subject"), rules))
+        ),
+    )
+
+
+def page_flags(
+    detected: DataFrame,
+    layout: DataFrame,
+    subjects: DataFrame | None = None,
+    rules: RuleProfile = CN_EXAM,
+) -> DataFrame:
     """Distinct headers, contents page, answer page."""
-    with_heads = detected.withColumn("heads", _carry_year(F.col("found")))
+    pages = with_layout(detected, layout)
+    if subjects is None:
+        pages = pages.withColumn("subject", F.lit(None).cast("string"))
+    else:
+        pages = salted_lookup(pages, subjects, "book_id", F.col("page"))
+    with_heads = pages.withColumn("heads", _carry_year(F.col("found"))).withColumn(
+        "heads", _settled(F.col("heads"), rules)
+    )
     strict = F.flatten(F.transform("found", lambda c: c["strict"]))
     seen = F.transform(
         F.filter(F.concat(strict, F.col("heads")), lambda h: h.isNotNull()), identity
@@ -170,7 +197,7 @@ def page_flags(detected: DataFrame, rules: RuleProfile = CN_EXAM) -> DataFrame:
         with_heads.withColumn("n_keys", F.size(F.array_distinct(seen)))
         .withColumn("is_toc", (F.col("layout") == "1-up") & (F.col("n_keys") > rules.toc_keys))
         .withColumn("is_answer", F.exists("answers", lambda a: a))
-        .drop("found")
+        .drop("found", "hits", "full_answer", "subject")
     )
 
 
@@ -182,7 +209,18 @@ def build_subpages(
     rules: RuleProfile = CN_EXAM,
 ) -> DataFrame:
     """T5: subpage rows (book_id, page, col, key, is_answer, is_toc)."""
-    pages = page_flags(detect_headers(page_strip, layout, subjects, rules), rules)
+    return subpages_of(detect_headers(page_strip, rules), layout, overrides, subjects, rules)
+
+
+def subpages_of(
+    detected: DataFrame,
+    layout: DataFrame,
+    overrides: DataFrame | None = None,
+    subjects: DataFrame | None = None,
+    rules: RuleProfile = CN_EXAM,
+) -> DataFrame:
+    """T5 from the findings of ``detect_headers``."""
+    pages = page_flags(detected, layout, subjects, rules)
     rows = pages.select(
         "book_id",
         "page",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import layout as L
 from ..operators import output, segments, subpages
+from ..operators.ordered import salted_lookup
 from ..rules import CN_EXAM, SCAN, LayoutProfile, RuleProfile
 from ..sources.json_tables import strip_rows
 
@@ -17,7 +18,9 @@ from ..sources.json_tables import strip_rows
 @dataclass(frozen=True)
 class Inputs:
     """``page_strip`` (book_id, page, cols, full) and either a layout table or
-    ink profiles; ``pages`` (book_id, page, width, height) sizes the slices."""
+    ink profiles; ``pages`` (book_id, page, width, height) sizes the slices.
+    ``detected`` takes the findings of an earlier run instead of reading the
+    texts again."""
 
     page_strip: DataFrame
     pages: DataFrame
@@ -25,11 +28,13 @@ class Inputs:
     profile: DataFrame | None = None
     layout_overrides: DataFrame | None = None
     title_overrides: DataFrame | None = None
+    detected: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class Result:
     layout: DataFrame
+    detected: DataFrame
     subpages: DataFrame
     exam: DataFrame
     segments: DataFrame
@@ -60,9 +65,11 @@ def split_collections(
 ) -> Result:
     """Layout, overrides, detection, segmentation, slices, manifest, checks.
 
-    Lazy throughout.  ``keep`` is called on the three tables read more than
-    once (layout, subpages, segments); pass ``storage.materialize`` to write
-    them to the shared folder, which is what a large run wants.
+    Lazy throughout.  ``keep`` is called on the tables read more than once
+    (layout, findings per page, subjects, segments); pass
+    ``storage.materialize`` to write them to the shared folder, which is what
+    a large run wants: the texts are then read once, by a pass without a
+    shuffle, and everything after works on rows of a few dozen bytes.
     """
     if inputs.layout is not None:
         lay = inputs.layout
@@ -73,20 +80,20 @@ def split_collections(
     if inputs.layout_overrides is not None:
         lay = L.apply_layout_overrides(lay, inputs.layout_overrides).drop("old_layout", "changed")
     lay = keep(lay, "layout")
-    subjects = subpages.book_subjects(inputs.page_strip, rules) if infer_subject else None
-    sub = keep(
-        subpages.build_subpages(inputs.page_strip, lay, inputs.title_overrides, subjects, rules),
-        "subpages",
-    )
+    detected = inputs.detected
+    if detected is None:
+        detected = keep(subpages.detect_headers(inputs.page_strip, rules), "detected")
+    subjects = keep(subpages.subjects_of(detected), "subjects") if infer_subject else None
+    sub = subpages.subpages_of(detected, lay, inputs.title_overrides, subjects, rules)
     marked = keep(segments.segment_columns(sub), "segments")
     exam = segments.roll_up(marked)
-    segs = marked.select("book_id", "idx", "seq", "page", "col")
-    slices = output.slice_plan(segs, lay, inputs.pages)
+    slices = output.slice_plan(marked, lay, inputs.pages)
     return Result(
         layout=lay,
+        detected=detected,
         subpages=sub,
         exam=exam,
-        segments=segs,
+        segments=marked,
         slices=slices,
         manifest=output.manifest(exam, slices, naming),
         strips=inputs.page_strip,
@@ -97,7 +104,8 @@ def split_collections(
 
 def restrict(df: DataFrame, books: DataFrame) -> DataFrame:
     """Rows of the named books."""
-    return df.join(books.select("book_id").distinct(), "book_id", "left_semi")
+    named = books.select("book_id").distinct()
+    return salted_lookup(df, named, "book_id", F.col("page"), how="left_semi")
 
 
 def touched(pages: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -106,7 +114,7 @@ def touched(pages: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def replace_pages(page_strip: DataFrame, new: DataFrame) -> DataFrame:
-    """Texts with the re-read pages put in place of the old ones."""
+    """Rows with those of the re-read pages put in place of the old ones."""
     kept = page_strip.join(new.select("book_id", "page"), ["book_id", "page"], "left_anti")
     return kept.unionByName(new.select(*page_strip.columns))
 
@@ -120,9 +128,10 @@ def recompute(
 ) -> Result:
     """After layout corrections, redo detection and slicing of those books.
 
-    Refuses overrides of unknown pages.  Only touched pages bring new text, and
-    only books with a touched page are computed; write the result with
-    ``replace_books`` to swap exactly those books.
+    Refuses overrides of unknown pages.  Only books with a touched page are
+    computed; write the result with ``replace_books`` to swap exactly those.
+    With the findings of the earlier run in ``inputs.detected``, only the
+    touched pages are searched for headers again.
     """
     valid, _ = L.split_overrides(overrides)
     books = valid.select("book_id").distinct()
@@ -130,12 +139,16 @@ def recompute(
         "old_layout", "changed"
     )
     strips = replace_pages(restrict(inputs.page_strip, books), new_strips)
-    titles = inputs.title_overrides
+    titles, found = inputs.title_overrides, inputs.detected
+    if found is not None:
+        fresh = subpages.detect_headers(new_strips, rules)
+        found = keep(replace_pages(restrict(found, books), fresh), "detected")
     return split_collections(
         Inputs(
             page_strip=strips,
             pages=restrict(inputs.pages, books),
             layout=lay,
+            detected=found,
             title_overrides=None if titles is None else restrict(titles, books),
         ),
         rules,

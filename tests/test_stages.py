@@ -1,5 +1,6 @@
 """Output, corrections, runs, JSON files, listings, streams and the whole run."""
 
+import dataclasses
 import json
 
 from pyspark.sql import functions as F
@@ -148,5 +149,8 @@ def test_whole_run_and_recompute(spark):
     redone = collection.recompute(given, fixes, again, keep=materialize)
     man = {r["index"]: r["pdf_pages"] for r in redone.manifest.collect()}
     assert man == {1: 3, 2: 2}
+    known = dataclasses.replace(given, detected=result.detected)
+    quick = collection.recompute(known, fixes, again, keep=materialize)
+    assert {tuple(r) for r in quick.manifest.collect()} == {tuple(r) for r in redone.manifest.collect()}
     work = collection.reread_worklist(given.layout, given.pages, fixes).collect()
     assert [(r["page"], r["col"]) for r in work] == [(2, 0)]

@@ -35,9 +35,13 @@ SCHOOL = (
     rf"({HAN}{{2,16}}?(?:{'|'.join(SCHOOL_SUFFIXES)}))"
     rf"{WS}*([（(]{WS}*({HAN}{{1,10}}){WS}*[)）])?"
 )
-# A school name can only come from text holding one of these characters.
+# A school name can only come from text holding one of these characters …
 SCHOOL_HINT_CHARS = "[学中川]"
+# … and, once everything is out that some reading drops between characters,
+# one of these: the suffixes and what the corrections turn into a suffix.
+SCHOOL_TRACE = "学[校院术木]|中学|[中一附联]中|语学|西川"
 LATIN_JUNK = r"[a-zA-Z0-9{}\[\]()|\\/_-]+"
+DROPPED_JUNK = r"[a-zA-Z0-9{}\[\]()|\\/_'\"‘’“”-]+"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -268,7 +272,10 @@ def year_relaxed(
     hints = any_of(rules.relaxed_year_hints)
     return F.coalesce(
         year_from_line(c, rules) if strict is None else strict,
-        F.when(c.rlike(hints) | following.rlike(hints), _first_plausible(c, YEAR_CANDIDATE, rules)),
+        F.when(
+            c.rlike(YEAR_CANDIDATE) & (c.rlike(hints) | following.rlike(hints)),
+            _first_plausible(c, YEAR_CANDIDATE, rules),
+        ),
     )
 
 
@@ -287,10 +294,16 @@ def school_in_normalized(n: Column, rules: RuleProfile = CN_EXAM) -> Column:
     )
 
 
+def may_hold_school(c: Column) -> Column:
+    """Cheap necessary condition for any school reading of a line."""
+    compact = F.regexp_replace(drop_space(c), DROPPED_JUNK, "")
+    return c.rlike(SCHOOL_HINT_CHARS) & compact.rlike(SCHOOL_TRACE)
+
+
 def school_in_line(c: Column, rules: RuleProfile = CN_EXAM) -> Column:
     """F11"""
     return F.when(
-        c.rlike(SCHOOL_HINT_CHARS),
+        may_hold_school(c),
         bind(normalize_title(c, rules), lambda n: school_in_normalized(n, rules)),
     )
 

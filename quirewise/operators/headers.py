@@ -74,7 +74,7 @@ def strict_header(line: Column, rules: RuleProfile = CN_EXAM) -> Column:
         )
 
     return F.when(
-        line.rlike(STRICT_GATE) & line.rlike(FOUR_DIGITS),
+        line.rlike(FOUR_DIGITS) & T.may_hold_school(line),
         bind(T.normalize_title(line, rules), on_normalized),
     )
 
@@ -203,7 +203,7 @@ def relaxed_header(
                 return F.struct(
                     x.alias("t"),
                     F.when(
-                        in_band & x.rlike(T.SCHOOL_HINT_CHARS) & ~T.is_body_line(x, 45, rules),
+                        in_band & T.may_hold_school(x) & ~T.is_body_line(x, 45, rules),
                         T.school_in_first(F.array(T.noisy_reading(x), x), rules),
                     ).alias("so"),
                     y.alias("y"),

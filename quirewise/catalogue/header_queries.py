@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import explode_once
 from ..operators import headers as H
 from ..operators import subpages as S
 from . import query
@@ -52,8 +53,8 @@ _SHOWN = (
     "FROM q CROSS JOIN (SELECT unnest(range(4)) AS n) WHERE toc",
 )
 def strict_headers(spark, sf_dir):
-    found = column_texts(spark, sf_dir).select(
-        "book_id", "page", "col", F.posexplode(H.strict_headers(F.col("text"))).alias("pos", "h")
+    found = explode_once(
+        column_texts(spark, sf_dir), ["book_id", "page", "col"], H.strict_headers(F.col("text")), "pos", "h"
     )
     return found.select("book_id", "page", "col", "pos", "h.school", "h.branch", "h.year", "h.title")
 

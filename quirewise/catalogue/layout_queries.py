@@ -89,7 +89,7 @@ def blank_runs_by_rows(spark, sf_dir):
 
 @query("band_eligibility", f"WITH {CELLS} SELECT book_id, page, count(*) AS n_bands FROM eligible GROUP BY ALL")
 def band_eligibility(spark, sf_dir):
-    votes = L.band_votes(t.profiles(spark, sf_dir), P)
+    votes = L.band_votes(t.profiles(spark, sf_dir), P).filter("votes")
     return votes.groupBy("book_id", "page").agg(F.count(F.lit(1)).alias("n_bands"))
 
 

@@ -154,12 +154,12 @@ def manifest_totals(spark, sf_dir):
 
 @query(
     "file_list",
-    f"WITH {NAMED} SELECT book_id, name || CASE WHEN index % 5 = 0 THEN '.txt' ELSE '.PDF' END AS file FROM m "
+    f"WITH {NAMED} SELECT book_id, name || '.pdf' AS file FROM m "
     "WHERE index % 5 <> 0 UNION ALL SELECT DISTINCT book_id, '_manifest.json' FROM m",
 )
 def file_list(spark, sf_dir):
     files = named(spark, sf_dir).withColumn(
-        "file", F.concat("name", F.when(F.col("index") % 5 == 0, ".txt").otherwise(".PDF"))
+        "file", F.concat("name", F.when(F.col("index") % 5 == 0, ".txt").otherwise(".pdf"))
     )
     return O.result_files(files)
 

@@ -10,7 +10,7 @@ from ..plans import collection
 from ..plans.storage import materialize
 from . import query
 from . import tables as t
-from .header_queries import subpages
+from .header_queries import OVERRIDES_SQL, subpages
 from .header_queries import title_overrides as overrides_by_hand
 
 TURNS = f"r AS ({t.TURNS_SQL}), {t.segment_ctes('r')}"
@@ -103,23 +103,38 @@ def ranked(spark, sf_dir):
 # --- the whole run -------------------------------------------------------------------
 
 IDENT = "CASE WHEN volume THEN 'V' || title ELSE school || '|' || coalesce(branch, '') || '|' || coalesce(year, '') || '|' || title END"
-RUN = (
-    "WITH "
-    + t.expected_columns()
-    + f", r AS (SELECT book_id, page, col, is_toc OR is_answer AS closed, {IDENT} AS k, school, branch, year, title FROM k), "
-    + t.segment_ctes("r")
-    + ', exam AS (SELECT book_id, idx, min(page) AS "start", max(page) AS "end", count(*) AS n_columns, '
-    "max(CASE WHEN opens = 1 THEN title END) AS title, max(CASE WHEN opens = 1 THEN school END) AS school, "
-    "max(CASE WHEN opens = 1 THEN branch END) AS branch, max(CASE WHEN opens = 1 THEN year END) AS year "
-    "FROM seg GROUP BY book_id, idx), "
-    "named AS (SELECT *, row_number() OVER (PARTITION BY book_id, title ORDER BY idx) AS rn FROM exam), "
-    "man AS (SELECT book_id, idx, n_columns, title || CASE WHEN rn > 1 THEN '(' || rn || ')' ELSE '' END AS name, "
-    '"start", "end", school, branch, year FROM named)'
-)
-MANIFEST = (
-    RUN + ' SELECT book_id, idx AS index, name, name || \'.pdf\' AS file, "start" AS src_start, "end" AS src_end, '
+
+
+def run_sql(columns: str, extra: str = "") -> str:
+    """CTEs from header columns to the manifest ``man``."""
+    return (
+        "WITH "
+        + t.expected_columns()
+        + extra
+        + f", r AS (SELECT book_id, page, col, is_toc OR is_answer AS closed, {IDENT} AS k, school, branch, year, title FROM {columns}), "
+        + t.segment_ctes("r")
+        + ', exam AS (SELECT book_id, idx, min(page) AS "start", max(page) AS "end", count(*) AS n_columns, '
+        "max(CASE WHEN opens = 1 THEN title END) AS title, max(CASE WHEN opens = 1 THEN school END) AS school, "
+        "max(CASE WHEN opens = 1 THEN branch END) AS branch, max(CASE WHEN opens = 1 THEN year END) AS year "
+        "FROM seg GROUP BY book_id, idx), "
+        "named AS (SELECT *, row_number() OVER (PARTITION BY book_id, title ORDER BY idx) AS rn FROM exam), "
+        "man AS (SELECT book_id, idx, n_columns, title || CASE WHEN rn > 1 THEN '(' || rn || ')' ELSE '' END AS name, "
+        '"start", "end", school, branch, year FROM named)'
+    )
+
+
+RUN = run_sql("k")
+SHOWN = (
+    ' SELECT book_id, idx AS index, name, name || \'.pdf\' AS file, "start" AS src_start, "end" AS src_end, '
     "CAST(n_columns AS INTEGER) AS pdf_pages, school, branch, year FROM man"
 )
+MANIFEST = RUN + SHOWN
+OVERRIDDEN = f", {OVERRIDES_SQL}, ko AS (SELECT k.book_id, k.page, k.col, " + ", ".join(
+    f"CASE WHEN ovt.page IS NULL THEN k.{c} ELSE ovt.{c} END AS {c}" for c in ("school", "branch", "year", "title")
+) + (
+    ", k.volume AND ovt.page IS NULL AS volume, k.is_answer AND ovt.page IS NULL AS is_answer, "
+    "k.is_toc AND ovt.page IS NULL AS is_toc FROM k LEFT JOIN ovt ON ovt.book_id = k.book_id AND ovt.page = k.page)"
+)
 
 
 def inputs(spark, sf_dir):
@@ -161,7 +176,7 @@ def long_exam_check(spark, sf_dir):
     return collection.split_collections(inputs(spark, sf_dir), keep=materialize).verify()[0]
 
 
-@query("override_run")
+@query("override_run", run_sql("ko", OVERRIDDEN) + SHOWN)
 def override_run(spark, sf_dir):
     given = inputs(spark, sf_dir)
     by_hand = collection.Inputs(

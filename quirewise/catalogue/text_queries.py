@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import explode_once
 from ..rules import FIX_PAIRS, LATIN, SUBJECT_FIX_PAIRS, WS_CHARS
 from . import query
 from . import tables as t
@@ -25,7 +26,7 @@ def documents(spark, sf_dir):
 
 
 def line_rows(spark, sf_dir, lines):
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(lines).alias("line_no", "line"))
+    return explode_once(documents(spark, sf_dir), ["doc_id"], lines, "line_no", "line")
 
 
 @query("lines", f"WITH {LINES} SELECT * FROM lines")
@@ -99,10 +100,7 @@ def adjacent_pairs(spark, sf_dir):
         )
 
     solid = F.slice(T.nonblank_lines(F.col("text")), 1, 4)
-    return (
-        documents(spark, sf_dir)
-        .select("doc_id", F.posexplode(T.bind(solid, pairs)).alias("n", "pair"))
-    )
+    return explode_once(documents(spark, sf_dir), ["doc_id"], T.bind(solid, pairs), "n", "pair")
 
 
 @query(
@@ -119,9 +117,7 @@ def neighbourhood(spark, sf_dir):
         return F.transform(F.slice(solid, 1, 10), at)
 
     solid = F.slice(T.nonblank_lines(F.col("text")), 1, 15)
-    return documents(spark, sf_dir).select(
-        "doc_id", F.posexplode(T.bind(solid, blobs)).alias("n", "blob")
-    )
+    return explode_once(documents(spark, sf_dir), ["doc_id"], T.bind(solid, blobs), "n", "blob")
 
 
 # --- corrections ------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_once
 from ..rules import LAYOUTS, SCAN, LayoutProfile
 
 ANCHORS = {"c": 0.5, "13": 1.0 / 3.0, "23": 2.0 / 3.0}
@@ -87,21 +88,16 @@ def blank_run_rows(profile: DataFrame, p: LayoutProfile = SCAN) -> DataFrame:
 
 def run_table(profile: DataFrame, p: LayoutProfile = SCAN) -> DataFrame:
     """Blank runs of the voting bands, one row per run."""
-    return (
-        _eligible(profile, p)
-        .select(
-            "book_id",
-            "page",
-            "band",
-            F.explode(blank_runs(F.col("ink"), min_run_width(F.col("w"), p), p)).alias("r"),
-        )
-        .select("book_id", "page", "band", F.col("r.s").alias("s"), F.col("r.e").alias("e"))
+    runs = blank_runs(F.col("ink"), min_run_width(F.col("w"), p), p)
+    voting = profile.filter(_eligible(p))
+    return explode_once(voting, ["book_id", "page", "band"], runs, "n", "r").select(
+        "book_id", "page", "band", F.col("r.s").alias("s"), F.col("r.e").alias("e")
     )
 
 
-def _eligible(profile: DataFrame, p: LayoutProfile) -> DataFrame:
+def _eligible(p: LayoutProfile) -> Column:
     """A2: a band with next to no ink says nothing about gutters."""
-    return profile.filter(F.array_max("ink") >= p.band_ink_min)
+    return F.coalesce(F.array_max("ink") >= p.band_ink_min, F.lit(False))
 
 
 # --- votes ------------------------------------------------------------------
@@ -127,17 +123,19 @@ def _best_centre(runs: Column, w: Column, min_w: Column, anchor: float, p: Layou
 
 
 def band_votes(profile: DataFrame, p: LayoutProfile = SCAN) -> DataFrame:
-    """One row per voting band: the gutter centre it sees near each anchor, or null."""
+    """One row per band: whether it votes, and the gutter centre it sees near each
+    anchor or null."""
     w, min_w = F.col("w"), F.col("min_w")
     return (
-        _eligible(profile, p)
+        profile.withColumn("votes", _eligible(p))
         .withColumn("min_w", min_run_width(w, p))
-        .withColumn("runs", blank_runs(F.col("ink"), min_w, p))
+        .withColumn("runs", F.when(F.col("votes"), blank_runs(F.col("ink"), min_w, p)))
         .select(
             "book_id",
             "page",
             "band",
             "w",
+            "votes",
             *[
                 _best_centre(F.col("runs"), w, min_w, anchor, p).alias(f"centre_{name}")
                 for name, anchor in ANCHORS.items()
@@ -151,7 +149,9 @@ def gutter_votes(votes: DataFrame) -> DataFrame:
     aggs = []
     for name, anchor in ANCHORS.items():
         c = F.col(f"centre_{name}")
-        aggs.append((F.count(c) / F.count(F.lit(1))).alias(f"vote_{name}"))
+        voting = F.count_if("votes")
+        share = F.try_divide(F.count(c).cast("double"), voting.cast("double"))
+        aggs.append(F.coalesce(share, F.lit(0.0)).alias(f"vote_{name}"))
         aggs.append(
             F.coalesce(F.median(c) / F.first("w"), F.lit(anchor)).alias(f"gutter_{name}")
         )
@@ -195,12 +195,14 @@ def classify_layout(
 ) -> DataFrame:
     """Layout rows from ink profiles.
 
-    A page on which no band votes scores zero everywhere and stays 1-up; to
-    keep such pages, give the page list (or profiles including empty bands).
+    One pass over the profiles and one aggregate of twelve small rows a page.
+    A page on which no band votes scores zero everywhere and stays 1-up; give
+    the page list to keep pages that have no profile at all.
     """
-    votes = gutter_votes(band_votes(profile, p))
-    known = (profile if pages is None else pages).select("book_id", "page").distinct()
-    rows = known.join(votes, ["book_id", "page"], "left")
+    rows = gutter_votes(band_votes(profile, p))
+    if pages is not None:
+        known = pages.select("book_id", "page").distinct()
+        rows = known.join(rows, ["book_id", "page"], "left")
     score = lambda n: F.coalesce(F.col(f"vote_{n}"), F.lit(0.0))
     gutter = lambda n: F.coalesce(F.col(f"gutter_{n}"), F.lit(ANCHORS[n]))
     return (

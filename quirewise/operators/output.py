@@ -184,7 +184,7 @@ def manifest_totals(man: DataFrame) -> DataFrame:
 
 def result_files(man: DataFrame) -> DataFrame:
     """Output files of each book with its manifest, sorted."""
-    files = man.select("book_id", "file").filter(F.lower("file").endswith(".pdf"))
+    files = man.select("book_id", "file").filter(F.col("file").endswith(".pdf"))
     marker = man.select("book_id", F.lit("_manifest.json").alias("file")).distinct()
     return files.unionByName(marker).orderBy("book_id", "file")
 

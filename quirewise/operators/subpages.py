@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import explode_once
 from ..rules import CN_EXAM, RuleProfile
 from .headers import HEADER, HEADERS, column_headers, settle_subject
 from .layout import columns_per_layout
@@ -79,7 +80,7 @@ def subjects_of(detected: DataFrame) -> DataFrame:
     A tie goes to the subject met first in (page, text, list) order.  Counts
     are combined before the shuffle, so a huge book costs one row per task.
     """
-    hits = detected.select("book_id", "page", F.explode("hits").alias("s"))
+    hits = explode_once(detected, ["book_id", "page"], F.col("hits"), "n_hit", "s")
     counts = hits.groupBy("book_id", F.col("s.subject").alias("subject")).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct("page", "s.seq", "s.word_no")).alias("first"),
@@ -227,14 +228,17 @@ def subpages_of(
         "n_keys",
         "is_toc",
         F.col("is_answer").alias("page_answer"),
-        F.posexplode(F.arrays_zip("heads", "answers")).alias("col", "z"),
+        "heads",
+        "answers",
+        # By index: exploding the headers themselves would compute them twice.
+        F.explode(F.sequence(F.lit(0), columns_per_layout(F.col("layout")) - 1)).alias("col"),
     )
     if rules.answer_scope == "column":
-        answer = F.col("z.answers")
+        answer = F.get("answers", F.col("col"))
     else:
         answer = F.col("page_answer")
     sub = rows.select(
-        "book_id", "page", "col", F.col("z.heads").alias("key"), answer.alias("is_answer"), "is_toc"
+        "book_id", "page", "col", F.get("heads", F.col("col")).alias("key"), answer.alias("is_answer"), "is_toc"
     )
     return sub if overrides is None else apply_title_overrides(sub, overrides, rules)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_map_once, explode_once
 from ..functions.text import nonempty
 from ..operators.layout import CUTS_TYPE, default_cuts
 from ..operators.ordered import block_of
@@ -67,7 +68,7 @@ def read_layout(docs: DataFrame) -> DataFrame:
         ),
     ).cast(LAYOUT_ROWS)
     rows = F.when(_is_list(F.col("json")), F.from_json("json", LAYOUT_ROWS)).otherwise(bare)
-    return docs.select("book_id", F.explode(rows).alias("r")).select(
+    return explode_once(docs, ["book_id"], rows, "pos", "r").select(
         "book_id",
         "r.page",
         "r.layout",
@@ -81,7 +82,8 @@ def read_layout(docs: DataFrame) -> DataFrame:
 
 def read_strips(docs: DataFrame) -> DataFrame:
     """S6 + K1: page rows (book_id, page, cols, full); a bare string is one column."""
-    pages = docs.select("book_id", F.explode(F.from_json("json", "map<string,string>")).alias("key", "value"))
+    by_page = F.from_json("json", "map<string,string>")
+    pages = explode_map_once(docs, ["book_id"], by_page, "key", "value")
     rec = F.when(F.ltrim("value").startswith("{"), F.from_json("value", STRIP_VALUE))
     return pages.select("book_id", F.col("key").try_cast("int").alias("page"), "value", rec.alias("rec")).select(
         "book_id",
@@ -101,8 +103,9 @@ def strip_rows(page_strip: DataFrame) -> DataFrame:
 def read_title_overrides(docs: DataFrame, rules: RuleProfile = CN_EXAM) -> DataFrame:
     """{page: [school, branch, year, title?]} with the title filled in."""
     part = lambda i: F.get("v", F.lit(i))
+    by_page = F.from_json("json", "map<string,array<string>>")
     return (
-        docs.select("book_id", F.explode(F.from_json("json", "map<string,array<string>>")).alias("k", "v"))
+        explode_map_once(docs, ["book_id"], by_page, "k", "v")
         .select(
             "book_id",
             F.col("k").try_cast("int").alias("page"),
@@ -125,16 +128,16 @@ def read_layout_overrides(docs: DataFrame) -> DataFrame:
     ).cast("array<struct<page:string,layout:string>>")
     listed = F.from_json("json", "array<struct<page:string,layout:string>>")
     rows = F.when(_is_list(F.col("json")), listed).otherwise(bare)
-    return docs.select("book_id", F.posexplode(rows).alias("seq", "r")).select(
+    return explode_once(docs, ["book_id"], rows, "seq", "r").select(
         "book_id", F.col("r.page").try_cast("int").alias("page"), "r.layout", "seq"
     )
 
 
 def read_exam_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(exam, exam_segment) from list documents."""
-    rows = docs.select(
-        "book_id", F.posexplode(F.from_json("json", EXAM_ROWS)).alias("pos", "r")
-    ).withColumn("idx", F.col("pos") + 1)
+    rows = explode_once(docs, ["book_id"], F.from_json("json", EXAM_ROWS), "pos", "r").withColumn(
+        "idx", F.col("pos") + 1
+    )
     exam = rows.select(
         "book_id", "idx", "r.start", "r.end", "r.school", "r.branch", "r.year", "r.title",
         F.coalesce(F.size("r.segments"), F.lit(0)).alias("n_columns"),
@@ -151,7 +154,7 @@ def read_exam_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_manifest(docs: DataFrame) -> DataFrame:
     """A missing name falls back to the file and the other way round."""
-    return docs.select("book_id", F.explode(F.from_json("json", MANIFEST_ROWS)).alias("r")).select(
+    return explode_once(docs, ["book_id"], F.from_json("json", MANIFEST_ROWS), "pos", "r").select(
         "book_id",
         "r.index",
         F.coalesce(nonempty(F.col("r.name")), F.col("r.file"), F.lit("")).alias("name"),

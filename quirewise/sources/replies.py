@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import explode_once
 from ..functions.text import bind, strip
 
 ROWS = "array<struct<orig:string,fixed:string,conf:string>>"
@@ -42,6 +43,6 @@ def read_replies(replies: DataFrame) -> DataFrame:
     """(batch, content, reasoning) to correction rows; the second text is the fallback."""
     rows = F.coalesce(first_array(F.col("content")), first_array(F.col("reasoning")))
     keep = [c for c in replies.columns if c not in ("content", "reasoning")]
-    return replies.select(*keep, F.posexplode(rows).alias("pos", "r")).select(
+    return explode_once(replies, keep, rows, "pos", "r").select(
         *keep, "pos", "r.orig", "r.fixed", "r.conf"
     )

@@ -211,7 +211,7 @@ _PIXEL = "(CASE WHEN abs(CAST({v} AS DOUBLE)) * 100 > (r % 24) THEN 40 ELSE 230
     "sum(ink * x) AS ink_moment FROM col GROUP BY ALL",
 )
 def ink_profile(spark, sf_dir):
-    vec = t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    vec = t.spread(t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     row = f"transform(embedding, v -> lpad(hex({_PIXEL.format(v='v')}), 2, '0'))"
     pages = vec.selectExpr(
         "'raster' AS book_id",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -350,7 +351,6 @@ def volume_header(texts: Column, rules: RuleProfile = CN_EXAM) -> Column:
 PENDING_SUBJECT = "\ufdd0"
 
 
-@functools.lru_cache(maxsize=16)
 def column_headers(texts: str, full: str, rules: RuleProfile = CN_EXAM) -> Column:
     """H4 over the column texts of a page: strict candidates, else one relaxed
     or volume header.
@@ -358,9 +358,13 @@ def column_headers(texts: str, full: str, rules: RuleProfile = CN_EXAM) -> Colum
     array<struct<strict: array, loose: header>>; ``loose`` is looked for only
     when no strict candidate exists, and its title may hold PENDING_SUBJECT.
     The arguments are column names, so the expression is the same for every
-    table and is built once.
+    table and is built once per JVM.
     """
+    return _column_headers(id(SparkContext._gateway), texts, full, rules)
+
 
+@functools.lru_cache(maxsize=16)
+def _column_headers(_jvm: int, texts: str, full: str, rules: RuleProfile) -> Column:
     def one(text: Column) -> Column:
         return bind(
             strict_headers(text, rules),

@@ -26,7 +26,8 @@ def rank_in_group(
 ) -> DataFrame:
     """Row number (from 1) within ``group`` by the integer column ``order``.
 
-    Equal to ``row_number()`` for an ``order`` unique within the group.
+    Equal to ``row_number()`` for an ``order`` that is never null and unique
+    within the group.
     """
     group = list(group)
     # Groups compare null-safe, as partitionBy does.

@@ -49,21 +49,32 @@ def segment_columns(subpages: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
 
     sig, prev = F.col("signal"), F.col("prev")
     opens = sig.isNotNull() & ~sig["closed"]
+    # What depends on the block's past only is left open here: the columns
+    # before its first signal, and whether that signal starts a document.
     local = (
         rows.withColumn("prev", F.last("signal", ignorenulls=True).over(before))
-        .withColumn("state", F.coalesce(sig, prev))
-        # What depends on the block's past only is left open here: the columns
-        # before its first signal, and whether that signal starts a document.
-        .withColumn("first_open", F.coalesce(opens & prev.isNull(), F.lit(False)))
-        .withColumn(
-            "starts_in",
-            F.coalesce(opens & prev.isNotNull() & (prev["closed"] | _differs(prev, sig)), F.lit(False)),
+        .withColumns(
+            {
+                "state": F.coalesce(sig, prev),
+                "first_open": F.coalesce(opens & prev.isNull(), F.lit(False)),
+                "starts_in": F.coalesce(
+                    opens & prev.isNotNull() & (prev["closed"] | _differs(prev, sig)), F.lit(False)
+                ),
+            }
+        )
+        .withColumns(
+            {
+                "kept_in": F.coalesce(~F.col("state")["closed"], F.lit(False)),
+                "in_head": F.col("state").isNull(),
+            }
+        )
+        .withColumns(
+            {
+                "n_starts": F.count_if(F.col("starts_in")).over(so_far),
+                "n_kept": F.count_if(F.col("kept_in")).over(so_far),
+                "n_head": F.count_if(F.col("in_head")).over(so_far),
+            }
         )
-        .withColumn("kept_in", F.coalesce(~F.col("state")["closed"], F.lit(False)))
-        .withColumn("in_head", F.col("state").isNull())
-        .withColumn("n_starts", F.count_if(F.col("starts_in")).over(so_far))
-        .withColumn("n_kept", F.count_if(F.col("kept_in")).over(so_far))
-        .withColumn("n_head", F.count_if(F.col("in_head")).over(so_far))
     )
     place = F.struct("page", "col")
     blocks = local.groupBy("book_id", "block").agg(
@@ -79,26 +90,31 @@ def segment_columns(subpages: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
     past = book.rowsBetween(Window.unboundedPreceding, -1)
     first, carry = F.col("first_signal"), F.col("carry")
     carried_open = F.coalesce(~carry["closed"], F.lit(False))
+    opened_at = F.coalesce(F.col("last_start"), F.when(F.col("first_starts"), F.lit(1)))
     entry = (
         blocks.withColumn("carry", F.last("last_signal", ignorenulls=True).over(past))
-        .withColumn("enters", carried_open)
-        .withColumn(
-            "first_starts",
-            F.coalesce(~first["closed"], F.lit(False)) & (~carried_open | _differs(carry, first)),
+        .withColumns(
+            {
+                "enters": carried_open,
+                "first_starts": F.coalesce(~first["closed"], F.lit(False))
+                & (~carried_open | _differs(carry, first)),
+                "head_kept": F.when(carried_open, F.col("head")).otherwise(F.lit(0)),
+            }
+        )
+        .withColumns(
+            {
+                "all_kept": F.col("head_kept") + F.col("kept"),
+                "all_starts": F.col("starts") + F.col("first_starts").cast("long"),
+            }
         )
-        .withColumn("head_kept", F.when(carried_open, F.col("head")).otherwise(F.lit(0)))
-        .withColumn("all_kept", F.col("head_kept") + F.col("kept"))
-        .withColumn("all_starts", F.col("starts") + F.col("first_starts").cast("long"))
-        .withColumn("kept_before", F.coalesce(F.sum("all_kept").over(past), F.lit(0)))
-        .withColumn("starts_before", F.coalesce(F.sum("all_starts").over(past), F.lit(0)))
-        .withColumn(
-            # Book-wide rank of the kept column that opened the latest document.
-            "opened_at",
-            F.col("kept_before")
-            + F.col("head_kept")
-            + F.coalesce(F.col("last_start"), F.when(F.col("first_starts"), F.lit(1))),
+        .withColumns(
+            {
+                "kept_before": F.coalesce(F.sum("all_kept").over(past), F.lit(0)),
+                "starts_before": F.coalesce(F.sum("all_starts").over(past), F.lit(0)),
+            }
         )
-        .withColumn("opened_before", F.last("opened_at", ignorenulls=True).over(past))
+        # Book-wide rank of the kept column that opened the latest document.
+        .withColumn("opened_at", F.col("kept_before") + F.col("head_kept") + opened_at)
         .select(
             "book_id",
             "block",
@@ -107,32 +123,25 @@ def segment_columns(subpages: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
             "head_kept",
             "kept_before",
             "starts_before",
-            "opened_before",
+            F.last("opened_at", ignorenulls=True).over(past).alias("opened_before"),
         )
     )
     in_head = F.col("in_head")
+    opened_here = F.last(F.when(F.col("starts"), F.col("rank")), ignorenulls=True).over(so_far)
     joined = (
         local.join(entry, ["book_id", "block"])
-        .withColumn("kept_row", F.when(in_head, F.col("enters")).otherwise(F.col("kept_in")))
-        .withColumn("starts", F.col("starts_in") | (F.col("first_open") & F.col("first_starts")))
-        .withColumn(
-            "idx",
-            F.col("starts_before")
-            + F.col("n_starts")
-            + (~in_head & F.col("first_starts")).cast("long"),
-        )
-        .withColumn(
-            "rank",
-            F.col("kept_before")
-            + F.when(in_head, F.col("n_head")).otherwise(F.col("head_kept") + F.col("n_kept")),
-        )
-        .withColumn(
-            "opened",
-            F.coalesce(
-                F.last(F.when(F.col("starts"), F.col("rank")), ignorenulls=True).over(so_far),
-                F.col("opened_before"),
-            ),
+        .withColumns(
+            {
+                "kept_row": F.when(in_head, F.col("enters")).otherwise(F.col("kept_in")),
+                "starts": F.col("starts_in") | (F.col("first_open") & F.col("first_starts")),
+                "idx": F.col("starts_before")
+                + F.col("n_starts")
+                + (~in_head & F.col("first_starts")).cast("long"),
+                "rank": F.col("kept_before")
+                + F.when(in_head, F.col("n_head")).otherwise(F.col("head_kept") + F.col("n_kept")),
+            }
         )
+        .withColumn("opened", F.coalesce(opened_here, F.col("opened_before")))
     )
     return joined.filter("kept_row").select(
         "book_id",

@@ -168,7 +168,7 @@ CN_EXAM_STRICT = replace(
 # Latin-script running text: only the line rules differ.
 LATIN = replace(
     CN_EXAM,
-    noise_line="(?i)copyright|license",
+    noise_line="[Cc](?i:opyright)|[Ll](?i:icense)",
     noise_keep=(r"(?:19|20)\d\d",),
     body_punct="[?!;]",
     body_words=("therefore", "however", "because"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from ..rules import SCAN, LayoutProfile
 
 PROFILE = "book_id string, page long, band int, w int, ink array<double>, error string"
+PAGES_AT_ONCE = 64
 # Luminance weights of red, green and blue.
 LUMA = (0.299, 0.587, 0.114)
 
@@ -49,7 +50,10 @@ def ink_profile(raster: DataFrame, p: LayoutProfile = SCAN) -> DataFrame:
 
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [band for row in batch.itertuples(index=False) for band in _bands(row, p)]
-            yield pd.DataFrame(found, columns=names).astype({"band": "Int32"})
+            # A few pages at a time: wide profiles would add up over a batch.
+            for first in range(0, len(batch), PAGES_AT_ONCE):
+                some = batch.iloc[first : first + PAGES_AT_ONCE]
+                found = [b for row in some.itertuples(index=False) for b in _bands(row, p)]
+                yield pd.DataFrame(found, columns=names).astype({"band": "Int32"})
 
     return raster.select("book_id", "page", "w", "h", "n", "samples").mapInPandas(profile, PROFILE)

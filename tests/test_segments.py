@@ -74,9 +74,19 @@ def test_fixture_sequence(spark):
 
 
 def test_rows_shuffle_once(spark):
+    """Both uses of the rows share one exchange, by (book, block)."""
     df = spark.createDataFrame([("b", 1, 0, _key("A"), False, False)], SUB)
-    plan = segments.segment_columns(df)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plan = segments.segment_columns(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "ReusedExchange" in plan
 
 
 def test_rank_matches_row_number(spark):

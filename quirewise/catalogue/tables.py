@@ -86,7 +86,7 @@ COL1 = f"({header_text(1)} || {NL} || '正文内容')"
 COL2 = f"({header_text(2)} || {NL} || '正文内容')"
 LAYOUT = "(CASE doc_id % 4 WHEN 0 THEN '1-up' WHEN 1 THEN '2-up' WHEN 2 THEN '3-up' END)"
 N_COLS = "(CASE doc_id % 4 WHEN 0 THEN 1 WHEN 2 THEN 3 ELSE 2 END)"
-FULL = f"(CASE WHEN doc_id % 4 = 0 THEN '' ELSE '成都 吕 西川 ' || {YEAR} || {NL} || '{'x'}' END)"
+FULL = f"(CASE WHEN doc_id % 4 = 0 THEN '' ELSE '成都 吕 西川 ' || {YEAR} || {NL} || 'x' END)"
 
 STRIPS_SQL = (
     f"SELECT source AS book_id, doc_id AS page, {COL0} AS c0, {COL1} AS c1, {COL2} AS c2, "

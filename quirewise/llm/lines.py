@@ -122,7 +122,6 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
     return (drop.filter("not first") if keep_first else drop).drop("first")
 
 
-@F.pandas_udf("binary")
 def _bitmap(positions: pd.Series, n_lines: pd.Series) -> pd.Series:
     def one(at, n):
         keep = np.ones(n, bool)
@@ -138,7 +137,7 @@ def keep_bitmaps(docs: DataFrame, **how) -> DataFrame:
     Documents that keep every line have no row.  ``how`` as in :func:`repeated_lines`.
     """
     drop = repeated_lines(docs, **how).groupBy("doc_id", "tkey").agg(F.first("n_lines").alias("n_lines"), F.collect_set("pos").alias("_at"))
-    return drop.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "tkey", "n_lines", F.size("_at").alias("n_dropped"), _bitmap("_at", "n_lines").alias("keep"))
+    return drop.select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "tkey", "n_lines", F.size("_at").alias("n_dropped"), F.pandas_udf(_bitmap, "binary")("_at", "n_lines").alias("keep"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:

@@ -101,13 +101,14 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
-def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with what the rules look at.
+def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per document with what the rules look at; with ``carry`` also the whole row as struct ``_row``.
 
     A null text has no words, lines or characters (all measurements 0); rows
     with equal ids stay separate rows; other columns of ``docs`` are not read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if carry else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *row)
     words = F.filter(F.split("_text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split("_text", "\n"), lambda s: F.length(F.btrim(s, F.lit(SPACES))) > 0)
 
@@ -118,22 +119,30 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.struct(F.size(s).cast("long").alias("n_lines"), (F.size(s) - F.size(F.array_distinct(s))).cast("long").alias("n_dup_lines"))
 
     packed = F.translate("_text", SPACES, "")
-    return base.select(
-        "doc_id",
+    measured = F.struct(
         let(words, of_words).alias("_w"),
         F.length(packed).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(packed, "[^\\p{L}]+", "")).cast("long").alias("n_alpha"),
         let(lines, of_lines).alias("_l"),
-    ).select("doc_id", "_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines", "n_alpha")
+    )
+    # A generator of one row: no later filter or projection can make Spark measure a text twice.
+    rows = base.select("doc_id", *(["_row"] if carry else []), F.inline(F.array(measured)))
+    fields = ("_w.n_words", "word_chars", "n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_l.n_lines", "n_alpha")
+    return rows.select("doc_id", *fields, *(["_row"] if carry else []))
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Measurements and ``failed_bits``: bit b is set where rule b fails."""
     bits = F.lit(0).cast("long")
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(rule.fails(), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
-    return measurements(docs, id_col, text_col).withColumn("failed_bits", bits)
+    return measurements(docs, id_col, text_col, carry).withColumn("failed_bits", bits)
+
+
+def kept_documents(docs: DataFrame, policy: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a policy keeps, with their own columns; no join, no shuffle."""
+    return apply_policy(ledger(docs, id_col, text_col, carry=True), policy).filter("kept").select("_row.*")
 
 
 def apply_policy(table: DataFrame, policy: str) -> DataFrame:

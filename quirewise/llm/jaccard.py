@@ -27,6 +27,8 @@ from quirewise.llm.common import WordHashes, chunks, components, doc_rows, grams
 #: Slots of the table of shingle counts (16 MB), and buckets of the suffix filter.
 COUNT_BITS = 22
 BUCKETS = 64
+#: Bits of the filter over the sets to verify (8 MB, packed).
+FILTER_BITS = 26
 #: A list of more sets than this is first linked to pivots.
 SHORT_LIST = 8
 #: Ids are below this; sets that only rows without an id have get nodes from here on.
@@ -83,9 +85,9 @@ def _corpus(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     One pass over the texts.  Each task counts into an array of 2^22 slots, blocks
     of which add up by shuffle; 2^22 sums reach the driver, whatever the corpus.
     """
-    rows = doc_rows(docs).withColumn("tkey", F.xxhash64("text"))
-    schema = "doc_id long, tkey long, s1 long, s2 long, n long, parts binary, block int, counts binary"
-    kinds = {"doc_id": pa.int64(), "tkey": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "n": pa.int64(), "parts": pa.binary(), "block": pa.int32(), "counts": pa.binary()}
+    rows = doc_rows(docs)
+    schema = "doc_id long, s1 long, s2 long, n long, parts binary, block int, counts binary"
+    kinds = {"doc_id": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "n": pa.int64(), "parts": pa.binary(), "block": pa.int32(), "counts": pa.binary()}
 
     def out(**cols) -> pa.RecordBatch:
         size = len(next(iter(cols.values())))
@@ -98,7 +100,7 @@ def _corpus(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             total += np.bincount(slots.astype(np.int64), minlength=1 << COUNT_BITS)
             keys = [set_key(s) for s in sets]
             parts = [np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 65535).astype("<u2").tobytes() for s in sets]
-            yield out(doc_id=batch.column("doc_id"), tkey=batch.column("tkey"), s1=[k[0] for k in keys], s2=[k[1] for k in keys], n=[len(s) for s in sets], parts=parts)
+            yield out(doc_id=batch.column("doc_id"), s1=[k[0] for k in keys], s2=[k[1] for k in keys], n=[len(s) for s in sets], parts=parts)
         for block in range(0, 1 << COUNT_BITS, 1 << 16):
             part = total[block : block + (1 << 16)]
             if part.any():
@@ -284,20 +286,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, contents: DataFrame, percent: i
     return joined.select("node_a", "node_b", "set_a", "set_b").mapInArrow(count, "a long, b long")
 
 
+def _bits_of(s1: np.ndarray) -> np.ndarray:
+    """Two bits of the membership filter per key."""
+    h = mix(s1.view(np.uint64))
+    low = np.uint64((1 << FILTER_BITS) - 1)
+    return np.concatenate([h & low, h >> np.uint64(64 - FILTER_BITS)]).astype(np.int64)
+
+
+def _membership(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter over ``s1``, of a fixed size whatever the number of keys."""
+    block = 1 << 16
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[_bits_of(batch.column("s1").to_numpy())] = True
+        packed = np.packbits(bits)
+        for at in np.unique(np.flatnonzero(packed) // block).tolist():
+            part = zlib.compress(packed[at * block : (at + 1) * block].tobytes(), 1)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "bits": pa.array([part], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, data in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+                sums[at] = sums.get(at, np.uint8(0)) | np.frombuffer(zlib.decompress(data), np.uint8)
+        for at, data in sums.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "bits": pa.array([zlib.compress(data.tobytes(), 1)], pa.binary())})
+
+    schema = "block int, bits binary"
+    parts = keys.select("s1").mapInArrow(of, schema).repartition(partitions(keys.sparkSession), "block").mapInArrow(merge, schema)
+    packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in parts.collect():
+        packed[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return packed
+
+
 def _contents(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """s1, s2, shingles (sorted unsigned 64 bit) of the wanted sets, each from one document."""
+    """s1, s2, shingles (sorted unsigned 64 bit) of the wanted sets, each once.
+
+    Sets are computed where the texts are; a filter of fixed size keeps nearly
+    all others from the shuffle, and a join drops what it lets through.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_membership(wanted))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _each(batches, n):
+        bits, seen = shared.value, set()
+        for _, sets in _each(batches, n):
             keys = [set_key(s) for s in sets]
-            hit = [i for i, (k, a, b) in enumerate(zip(keys, batch.column("s1").to_pylist(), batch.column("s2").to_pylist())) if k == (a, b)]
-            at = pa.array(hit, pa.int64())
-            yield pa.RecordBatch.from_pydict({"s1": batch.column("s1").take(at), "s2": batch.column("s2").take(at), "shingles": pa.array([sets[i].astype("<u8").tobytes() for i in hit], pa.binary())})
+            at = _bits_of(np.array([k[0] for k in keys], np.int64))
+            known = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).reshape(2, -1).all(axis=0)
+            hit = [i for i in np.flatnonzero(known).tolist() if len(sets[i]) and keys[i] not in seen and not seen.add(keys[i])]
+            if hit:
+                cols = {"s1": [keys[i][0] for i in hit], "s2": [keys[i][1] for i in hit]}
+                yield pa.RecordBatch.from_pydict({**{c: pa.array(v, pa.int64()) for c, v in cols.items()}, "shingles": pa.array([sets[i].astype("<u8").tobytes() for i in hit], pa.binary())})
 
-    marked = wanted.select(F.col("rep").alias("_rep"), F.col("tkey").alias("_tkey"), "s1", "s2")
-    rows = doc_rows(docs).withColumn("tkey", F.xxhash64("text"))
-    rows = rows.join(marked, F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col("tkey") == F.col("_tkey")))
-    return rows.select("doc_id", "text", "s1", "s2").mapInArrow(of, "s1 long, s2 long, shingles binary").dropDuplicates(["s1", "s2"])
+    found = doc_rows(docs).mapInArrow(of, "s1 long, s2 long, shingles binary")
+    return found.join(wanted.select("s1", "s2"), ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
 
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -312,9 +357,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     spark = docs.sparkSession
     table, counts = _corpus(docs, n)
     # A node per set: its smallest id, or a number above all ids where all are null.
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "tkey")).alias("least")
-    sets = table.filter("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("parts").alias("parts"), least)
-    sets = sets.select("s1", "s2", "n", "parts", F.nullif(F.col("least.id"), F.lit((1 << 63) - 1)).alias("rep"), "least.tkey")
+    sets = table.filter("n > 0").groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("parts").alias("parts"), F.min("doc_id").alias("rep"))
     sets = sets.withColumn("node", F.coalesce("rep", F.pmod("s1", F.lit(NO_ID)) + F.lit(NO_ID)))
     sets = stage_table(sets, "distinct-sets")
 
@@ -324,7 +367,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     longer = found.filter("gram is not null").select("gram", "s1", "s2", "n", "pos")
 
     wanted = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("b1", "b2")).union(longer.select("s1", "s2")).distinct()
-    wanted = sets.join(wanted, ["s1", "s2"], "left_semi")
+    wanted = stage_table(wanted, "sets-to-verify")
     contents = stage_table(_contents(docs, n, wanted), "set-contents")
     links = stage_table(_verified(pairs, sets, contents, percent), "links")
     label = components(links, "component")

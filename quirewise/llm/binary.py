@@ -21,7 +21,12 @@ from pyspark.sql import functions as F
 from quirewise.llm.bpe import codec
 from quirewise.llm.common import chunks, doc_rows, mix, partitions, shared_dir
 
-PAD = 0xFFFF_FFFF
+#: Ids of vocabularies below 65,535 take two bytes, others four; the largest value pads.
+NARROW, WIDE = "<u2", "<u4"
+
+
+def pad_of(kind: str) -> int:
+    return (1 << 8 * np.dtype(kind).itemsize) - 1
 
 
 def permute(numbers: np.ndarray, size: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -50,17 +55,17 @@ def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _sequences(path: str, length: int, end_id: int):
+def _sequences(path: str, length: int, end_id: int, kind: str):
     """Sequences of one partition: documents one after another, cut every ``length`` ids, the last one padded."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list]]:
         bpe = codec("word", path)
-        last, step = np.array([end_id], "<u4").tobytes(), 4 * length
+        last, step = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize * length
         rest, owners = b"", []
         for batch in chunks(batches, 2_000_000):
             ids = batch.column("doc_id").to_pylist()
             for doc, tokens in zip(ids, bpe.encode(batch.column("text").to_pylist())):
-                data, at = rest + tokens + last, 0
+                data, at = rest + np.frombuffer(tokens, "<u4").astype(kind).tobytes() + last, 0
                 owners.append(doc)
                 while len(data) - at >= step:
                     yield data[at : at + step], owners
@@ -83,14 +88,15 @@ def write_training_order(
     length: int = 2048,
     shard_slots: int = 4096,
     end_id: int = 49407,
+    kind: str = NARROW,
 ) -> DataFrame:
     """Writes the shards and returns one row per sequence: slot, shard, byte_offset, n_tokens, ids_crc32, doc_ids, file.
 
     ``docs`` has to come from files: it is read twice, to count the sequences of
     each scan partition and to write them, and the second reading fails if
     a partition then holds other counts.  A record is ``length`` little-endian
-    unsigned 32-bit ids; short sequences (one per partition at most) end in
-    ``PAD``.  Shard files are written beside their name and then moved, so
+    unsigned ids of 16 or 32 bits (``kind``); short sequences (one per partition
+    at most) end in the largest value.  ``ids_crc32`` is over the ids as stored.  Shard files are written beside their name and then moved, so
     a repeated task leaves the same file.  A null or empty text is the single
     id ``end_id``; a document of several sequences is in the ``doc_ids`` of each;
     an empty table writes nothing.  The folder is ``out`` or a new one under
@@ -99,7 +105,8 @@ def write_training_order(
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     rows = doc_rows(docs)
-    cut = _sequences(path, length, end_id)
+    cut = _sequences(path, length, end_id, kind)
+    size = np.dtype(kind).itemsize
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -142,7 +149,7 @@ def write_training_order(
         if held:
             yield emit()
 
-    stride = 4 * length
+    stride, pad = size * length, pad_of(kind)
     schema = "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>, file string"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +171,9 @@ def write_training_order(
             for s, slot, data in zip(shards, slots, ids):
                 if s != shard:
                     close()
-                    shard, name = s, f"shard-{s:08d}.u32"
+                    shard, name = s, f"shard-{s:08d}.bin"
                     handle = store.open_output_stream(f"{root}/.{name}.{attempt}")
-                handle.write(data + np.full(length - len(data) // 4, PAD, "<u4").tobytes())
+                handle.write(data + np.full(length - len(data) // size, pad, kind).tobytes())
                 files.append(f"{out}/{name}")
                 crcs.append(zlib.crc32(data))
             yield pa.RecordBatch.from_pydict(
@@ -174,7 +181,7 @@ def write_training_order(
                     "slot": pa.array(slots, pa.int64()),
                     "shard": pa.array(shards, pa.int64()),
                     "byte_offset": pa.array([(x % shard_slots) * stride for x in slots], pa.int64()),
-                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    "n_tokens": pa.array([len(x) // size for x in ids], pa.int64()),
                     "ids_crc32": pa.array(crcs, pa.int64()),
                     "doc_ids": batch.column("doc_ids"),
                     "file": pa.array(files, pa.string()),
@@ -187,13 +194,14 @@ def write_training_order(
     return shards.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "slot").mapInArrow(write, schema)
 
 
-def read_slots(folder: str, start: int, stop: int, length: int = 2048, shard_slots: int = 4096) -> Iterator[np.ndarray]:
+def read_slots(folder: str, start: int, stop: int, length: int = 2048, shard_slots: int = 4096, kind: str = NARROW) -> Iterator[np.ndarray]:
     """The ids of slots ``start`` to ``stop`` - 1 in training order, without padding: how a trainer resumes."""
     store, root = _filesystem(folder)
+    stride = np.dtype(kind).itemsize * length
     for shard in range(start // shard_slots, -(-stop // shard_slots)):
         lo, hi = max(start, shard * shard_slots), min(stop, (shard + 1) * shard_slots)
-        with store.open_input_file(f"{root}/shard-{shard:08d}.u32") as f:
-            f.seek((lo % shard_slots) * 4 * length)
+        with store.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
+            f.seek((lo % shard_slots) * stride)
             for _ in range(lo, hi):
-                ids = np.frombuffer(f.read(4 * length), "<u4")
-                yield ids[ids != PAD]
+                ids = np.frombuffer(f.read(stride), kind)
+                yield ids[ids != pad_of(kind)]

@@ -150,7 +150,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     marks = bitmaps.select(*(F.col(c).alias(a) for c, a in hidden.items()))
     rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("_t_key", text_key(F.col("text")))
-    rows = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_b_id")) & (F.col("_t_key") == F.col("_b_key")), "left")
+    # Bitmaps grow with the corpus: never broadcast.
+    rows = rows.join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_b_id")) & (F.col("_t_key") == F.col("_b_key")), "left")
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, keep: pd.Series) -> pd.Series:

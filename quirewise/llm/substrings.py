@@ -290,7 +290,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shards = max(n, opened.count() // SHARD)
     spans = opened.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "count", "anchor", "kind")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "spans")
-    texts = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("tkey").eqNullSafe(F.col("_t"))).select("doc_id", "tkey", "text", "spans")
+    texts = rows.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("tkey").eqNullSafe(F.col("_t"))).select("doc_id", "tkey", "text", "spans")
     spelled = texts.mapInArrow(_spell(window, shards), SHARD_ROW).repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "tkey", "start")
     return equal.union(spelled.mapInArrow(_search(window), "doc_id long, tkey int, start int, count int"))
 
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spans = repeated_spans(docs, window).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "count")).alias("gone"))
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "gone")
-    rows = _keyed(docs).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("tkey").eqNullSafe(F.col("_t")), "left").select("doc_id", "text", "gone")
+    rows = _keyed(docs).join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("tkey").eqNullSafe(F.col("_t")), "left").select("doc_id", "text", "gone")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

@@ -1,9 +1,11 @@
 """Token ids in training order: a keyed permutation of all sequences, written as fixed-stride shards.
 
-Every sequence has a dense number; a Feistel network over the next even number
-of bits, walked until it lands inside, sends the number to a global slot.  Slots
-are cut into shards of equal size; a record has one fixed size, so the position
-of a slot in its file is a multiplication, and a reader resumes at any slot.
+Every sequence has a number (scan partition and place in it); a Feistel network
+over the next even number of bits, walked until it lands inside, sends the
+number to a key.  Equal ranges of keys are shards, each written in order of the
+keys, and the global slot is the rank of the key: the records of the shards
+before it and the place in its own.  A record has one fixed size, so file sizes
+tell the shards' first slots and a reader resumes at any slot by multiplication.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.llm.bpe import codec
-from quirewise.llm.common import chunks, doc_rows, mix, partitions, shared_dir
+from quirewise.llm.common import chunks, doc_rows, mix, partitions, shared_dir, stage_table
 
 #: Ids of vocabularies below 65,535 take two bytes, others four; the largest value pads.
 NARROW, WIDE = "<u2", "<u4"
@@ -80,59 +82,52 @@ def _sequences(path: str, length: int, end_id: int, kind: str):
     return of
 
 
+#: Numbers that a scan partition may give out.
+PER_PARTITION = 1 << 32
+
+
 def write_training_order(
     docs: DataFrame,
     path: str,
     key: int,
     out: str | None = None,
     length: int = 2048,
-    shard_slots: int = 4096,
+    shards: int | None = None,
     end_id: int = 49407,
     kind: str = NARROW,
 ) -> DataFrame:
     """Writes the shards and returns one row per sequence: slot, shard, byte_offset, n_tokens, ids_crc32, doc_ids, file.
 
-    ``docs`` has to come from files: it is read twice, to count the sequences of
-    each scan partition and to write them, and the second reading fails if
-    a partition then holds other counts.  A record is ``length`` little-endian
-    unsigned ids of 16 or 32 bits (``kind``); short sequences (one per partition
-    at most) end in the largest value.  ``ids_crc32`` is over the ids as stored.  Shard files are written beside their name and then moved, so
-    a repeated task leaves the same file.  A null or empty text is the single
-    id ``end_id``; a document of several sequences is in the ``doc_ids`` of each;
-    an empty table writes nothing.  The folder is ``out`` or a new one under
-    ``spark.checkpoint.dir``.
+    ``docs`` has to come from files, so that a repeated task reads the same rows
+    in the same order.  A record is ``length`` little-endian unsigned ids of 16
+    or 32 bits (``kind``); short sequences (one per scan partition at most) end
+    in the largest value.  ``ids_crc32`` is over the ids as stored.  Shard files
+    are written beside their name and then moved, so a repeated task leaves the
+    same file.  A null or empty text is the single id ``end_id``; a document of
+    several sequences is in the ``doc_ids`` of each; an empty table writes
+    nothing.  ``shards`` is the number of shuffle partitions if not given; the
+    folder is ``out`` or a new one under ``spark.checkpoint.dir``.
     """
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    shards = shards or partitions(spark)
     rows = doc_rows(docs)
+    numbers = max(1, rows.rdd.getNumPartitions()) * PER_PARTITION
+    per_shard = -(-numbers // shards)
     cut = _sequences(path, length, end_id, kind)
     size = np.dtype(kind).itemsize
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        n = sum(1 for _ in cut(batches))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
-
-    # One row per scan partition.
-    counts = {r["part"]: r["n"] for r in rows.mapInArrow(count, "part int, n long").collect()}
-    total, base, upto = sum(counts.values()), {}, 0
-    for part in sorted(counts):
-        base[part] = upto
-        upto += counts[part]
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        done, held = 0, []
+        first, held = TaskContext.get().partitionId() * PER_PARTITION, []
 
         def emit():
-            slots = permute(np.arange(base[part] + done - len(held), base[part] + done), total, key)
+            keys = permute(np.arange(first, first + len(held)), numbers, key)
             return pa.RecordBatch.from_pydict(
                 {
-                    "shard": pa.array(slots // shard_slots),
-                    "slot": pa.array(slots),
+                    "shard": pa.array(keys // per_shard),
+                    "key": pa.array(keys),
                     "ids": pa.array([x for x, _ in held], pa.binary()),
                     "doc_ids": pa.array([x for _, x in held], pa.list_(pa.int64())),
                 }
@@ -140,17 +135,14 @@ def write_training_order(
 
         for record in cut(batches):
             held.append(record)
-            done += 1
             if len(held) == 512:
                 yield emit()
-                held = []
-        if done != counts.get(part, 0):
-            raise RuntimeError(f"partition {part} held {counts.get(part, 0)} sequences, now {done}: write the table first")
+                first, held = first + 512, []
         if held:
             yield emit()
 
     stride, pad = size * length, pad_of(kind)
-    schema = "slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>, file string"
+    schema = "shard long, place long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>, file string"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -158,7 +150,7 @@ def write_training_order(
         store, root = _filesystem(out)
         store.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        shard, handle, name = None, None, ""
+        shard, handle, name, at = None, None, "", 0
 
         def close():
             if handle is not None:
@@ -166,21 +158,23 @@ def write_training_order(
                 store.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
 
         for batch in batches:
-            slots, shards = batch.column("slot").to_pylist(), batch.column("shard").to_pylist()
-            ids, files, crcs = batch.column("ids").to_pylist(), [], []
-            for s, slot, data in zip(shards, slots, ids):
+            numbers, ids = batch.column("shard").to_pylist(), batch.column("ids").to_pylist()
+            places, files, crcs = [], [], []
+            for s, data in zip(numbers, ids):
                 if s != shard:
                     close()
-                    shard, name = s, f"shard-{s:08d}.bin"
+                    shard, name, at = s, f"shard-{s:08d}.bin", 0
                     handle = store.open_output_stream(f"{root}/.{name}.{attempt}")
                 handle.write(data + np.full(length - len(data) // size, pad, kind).tobytes())
+                places.append(at)
                 files.append(f"{out}/{name}")
                 crcs.append(zlib.crc32(data))
+                at += 1
             yield pa.RecordBatch.from_pydict(
                 {
-                    "slot": pa.array(slots, pa.int64()),
-                    "shard": pa.array(shards, pa.int64()),
-                    "byte_offset": pa.array([(x % shard_slots) * stride for x in slots], pa.int64()),
+                    "shard": pa.array(numbers, pa.int64()),
+                    "place": pa.array(places, pa.int64()),
+                    "byte_offset": pa.array([x * stride for x in places], pa.int64()),
                     "n_tokens": pa.array([len(x) // size for x in ids], pa.int64()),
                     "ids_crc32": pa.array(crcs, pa.int64()),
                     "doc_ids": batch.column("doc_ids"),
@@ -189,19 +183,31 @@ def write_training_order(
             )
         close()
 
-    # Range partitions of slots: every shard is one contiguous range, a task writes its shards one by one.
-    shards = rows.mapInArrow(place, "shard long, slot long, ids binary, doc_ids array<long>")
-    return shards.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "slot").mapInArrow(write, schema)
+    # A shard is one contiguous range of keys; a task writes its shards one by one.
+    keyed = rows.mapInArrow(place, "shard long, key long, ids binary, doc_ids array<long>")
+    written = keyed.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "key").mapInArrow(write, schema)
+    manifest = stage_table(written, "shard-manifest")
+    # One number per shard.
+    counts = sorted((r["shard"], r["n"]) for r in manifest.groupBy("shard").agg(F.count("*").alias("n")).collect())
+    ends = np.cumsum([n for _, n in counts]).tolist()
+    bases = spark.createDataFrame([(s, e - n) for (s, n), e in zip(counts, ends)], "shard long, base long")
+    placed = manifest.join(F.broadcast(bases), "shard")
+    return placed.select((F.col("base") + F.col("place")).alias("slot"), "shard", "byte_offset", "n_tokens", "ids_crc32", "doc_ids", "file")
 
 
-def read_slots(folder: str, start: int, stop: int, length: int = 2048, shard_slots: int = 4096, kind: str = NARROW) -> Iterator[np.ndarray]:
+def read_slots(folder: str, start: int, stop: int, length: int = 2048, kind: str = NARROW) -> Iterator[np.ndarray]:
     """The ids of slots ``start`` to ``stop`` - 1 in training order, without padding: how a trainer resumes."""
     store, root = _filesystem(folder)
-    stride = np.dtype(kind).itemsize * length
-    for shard in range(start // shard_slots, -(-stop // shard_slots)):
-        lo, hi = max(start, shard * shard_slots), min(stop, (shard + 1) * shard_slots)
-        with store.open_input_file(f"{root}/shard-{shard:08d}.bin") as f:
-            f.seek((lo % shard_slots) * stride)
+    stride, base = np.dtype(kind).itemsize * length, 0
+    files = sorted(store.get_file_info(fs.FileSelector(root)), key=lambda f: f.base_name)
+    for info in (f for f in files if f.base_name.startswith("shard-")):
+        count = info.size // stride
+        lo, hi = max(start - base, 0), min(stop - base, count)
+        base += count
+        if lo >= hi:
+            continue
+        with store.open_input_file(info.path) as f:
+            f.seek(lo * stride)
             for _ in range(lo, hi):
                 ids = np.frombuffer(f.read(stride), kind)
                 yield ids[ids != pad_of(kind)]

@@ -44,7 +44,8 @@ class FmIndex:
     """Backward search for patterns of up to ``depth`` symbols (a power of two) in ``text``.
 
     Suffixes are ordered by their first ``depth`` symbols, which is all that
-    patterns of that length can tell apart.  Symbols are 0 to sigma - 1.
+    patterns of that length can tell apart.  Symbols are 0 to sigma - 1; the
+    text ends in 0, which no pattern holds.
     """
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int = 32):
@@ -52,7 +53,7 @@ class FmIndex:
         rank, width = text.astype(np.int64), 1
         while width < depth:
             second = np.zeros(size, np.int64)
-            second[: size - width] = rank[width:] + 1
+            second[: max(0, size - width)] = rank[width:] + 1
             rank = np.unique(rank * (size + sigma + 1) + second, return_inverse=True)[1]
             width *= 2
         self.suffixes = np.argsort(rank, kind="stable")

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirewise.plans.storage import shared_dir  # noqa: F401
+
 #: Fixed values of the contracts: white space, and a word as a run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -33,14 +35,6 @@ def ascii_lower(text: Column) -> Column:
 # ------------------------------------------------------------ stage tables
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; there is no machine-local fallback."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return folder.rstrip("/")
-
-
 def stage_table(df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataFrame:
     """Write ``df`` into the shared folder and go on from the written files.
 

@@ -164,6 +164,6 @@ def file_list(spark, sf_dir):
     return O.result_files(files)
 
 
-@query("first_exams", f"WITH {NAMED} SELECT book_id, index, name FROM m WHERE index <= 4")
+@query("first_exams", f"WITH {NAMED} SELECT book_id, index, name FROM m QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY index) <= 4")
 def first_exams(spark, sf_dir):
     return O.first_exams(named(spark, sf_dir)).select("book_id", "index", "name")

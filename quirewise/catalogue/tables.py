@@ -21,12 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table of very few files to all cores; a table of many stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 # --- page texts out of documents ---------------------------------------------
 
 NL = "chr(10)"
@@ -96,7 +90,7 @@ STRIPS_SQL = (
 
 def page_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book_id, page, cols, full): one book per source, one page per document."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return docs.selectExpr(
         "source AS book_id",
         "doc_id AS page",

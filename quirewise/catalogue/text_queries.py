@@ -22,7 +22,7 @@ LINES = (
 
 
 def documents(spark, sf_dir):
-    return t.spread(t.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return t.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def line_rows(spark, sf_dir, lines):

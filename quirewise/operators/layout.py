@@ -257,14 +257,16 @@ def apply_layout_overrides(
     """Layout with overrides applied, plus ``old_layout`` and ``changed``.
 
     A later override of the same page wins when the table has a ``seq`` column.
+    Overrides are typed in by hand, so the error can name every unknown page.
     ``on_unknown='fail'`` raises if any override names an unknown page.
     """
     valid, _ = split_overrides(overrides)
     if on_unknown == "fail":
-        missing = unknown_overrides(layout, valid).orderBy("book_id", "page").take(20)
-        if missing:
-            names = ", ".join(f"{r['book_id']}:{r['page']}" for r in missing)
-            raise ValueError(f"overrides name pages outside the collection: {names}")
+        missing = unknown_overrides(layout, valid)
+        books = missing.groupBy("book_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("page")).alias("pages"))
+        names = [f"{r['book_id']}:{p}" for r in books.collect() for p in r["pages"]]
+        if names:
+            raise ValueError(f"{len(names)} overrides name pages outside the collection: {', '.join(sorted(names))}")
     order = F.col("seq") if "seq" in overrides.columns else F.col("layout")
     chosen = valid.groupBy("book_id", "page").agg(F.max_by("layout", order).alias("new_layout"))
     new = F.col("new_layout")

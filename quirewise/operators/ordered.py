@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 BLOCK_WIDTH = 4096
 
 
+#: Block of the rows without an order; it comes before all others.
+FIRST_BLOCK = -(1 << 62)
+
+
 def block_of(order: str, width: int = BLOCK_WIDTH):
-    return F.floor(F.col(order) / F.lit(width)).cast("long")
+    return F.coalesce(F.floor(F.col(order) / F.lit(width)).cast("long"), F.lit(FIRST_BLOCK))
 
 
 def rank_in_group(
@@ -35,7 +39,6 @@ def rank_in_group(
     rows = df.withColumns(
         {**{k: F.struct(F.col(g).alias("v")) for k, g in zip(keys, group)}, "__block": block_of(order, width)}
     )
-    rows = rows.filter("__block IS NOT NULL")
     sizes = rows.groupBy(*keys, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(
         Window.unboundedPreceding, -1
@@ -60,18 +63,22 @@ def carry_forward(
     Equal to ``last(value, ignorenulls)`` over all preceding rows.
     """
     group = list(group)
-    rows = df.withColumn("__block", block_of(order, width)).filter("__block IS NOT NULL")
-    tails = rows.groupBy(*group, "__block").agg(
-        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__tail")
+    # Groups compare null-safe, as partitionBy does.
+    keys = [f"__g{i}" for i in range(len(group))]
+    rows = df.withColumns(
+        {**{k: F.struct(F.col(g).alias("v")) for k, g in zip(keys, group)}, "__block": block_of(order, width)}
+    )
+    tails = rows.groupBy(*keys, "__block").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.coalesce(F.col(order), F.lit(FIRST_BLOCK)))).alias("__tail")
     )
-    past = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    entry = tails.select(*group, "__block", F.last("__tail", ignorenulls=True).over(past).alias("__entry"))
-    inner = Window.partitionBy(*group, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    entry = tails.select(*keys, "__block", F.last("__tail", ignorenulls=True).over(past).alias("__entry"))
+    inner = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("__near", F.last(value, ignorenulls=True).over(inner))
-        .join(entry, [*group, "__block"])
+        .join(entry, [*keys, "__block"])
         .withColumn(out, F.coalesce("__near", "__entry"))
-        .drop("__block", "__near", "__entry")
+        .drop(*keys, "__block", "__near", "__entry")
     )
 
 

@@ -129,24 +129,37 @@ def coarse_stage(line: Column) -> Column:
 def log_tail(run_log: DataFrame, n: int = 500) -> DataFrame:
     """K3: the last ``n`` lines of every run.
 
-    Spark limits each task to n rows per run before the shuffle.
+    Two steps, at any ``n``: the last n of every part of a run, then of the run,
+    so no task sorts a whole long run.
     """
-    latest = Window.partitionBy("run_id").orderBy(F.desc("seq"))
-    return run_log.withColumn("rn", F.row_number().over(latest)).filter(F.col("rn") <= n).drop("rn")
+    parts = int(run_log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = run_log.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(parts)))
+    for keys in (("run_id", "part"), ("run_id",)):
+        latest = Window.partitionBy(*keys).orderBy(F.desc("seq"))
+        rows = rows.withColumn("rn", F.row_number().over(latest)).filter(F.col("rn") <= n)
+    return rows.drop("rn", "part")
 
 
-def batch_rows(batch_run: DataFrame, states: DataFrame) -> DataFrame:
-    """States of the runs of each batch; unknown runs drop out."""
-    return batch_run.join(states, "run_id")
+def batch_rows(batch_run: DataFrame, states: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """States of the runs of each batch.
+
+    ``registry`` (run_id) names the submitted runs: one that has not logged yet is
+    queued, at nothing.  Runs that neither it nor the states know drop out.
+    """
+    if registry is None:
+        return batch_run.join(states, "run_id")
+    submitted = registry.select("run_id").union(states.select("run_id")).distinct()
+    rows = batch_run.join(submitted, "run_id").join(states, "run_id", "left")
+    return rows.withColumns({"status": F.coalesce("status", F.lit("queued")), "progress": F.coalesce("progress", F.lit(0.0))})
 
 
-def batch_rollup(batch_run: DataFrame, states: DataFrame) -> DataFrame:
-    """A13"""
+def batch_rollup(batch_run: DataFrame, states: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Queued runs of ``registry`` count in the totals."""
     status = F.col("status")
     done = status == "done"
     total = lambda c: F.sum(F.when(done, F.coalesce(F.col(c), F.lit(0))).otherwise(0))
     return (
-        batch_rows(batch_run, states)
+        batch_rows(batch_run, states, registry)
         .groupBy("batch_id")
         .agg(
             F.count(F.lit(1)).alias("total"),

@@ -261,7 +261,10 @@ def apply_title_overrides(
         )
         .cast(HEADER)
         .alias("override"),
+        (F.col("seq") if "seq" in overrides.columns else F.lit(0)).alias("seq"),
     )
+    # The last of several overrides of a page wins, as with layouts.
+    ov = ov.groupBy("book_id", "page").agg(F.max_by("override", F.struct("seq", "override")).alias("override"))
     forced = F.col("override").isNotNull()
     return (
         subpages.join(ov, ["book_id", "page"], "left")

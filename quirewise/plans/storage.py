@@ -17,16 +17,16 @@ def _local_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local session may go without: it gets a temporary folder.  On a
-    cluster a machine-local folder would be lost with its executor.
+    Where that is unset, a session inside one process gets a temporary folder and
+    any other a folder in the warehouse, which all of its executors share.
     """
     conf = spark.sparkContext.getConf()
     folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    return _local_dir()
+    if spark.sparkContext._jsc.sc().isLocal():
+        return _local_dir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/stages"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

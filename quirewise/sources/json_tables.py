@@ -53,7 +53,10 @@ def _pairs(cuts: Column) -> Column:
 
 
 def read_layout(docs: DataFrame) -> DataFrame:
-    """S4 + S5: both layout shapes; rows without cuts get the plain windows."""
+    """S4 + S5: both layout shapes; rows without cuts get the plain windows.
+
+    The last entry of a page that is listed twice counts.
+    """
     entries = F.map_entries(F.from_json("json", "map<string,string>"))
     bare = F.transform(
         entries,
@@ -68,7 +71,8 @@ def read_layout(docs: DataFrame) -> DataFrame:
         ),
     ).cast(LAYOUT_ROWS)
     rows = F.when(_is_list(F.col("json")), F.from_json("json", LAYOUT_ROWS)).otherwise(bare)
-    return explode_once(docs, ["book_id"], rows, "pos", "r").select(
+    listed = explode_once(docs, ["book_id"], rows, "pos", "r")
+    return listed.groupBy("book_id", "r.page").agg(F.max_by("r", "pos").alias("r")).select(
         "book_id",
         "r.page",
         "r.layout",

@@ -46,3 +46,9 @@ def read_replies(replies: DataFrame) -> DataFrame:
     return explode_once(replies, keep, rows, "pos", "r").select(
         *keep, "pos", "r.orig", "r.fixed", "r.conf"
     )
+
+
+def unreadable_replies(replies: DataFrame) -> DataFrame:
+    """The replies in which neither text holds an array: what ``read_replies`` has no row for."""
+    rows = F.coalesce(first_array(F.col("content")), first_array(F.col("reasoning")))
+    return replies.filter(rows.isNull())

@@ -91,7 +91,7 @@ def _le32(ids: list[int]) -> bytes:
 class _Cached:
     """Pre-token to the bytes of its ids (little-endian unsigned 32 bit), for a bounded number of them."""
 
-    bound = 1_000_000
+    bound = 600_000
     longest = 64
 
     def __init__(self):

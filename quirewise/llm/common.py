@@ -80,7 +80,7 @@ def chunks(batches: Iterator[pa.RecordBatch], budget: int = 6_000_000, column: s
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         super().__init__()
         self.bound = bound
 

@@ -27,23 +27,21 @@ from quirewise.llm.common import WordHashes, chunks, components, doc_rows, grams
 #: Slots of the table of shingle counts (16 MB), and buckets of the suffix filter.
 COUNT_BITS = 22
 BUCKETS = 64
-#: Bits of the filter over the sets to verify (8 MB, packed).
-FILTER_BITS = 26
+#: Bits of the filter over the sets to verify (4 MB, packed).
+FILTER_BITS = 25
 #: A list of more sets than this is first linked to pivots.
 SHORT_LIST = 8
 #: Ids are below this; sets that only rows without an id have get nodes from here on.
 NO_ID = 1 << 62
 
-_CACHE = WordHashes()
 
-
-def shingle_sets(texts: list[str], n: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], n: int, cache: WordHashes) -> list[np.ndarray]:
     """The distinct n-word shingles of each text as sorted 64-bit hashes.
 
     A-Z count as lower case.  A text with fewer words is one shingle as a whole;
     one without words has none.
     """
-    words, counts = word_hashes(texts, True, _CACHE)
+    words, counts = word_hashes(texts, True, cache)
     all_grams = grams(words, n)
     out, at = [], 0
     for count in counts.tolist():
@@ -75,8 +73,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _each(batches: Iterator[pa.RecordBatch], n: int):
-    for batch in chunks(batches):
-        yield batch, shingle_sets(batch.column("text").to_pylist(), n)
+    cache = WordHashes()
+    for batch in chunks(batches, 3_000_000):
+        yield batch, shingle_sets(batch.column("text").to_pylist(), n, cache)
 
 
 def _corpus(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:

@@ -258,9 +258,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, contents: DataFrame, percent: i
 
     The suffix filter looks at bucket counts only: the hamming distance of two
     sets is at least the summed difference of their buckets.  What passes is
-    counted exactly, once a pair.
+    counted exactly, once a pair.  Only sets of these pairs reach the shuffles.
     """
 
+    def keys_of(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("a1").alias("s1")).union(rows.select("b1"))
+
+    sets = _among(sets, keys_of(pairs))
+
     def side(x: str) -> DataFrame:
         return sets.select(F.col("s1").alias(f"{x}1"), F.col("s2").alias(f"{x}2"), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}"), F.col("node").alias(f"node_{x}"))
 
@@ -270,6 +275,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, contents: DataFrame, percent: i
     near = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     most = (F.col("na") + F.col("nb") - F.pandas_udf(_suffix_bound, "long")("pa", "pb")) / 2
     near = near.withColumn("most", most).filter(f"100 * most >= {percent} * (na + nb - most)").drop("pa", "pb", "most")
+    near = stage_table(near, "near-pairs")
+    contents = _among(contents, keys_of(near))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,6 +299,12 @@ def _bits_of(s1: np.ndarray) -> np.ndarray:
     return np.concatenate([h & low, h >> np.uint64(64 - FILTER_BITS)]).astype(np.int64)
 
 
+def _known(s1: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys the filter lets through: all it was built from, and few others while it is not full."""
+    at = _bits_of(s1)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).reshape(2, -1).all(axis=0)
+
+
 def _membership(keys: DataFrame) -> np.ndarray:
     """A Bloom filter over ``s1``, of a fixed size whatever the number of keys."""
     block = 1 << 16
@@ -321,6 +334,16 @@ def _membership(keys: DataFrame) -> np.ndarray:
     return packed
 
 
+def _among(table: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``table`` that may have a key of ``keys``, picked before they are shuffled to a join."""
+    shared = table.sparkSession.sparkContext.broadcast(_membership(keys))
+
+    def known(s1: pd.Series) -> pd.Series:
+        return pd.Series(_known(s1.to_numpy(), shared.value))
+
+    return table.filter(F.pandas_udf(known, "boolean")("s1"))
+
+
 def _contents(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """s1, s2, shingles (sorted unsigned 64 bit) of the wanted sets, each once.
 
@@ -333,8 +356,7 @@ def _contents(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
         bits, seen = shared.value, set()
         for _, sets in _each(batches, n):
             keys = [set_key(s) for s in sets]
-            at = _bits_of(np.array([k[0] for k in keys], np.int64))
-            known = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).reshape(2, -1).all(axis=0)
+            known = _known(np.array([k[0] for k in keys], np.int64), bits)
             hit = [i for i in np.flatnonzero(known).tolist() if len(sets[i]) and keys[i] not in seen and not seen.add(keys[i])]
             if hit:
                 cols = {"s1": [keys[i][0] for i in hit], "s2": [keys[i][1] for i in hit]}

@@ -99,24 +99,31 @@ def apply_corrections(spark, sf_dir):
 @query(
     "correction_writeback",
     f"WITH {APPLIED}, ex AS (SELECT book_id, index AS idx, orig AS title FROM ap UNION ALL "
-    "SELECT 'site1', CAST(100000 AS INTEGER), 'extra') , "
+    "SELECT 'site1', CAST(100000 AS INTEGER), 'extra'), t AS (SELECT book_id, orig, any_value(fixed) AS fixed FROM pv GROUP BY ALL), "
     f"w AS (SELECT ex.book_id, ex.idx, CASE WHEN ex.book_id <> 'site1' THEN ap.name ELSE "
-    rf"""trim(regexp_replace(coalesce({_prefixed('coalesce(l.fixed, l.orig)')}, regexp_replace(ex.title, '\s+', '', 'g')), '[<>:"/\\|?*]', '_', 'g')) END AS title """
+    rf"""trim(regexp_replace(coalesce(t.fixed, regexp_replace(ex.title, '\s+', '', 'g')), '[<>:"/\\|?*]', '_', 'g')) END AS title """
     "FROM ex LEFT JOIN ap ON ap.book_id = ex.book_id AND ap.index = ex.idx "
-    r"LEFT JOIN l ON l.book_id = ex.book_id AND l.orig = regexp_replace(ex.title, '\s+', '', 'g')) "
+    r"LEFT JOIN t ON t.book_id = ex.book_id AND t.orig = regexp_replace(ex.title, '\s+', '', 'g')) "
     f"SELECT book_id, idx, title, {_parsed('title')} FROM w",
 )
 def correction_writeback(spark, sf_dir):
     man = manifest(spark, sf_dir)
     fixes = corrections(man)
+    # A correction of a title that no manifest holds changes nothing.
+    foreign = man.filter("book_id = 'site1' AND index = 1").selectExpr(
+        "book_id", "'extra' AS orig", "'extra初2030届' AS fixed", "'high' AS conf", "index AS seq"
+    )
+    return C.write_back(_exams(man), man, fixes.unionByName(foreign))
+
+
+def _exams(man):
     exam = man.select("book_id", F.col("index").alias("idx"), F.col("name").alias("title"))
     # One book has a document more than its manifest and is matched by title.
     first = exam.filter("book_id = 'site1' AND idx = 1")
     exam = exam.unionByName(
         first.select("book_id", F.lit(100000).alias("idx"), F.lit("extra").alias("title"))
     )
-    exam = exam.select("*", *[F.lit(None).cast("string").alias(c) for c in ("school", "branch", "year")])
-    return C.write_back(exam, C.apply_to_manifest(man, fixes), fixes)
+    return exam.select("*", *[F.lit(None).cast("string").alias(c) for c in ("school", "branch", "year")])
 
 
 @query(
@@ -148,3 +155,23 @@ REPLY_COLUMNS = (
 )
 def reply_flatten(spark, sf_dir):
     return read_replies(manifest(spark, sf_dir).selectExpr(*REPLY_COLUMNS))
+
+
+_FROM_REPLIES = (
+    f"{MAN}, b AS (SELECT book_id, index, name AS orig, {_prefixed("name || '!'")} AS fixed FROM m), "
+    r"""u AS (SELECT *, trim(regexp_replace(fixed, '[<>:"/\\|?*]', '_', 'g')) AS base FROM b), """
+    "d AS (SELECT *, row_number() OVER (PARTITION BY book_id, base ORDER BY index) AS rn FROM u), "
+    "ap AS (SELECT *, base || CASE WHEN rn > 1 THEN '(' || rn || ')' ELSE '' END AS name FROM d), "
+    "t AS (SELECT book_id, orig, any_value(base) AS base FROM u GROUP BY ALL), "
+    "ex AS (SELECT book_id, index AS idx, orig AS title FROM b UNION ALL SELECT 'site1', CAST(100000 AS INTEGER), 'extra'), "
+    "w AS (SELECT ex.book_id, ex.idx, CASE WHEN ex.book_id <> 'site1' THEN ap.name ELSE "
+    r"coalesce(t.base, regexp_replace(ex.title, '\s+', '', 'g')) END AS title "
+    "FROM ex LEFT JOIN ap ON ap.book_id = ex.book_id AND ap.index = ex.idx "
+    r"LEFT JOIN t ON t.book_id = ex.book_id AND t.orig = regexp_replace(ex.title, '\s+', '', 'g')) "
+)
+
+
+@query("titles_from_replies", f"WITH {_FROM_REPLIES} SELECT book_id, idx, title, {_parsed('title')} FROM w")
+def titles_from_replies(spark, sf_dir):
+    man = manifest(spark, sf_dir)
+    return C.correct_titles(man.selectExpr(*REPLY_COLUMNS), man, _exams(man)).exam

@@ -185,15 +185,15 @@ def read_manifest(spark, sf_dir):
 @query(
     "replace_books",
     "SELECT source AS book_id, doc_id AS page, CASE WHEN source = 'src1' THEN 'new' ELSE lang END AS lang FROM documents "
-    "WHERE source <> 'src1' OR doc_id % 2 = 1",
+    "WHERE source <> 'src2' AND (source <> 'src1' OR doc_id % 2 = 1)",
 )
 def replace_books(spark, sf_dir):
-    """Write all books, then replace one of them, then read the table back."""
+    """Write all books, then replace one of them and empty another, then read the table back."""
     path = fresh_path(spark, "books")
     docs = t.table(spark, sf_dir, "documents").selectExpr("source AS book_id", "doc_id AS page", "lang")
     J.replace_books(docs, path)
     again = docs.filter("book_id = 'src1' AND page % 2 = 1").withColumn("lang", F.lit("new"))
-    J.replace_books(again, path)
+    J.replace_books(again, path, books=docs.filter("book_id IN ('src1', 'src2')"))
     return J.read_books(spark, path, "page bigint, lang string, book_id string")
 
 

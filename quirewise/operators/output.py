@@ -89,19 +89,35 @@ def whole_page_segments(exam: DataFrame, layout: DataFrame) -> DataFrame:
     )
 
 
+def _windows(segments: DataFrame, layout: DataFrame, pages: DataFrame) -> DataFrame:
+    windows = page_layout(pages, layout).select("book_id", "page", "width", "height", "cuts")
+    rows = segments.join(windows, ["book_id", "page"], "left")
+    return rows.withColumn("cut", F.get("cuts", F.col("col"))).drop("cuts")
+
+
+#: What a slice needs: a size of its page and a window of its column.
+_PLACED = "width IS NOT NULL AND height IS NOT NULL AND cut IS NOT NULL"
+
+
+def unplaced_segments(segments: DataFrame, layout: DataFrame, pages: DataFrame) -> DataFrame:
+    """T4: the segments ``slice_plan`` can't place, with the reason."""
+    why = F.when(F.col("width").isNull() | F.col("height").isNull(), "no page size").otherwise("no window")
+    return _windows(segments, layout, pages).filter(f"NOT ({_PLACED})").select("book_id", "idx", "seq", "page", "col", why.alias("reason"))
+
+
 def slice_plan(
     segments: DataFrame, layout: DataFrame, pages: DataFrame, dpi: int = SLICE_DPI
 ) -> DataFrame:
     """Output page -> source page, window in points, scale, pixel size.
 
-    One co-partitioned lookup by (book_id, page); pages of no size are left out.
+    One co-partitioned lookup by (book_id, page).  A window of no pixels gives no
+    page; segments without a page size or window are in ``unplaced_segments``.
     """
-    windows = page_layout(pages, layout).select("book_id", "page", "width", "height", "cuts")
     x0, x1 = F.col("cut.x0") * F.col("width"), F.col("cut.x1") * F.col("width")
     scale = F.col("scale")
     return (
-        segments.join(windows, ["book_id", "page"])
-        .withColumn("cut", F.get("cuts", F.col("col")))
+        _windows(segments, layout, pages)
+        .filter(_PLACED)
         .withColumn("x0", x0)
         .withColumn("x1", x1)
         .withColumn("scale", render_scale(F.col("x1") - F.col("x0"), F.col("height"), dpi))

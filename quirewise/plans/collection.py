@@ -39,6 +39,7 @@ class Result:
     exam: DataFrame
     segments: DataFrame
     slices: DataFrame
+    unplaced: DataFrame
     manifest: DataFrame
     strips: DataFrame
     subjects: DataFrame | None
@@ -95,6 +96,7 @@ def split_collections(
         exam=exam,
         segments=marked,
         slices=slices,
+        unplaced=output.unplaced_segments(marked, lay, inputs.pages),
         manifest=output.manifest(exam, slices, naming),
         strips=inputs.page_strip,
         subjects=subjects,

@@ -6,6 +6,7 @@ makes one from files.  Between operators the tables stay in Parquet.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ..functions.text import nonempty
 from ..operators.layout import CUTS_TYPE, default_cuts
 from ..operators.ordered import block_of
 from ..operators.subpages import override_title
+from ..plans.storage import materialize
 from ..rules import CN_EXAM, RuleProfile
 
 LAYOUT_ROWS = (
@@ -172,25 +174,61 @@ def read_manifest(docs: DataFrame) -> DataFrame:
     )
 
 
-def replace_books(df: DataFrame, path: str, order: str = "page", fmt: str = "parquet") -> None:
-    """Write a table by book; books present are replaced whole.
-
-    Rows go to one file per (book, block of the order column), so a huge book
-    is written by many tasks and a small one by a single task.  Re-running
-    replaces the same partitions, which makes a retry harmless.
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("book_id"), F.lit(buckets)).cast("int")
+
+
+def replace_books(
+    df: DataFrame,
+    path: str,
+    order: str = "page",
+    fmt: str = "parquet",
+    books: DataFrame | None = None,
+    buckets: int = 256,
+) -> None:
+    """Write a table by book; the named books are replaced whole.
+
+    ``books`` (book_id) names the books that ``df`` is the new state of; one of
+    them without rows in ``df`` is cleared.  Without it the books of ``df`` are
+    meant.  The table is partitioned by a hash of the book, in ``buckets`` folders
+    (the same number in every call on a path), whatever the number of books.
+    Touched buckets are written anew: the rows of their other books are carried
+    over, and a marker row keeps a bucket that ends empty replaceable.  Rows go to
+    a file per (bucket, block of the order column), so a huge book is written by
+    many tasks.  Re-running leaves the same table; one writer at a time.
     """
+    spark = df.sparkSession
+    named = (df if books is None else books).select("book_id").distinct().withColumn("__bucket", _bucket(buckets))
+    named = materialize(named, "named-books")
+    # At most ``buckets`` numbers.
+    touched = [r[0] for r in named.select("__bucket").distinct().collect()]
+    if not touched:
+        return
+    rows = df.withColumns({"__live": F.lit(True), "__bucket": _bucket(buckets)})
+    try:
+        old = spark.read.format(fmt).schema(rows.schema).load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        old = old.filter(F.col("__bucket").isin(touched) & F.col("__live")).alias("o")
+        others = old.join(named.alias("n"), F.col("o.book_id").eqNullSafe(F.col("n.book_id")), "left_anti")
+        rows = rows.unionByName(materialize(others, "other-books"))
+    marks = spark.createDataFrame([(b, False) for b in touched], "__bucket int, __live boolean")
     (
-        df.withColumn("__block", block_of(order))
-        .repartition("book_id", "__block")
+        rows.unionByName(marks, allowMissingColumns=True)
+        .withColumn("__block", block_of(order))
+        .repartition("__bucket", "__block")
         .drop("__block")
         .write.format(fmt)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("book_id")
+        .partitionBy("__bucket")
         .save(path)
     )
 
 
 def read_books(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """A table written by ``replace_books``, with its schema given."""
-    return spark.read.format(fmt).schema(schema).load(path)
+    rows = spark.read.format(fmt).schema(f"{schema}, __live boolean, __bucket int").load(path)
+    return rows.filter("__live").drop("__live", "__bucket")

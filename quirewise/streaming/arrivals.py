@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.json_tables import replace_books
@@ -16,16 +17,30 @@ def stream_books(
     path: str,
     checkpoint: str,
     order: str = "index",
+    pages: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Run ``split`` (page texts of new books -> manifest) on every micro-batch.
+    """Run ``split`` (page texts of books -> manifest) on the books of every micro-batch.
 
-    A book has to arrive whole, in one file.  The sink replaces whole books,
-    so running a batch twice leaves the same table.
+    A book may arrive in any number of files.  Every batch is stored under
+    ``pages`` (``path`` with "_pages" where not given), a folder to a batch, and
+    the books it names are split anew from all their pages so far; of a page that
+    arrives again the last arrival counts.  Both sinks replace what an earlier
+    try wrote, so running a batch twice leaves the same tables.
     """
-
-    def put(batch: DataFrame, _batch_id: int) -> None:
-        replace_books(split(batch), path, order=order)
+    store = pages or f"{path.rstrip('/')}_pages"
+    schema = page_strips.schema
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        here = f"{store}/__batch={batch_id}"
+        batch.write.mode("overwrite").parquet(here)
+        named = spark.read.schema(schema).parquet(here).select("book_id").distinct()
+        so_far = spark.read.schema(schema.add("__batch", "long") if "__batch" not in schema.names else schema).parquet(store)
+        so_far = so_far.filter(F.col("__batch") <= batch_id).join(named, "book_id", "left_semi")
+        newest = so_far.groupBy("book_id", "page").agg(F.max("__batch").alias("__batch"))
+        whole = so_far.join(newest, ["book_id", "page", "__batch"], "left_semi").select(*page_strips.columns)
+        replace_books(split(whole), path, order=order, books=named)
 
     return (
         page_strips.writeStream.foreachBatch(put)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import segments as G
 from ..operators.ordered import carry_forward, rank_in_group
+from ..operators.subpages import detect_headers
 from ..plans import collection
 from ..plans.storage import materialize
 from . import query
@@ -105,11 +108,11 @@ def ranked(spark, sf_dir):
 IDENT = "CASE WHEN volume THEN 'V' || title ELSE school || '|' || coalesce(branch, '') || '|' || coalesce(year, '') || '|' || title END"
 
 
-def run_sql(columns: str, extra: str = "") -> str:
+def run_sql(columns: str, extra: str = "", strips: str = t.STRIPS_SQL) -> str:
     """CTEs from header columns to the manifest ``man``."""
     return (
         "WITH "
-        + t.expected_columns()
+        + t.expected_columns(strips)
         + extra
         + f", r AS (SELECT book_id, page, col, is_toc OR is_answer AS closed, {IDENT} AS k, school, branch, year, title FROM {columns}), "
         + t.segment_ctes("r")
@@ -221,3 +224,25 @@ def recompute_book(spark, sf_dir):
         "cols", F.array(F.concat(F.get("cols", F.lit(0)), F.lit("\n"), F.get("cols", F.lit(1))))
     )
     return collection.recompute(given, fixes, again, keep=materialize).manifest
+
+
+# Touched pages are read again as one column; only their books are computed.
+_HIT = f"(doc_id % 4 <> 3 AND doc_id IN ({_POOR}))"
+_AGAIN = (
+    "SELECT book_id, page, CASE WHEN hit THEN c0 || chr(10) || '正文内容' ELSE c0 END AS c0, CASE WHEN NOT hit THEN c1 END AS c1, "
+    "CASE WHEN NOT hit THEN c2 END AS c2, full_text, CASE WHEN hit THEN '1-up' ELSE layout END AS layout, "
+    f"CASE WHEN hit THEN 1 ELSE n_cols END AS n_cols, doc_id FROM (SELECT *, {_HIT} AS hit FROM ({t.STRIPS_SQL})) "
+    f"WHERE book_id IN (SELECT source FROM documents WHERE {_HIT})"
+)
+
+
+@query("recompute_pages", run_sql("k", strips=_AGAIN) + SHOWN)
+def recompute_pages(spark, sf_dir):
+    """As recompute_book, the second column's header gone; only new readings are searched for headers."""
+    given = inputs(spark, sf_dir)
+    fixes = layout_corrections(spark, sf_dir)
+    again = collection.touched(given.page_strip, fixes).withColumn(
+        "cols", F.array(F.concat(F.get("cols", F.lit(0)), F.lit("\n正文内容")))
+    )
+    known = replace(given, detected=materialize(detect_headers(given.page_strip), "detected"))
+    return collection.recompute(known, fixes, again, keep=materialize).manifest

@@ -121,8 +121,8 @@ def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # What the rules find in the composed headers, column by column.
-def expected_columns() -> str:
-    """CTEs from ``s`` (STRIPS_SQL) to ``k``: one row per page and column with
+def expected_columns(strips: str = STRIPS_SQL) -> str:
+    """CTEs from ``s`` (the strips) to ``k``: one row per page and column with
     its header, the closing flags and the identity used for segmentation."""
     per_col = []
     for c in range(3):
@@ -139,7 +139,7 @@ def expected_columns() -> str:
             f"{VOLUME} AS vol, {recovered} AS recovered FROM s"
         )
     return (
-        f"s AS ({STRIPS_SQL}), "
+        f"s AS ({strips}), "
         + BOOK_SUBJECT_CTES
         + ", q AS ("
         + " UNION ALL ".join(per_col)

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import Row
 
 from quirewise.operators import layout, ordered, output, runs, subpages
+from quirewise.sources import json_tables as J
 from quirewise.sources import replies
+from quirewise.streaming.arrivals import stream_books
 
 
 def test_null_order_and_group_stay(spark):
@@ -55,3 +57,31 @@ def test_unknown_pages_are_all_named(spark):
 def test_unreadable_replies(spark):
     df = spark.createDataFrame([(1, "no list", None), (2, '[{"orig":"a","fixed":"b","conf":"high"}]', None)], "batch int, content string, reasoning string")
     assert [r.batch for r in replies.unreadable_replies(df).collect()] == [1]
+
+
+def test_emptied_book_is_cleared(spark, tmp_path):
+    path, schema = str(tmp_path / "books"), "book_id string, page int, v string"
+    J.replace_books(spark.createDataFrame([("a", 1, "x"), ("b", 1, "z")], schema), path, buckets=1)
+    books = spark.createDataFrame([("a",)], "book_id string")
+    J.replace_books(spark.createDataFrame([], schema), path, books=books, buckets=1)
+    assert [r.book_id for r in J.read_books(spark, path, schema).collect()] == ["b"]
+
+
+def test_book_in_two_files(spark, tmp_path):
+    schema = "book_id string, page int, cols array<string>, full string"
+    for i in (1, 2):
+        rows = [("a", i, [f"t{i}"], ""), (f"only{i}", 1, ["t"], "")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    texts = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    split = lambda pages: pages.selectExpr("book_id", "page AS index")
+    stream_books(texts, split, str(tmp_path / "out"), str(tmp_path / "offsets")).awaitTermination()
+    got = J.read_books(spark, str(tmp_path / "out"), "index int, book_id string").collect()
+    assert sorted((r.book_id, r["index"]) for r in got) == [("a", 1), ("a", 2), ("only1", 1), ("only2", 1)]
+
+
+def test_unplaced_segments(spark):
+    segs = spark.createDataFrame([("a", 1, 1, 1, 0), ("a", 1, 2, 1, 2), ("a", 1, 3, 9, 0)], "book_id string, idx int, seq int, page int, col int")
+    pages = spark.createDataFrame([("a", 1, 600.0, 800.0)], "book_id string, page int, width double, height double")
+    lay = spark.createDataFrame([], "book_id string, page int, layout string, cuts array<struct<x0:double,x1:double>>")
+    assert [r.out_page for r in output.slice_plan(segs, lay, pages).collect()] == [1]
+    assert {(r.seq, r.reason) for r in output.unplaced_segments(segs, lay, pages).collect()} == {(2, "no window"), (3, "no page size")}

@@ -276,7 +276,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, contents: DataFrame, percent: i
     most = (F.col("na") + F.col("nb") - F.pandas_udf(_suffix_bound, "long")("pa", "pb")) / 2
     near = near.withColumn("most", most).filter(f"100 * most >= {percent} * (na + nb - most)").drop("pa", "pb", "most")
     near = stage_table(near, "near-pairs")
-    contents = _among(contents, keys_of(near))
+    contents = _among(contents, keys_of(near)).dropDuplicates(["s1", "s2"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,10 +345,11 @@ def _among(table: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _contents(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """s1, s2, shingles (sorted unsigned 64 bit) of the wanted sets, each once.
+    """s1, s2, shingles (sorted unsigned 64 bit) of the sets whose ``s1`` is wanted.
 
-    Sets are computed where the texts are; a filter of fixed size keeps nearly
-    all others from the shuffle, and a join drops what it lets through.
+    Sets are computed where the texts are and stay in their task: one emits equal
+    sets once, another may repeat them.  A filter of fixed size keeps nearly all
+    unwanted sets out; what it lets through joins with no pair.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_membership(wanted))
 
@@ -362,8 +363,7 @@ def _contents(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 cols = {"s1": [keys[i][0] for i in hit], "s2": [keys[i][1] for i in hit]}
                 yield pa.RecordBatch.from_pydict({**{c: pa.array(v, pa.int64()) for c, v in cols.items()}, "shingles": pa.array([sets[i].astype("<u8").tobytes() for i in hit], pa.binary())})
 
-    found = doc_rows(docs).mapInArrow(of, "s1 long, s2 long, shingles binary")
-    return found.join(wanted.select("s1", "s2"), ["s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"])
+    return doc_rows(docs).mapInArrow(of, "s1 long, s2 long, shingles binary")
 
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -384,22 +384,21 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     lists = _postings(docs, n, percent, counts).repartition(partitions(spark), "gram").sortWithinPartitions("gram", "s1", "s2")
     found = stage_table(lists.mapInArrow(_first_pairs(percent), PAIR + ", gram long, s1 long, s2 long, n int, pos int"), "prefix-pairs")
-    pairs = found.filter("a1 is not null").select("a1", "a2", "b1", "b2").distinct()
+    pairs = stage_table(found.filter("a1 is not null").select("a1", "a2", "b1", "b2").distinct(), "candidate-pairs")
     longer = found.filter("gram is not null").select("gram", "s1", "s2", "n", "pos")
 
-    wanted = pairs.select(F.col("a1").alias("s1"), F.col("a2").alias("s2")).union(pairs.select("b1", "b2")).union(longer.select("s1", "s2")).distinct()
-    wanted = stage_table(wanted, "sets-to-verify")
+    wanted = pairs.select(F.col("a1").alias("s1")).union(pairs.select("b1")).union(longer.select("s1"))
     contents = stage_table(_contents(docs, n, wanted), "set-contents")
     links = stage_table(_verified(pairs, sets, contents, percent), "links")
     label = components(links, "component")
 
-    longest = longer.groupBy("gram").count().agg(F.max("count")).head()[0] or 0
     begin, end = 0, SHORT_LIST
-    while begin < longest:
+    while True:
         nodes = sets.select("s1", "s2", "node").join(label, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
         labelled = longer.join(nodes, ["s1", "s2"])
-        # Labels of a list that agree leave nothing to find in it.
-        open_lists = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("gram")
+        # Nothing is left to find in a list whose labels agree, or whose every set has been a pivot.
+        ends = labelled.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
+        open_lists = ends.filter((F.col("lo") != F.col("hi")) & (F.col("size") > begin)).select("gram")
         open_lists = stage_table(open_lists, "open-lists")
         if not open_lists.limit(1).count():
             break

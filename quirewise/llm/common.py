@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,8 +68,9 @@ def chunks(batches: Iterator[pa.RecordBatch], budget: int = 6_000_000, column: s
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = batch.column(column).to_numpy(zero_copy_only=False)
-        ends = np.cumsum([len(x) for x in sizes])
+        # Lengths alone: as Python strings a whole batch would stay in memory beside its chunks.
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

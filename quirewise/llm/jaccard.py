@@ -281,11 +281,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, contents: DataFrame, percent: i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            kept = batch.filter(pa.array(ok, pa.bool_()))
+            kept = batch.select(["node_a", "node_b"]).filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_pydict({"a": kept.column("node_a"), "b": kept.column("node_b")})
 
     joined = near.join(full("a"), ["a1", "a2"]).join(full("b"), ["b1", "b2"])

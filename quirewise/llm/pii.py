@@ -243,7 +243,10 @@ class Field:
     def decode(self, windows: list[list[str]]) -> list[np.ndarray]:
         """The best labels of each window of shapes; windows of like length share a numpy batch."""
         out: list[np.ndarray] = [np.zeros(0, int)] * len(windows)
-        order = sorted((i for i in range(len(windows)) if windows[i]), key=lambda i: len(windows[i]))
+        long = [i for i in range(len(windows)) if len(windows[i]) > LONGEST]
+        for i, labels in zip(long, self._decode_long([windows[i] for i in long])):
+            out[i] = labels
+        order = sorted((i for i in range(len(windows)) if 0 < len(windows[i]) <= LONGEST), key=lambda i: len(windows[i]))
         for at in range(0, len(order), 512):
             some = order[at : at + 512]
             lengths = np.array([len(windows[i]) for i in some])
@@ -267,19 +270,79 @@ class Field:
                 out[i] = path[row, : lengths[row]]
         return out
 
+    def _decode_long(self, windows: list[list[str]]) -> list[np.ndarray]:
+        """The best labels of windows of any length, each decoded as one sequence.
+
+        Blocks of ``BLOCK`` tokens go through numpy side by side: first the best
+        scores from every first to every last label of a block, which carry the
+        scores over the block's ends, then Viterbi in every block from those.
+        """
+        t, labels = self.move + self.allowed, len(LABELS)
+        places, block_of, first_of = [], [], []
+        for w in windows:
+            blocks = -(-len(w) // BLOCK)
+            first_of.append(len(block_of))
+            places.append(self._places([self.ids.get(s, 1) for s in w], blocks * BLOCK))
+            block_of += [(len(places) - 1, b * BLOCK, min(BLOCK, len(w) - b * BLOCK)) for b in range(blocks)]
+        first_of.append(len(block_of))
+
+        def groups() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for at in range(0, len(block_of), 256):
+                some = block_of[at : at + 256]
+                x = np.stack([places[w][begin : begin + BLOCK] for w, begin, _ in some])
+                yield at, self.scores(x), np.array([size for _, _, size in some])
+
+        across = np.empty((len(block_of), labels, labels))
+        for at, e, sizes in groups():
+            best = np.where(np.eye(labels, dtype=bool), e[:, 0, None, :], -np.inf)
+            for i in range(1, int(sizes.max())):
+                ways = best[:, :, 0, None] + t[0]
+                for k in range(1, labels):
+                    np.maximum(ways, best[:, :, k, None] + t[k], out=ways)
+                best = np.where((sizes > i)[:, None, None], ways + e[:, i, None, :], best)
+            across[at : at + len(sizes)] = best
+        enter, leave = np.empty((len(block_of), labels)), np.empty((len(block_of), labels))
+        for a, b in zip(first_of, first_of[1:]):
+            for k in range(a, b):
+                enter[k] = self.start if k == a else (leave[k - 1][:, None] + t).max(axis=0)
+                leave[k] = (enter[k][:, None] + across[k]).max(axis=0)
+        # The path through each block for every label at its end.
+        paths = np.zeros((len(block_of), BLOCK, labels), np.int8)
+        for at, e, sizes in groups():
+            best, back = enter[at : at + len(sizes)] + e[:, 0], np.zeros(e.shape, np.int8)
+            for i in range(1, int(sizes.max())):
+                ways = best[:, :, None] + t
+                back[:, i] = ways.argmax(axis=1)
+                best = ways.max(axis=1) + e[:, i]
+            label = np.tile(np.arange(labels), (len(sizes), 1))
+            for i in range(int(sizes.max()) - 1, -1, -1):
+                inside = (i < sizes)[:, None]
+                paths[at : at + len(sizes), i] = label
+                label = np.where(inside, np.take_along_axis(back[:, i], label, axis=1), label)
+        out = []
+        for a, b in zip(first_of, first_of[1:]):
+            parts, label = [], int(leave[b - 1].argmax())
+            for k in range(b - 1, a - 1, -1):
+                parts.append(paths[k, : block_of[k][2], label].astype(int))
+                if k > a:
+                    label = int((leave[k - 1] + t[:, parts[-1][0]]).argmax())
+            out.append(np.concatenate(parts[::-1]))
+        return out
+
 
 # ------------------------------------------------------------ windows of a text
 
-_TRIGGER = re.compile(r"[0-9]+|\bdot\b|\(at\)|\[at\]").finditer
-NEAR, LONGEST = 40, 400
+_TRIGGER = re.compile(r"[0-9]+|\bdot\b|\(at\)|\[at\]", re.I).finditer
+NEAR = 40
+#: Windows of more tokens are decoded in blocks side by side, with scores carried over the blocks' ends.
+LONGEST, BLOCK = 400, 128
 
 
 def windows_of(text: str) -> list[list[tuple[str, int, int]]]:
     """Tokens (text, start, end) around all digits and spelled signs.
 
     Plain words further than ``NEAR`` characters from any of them are outside
-    every span by definition.  A window ends at white space after ``LONGEST``
-    tokens, so very long runs of numbers are decoded in parts.
+    every span by definition.  A window holds a whole area, however long.
     """
     areas: list[list[int]] = []
     for m in _TRIGGER(text):
@@ -290,14 +353,7 @@ def windows_of(text: str) -> list[list[tuple[str, int, int]]]:
     out = []
     for lo, hi in areas:
         lo, hi = max(0, lo - NEAR), min(len(text), hi + NEAR)
-        tokens: list[tuple[str, int, int]] = []
-        for m in _TOKENS(text, lo, hi):
-            tokens.append((m.group(), m.start(), m.end()))
-            if len(tokens) >= LONGEST and tokens[-1][0].isspace() or len(tokens) >= 2 * LONGEST:
-                out.append(tokens)
-                tokens = []
-        if tokens:
-            out.append(tokens)
+        out.append([(m.group(), m.start(), m.end()) for m in _TOKENS(text, lo, hi)])
     return out
 
 
@@ -311,18 +367,24 @@ def _plausible(kind: str, text: str) -> bool:
     if kind == "ip":
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
-    return bool(re.search(r"\bat\b", text)) and bool(re.search(r"\bdot\b", text))
+    return bool(re.search(r"\bat\b", text, re.I)) and bool(re.search(r"\bdot\b", text, re.I))
 
 
 def field_spans(texts: list[str], field: Field) -> list[dict[str, list[Span]]]:
     """Spans the field labels in each text, without regard to base spans."""
     out: list[dict[str, list[Span]]] = [{k: [] for k in KINDS} for _ in texts]
-    owners, windows = [], []
+    owners, windows, shapes = [], [], []
     for i, text in enumerate(texts):
         for w in windows_of(text):
-            owners.append(i)
+            owners.append((i, False))
             windows.append(w)
-    for i, tokens, labels in zip(owners, windows, field.decode([[shape(t) for t, _, _ in w] for w in windows])):
+            shapes.append([shape(t) for t, _, _ in w])
+            if any(t == "DOT" for t, _, _ in w):  # spelled in capitals: once more as if in small letters
+                owners.append((i, True))
+                windows.append(w)
+                shapes.append([shape(t.lower()) for t, _, _ in w])
+    for (i, folded), tokens, labels in zip(owners, windows, field.decode(shapes)):
+        known = sorted(s for spans in out[i].values() for s in spans) if folded else []
         at = 0
         while at < len(tokens):
             if labels[at] == 0:
@@ -332,9 +394,12 @@ def field_spans(texts: list[str], field: Field) -> list[dict[str, list[Span]]]:
             while end < len(tokens) and LABELS[labels[end]] == f"I-{kind}":
                 end += 1
             span = (tokens[at][1], tokens[end - 1][2])
-            if _plausible(kind, texts[i][span[0] : span[1]]):
+            wanted = not folded or kind == "email" and not any(a < span[1] and span[0] < b for a, b in known)
+            if wanted and _plausible(kind, texts[i][span[0] : span[1]]):
                 out[i][kind].append(span)
             at = end
+    for spans in out:
+        spans["email"].sort()
     return out
 
 

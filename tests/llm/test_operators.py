@@ -245,6 +245,27 @@ def test_pii_field(docs, empty):
     assert pii.mask_text("to a@b.cd!", {"email": [(3, 9)], "ip": [], "card": [], "phone": []}) == "to <EMAIL>!"
 
 
+def test_pii_spans_in_long_areas():
+    """Spans at 150 places in a row around token 400, so over every end of a block; and spelled signs in capitals."""
+    field = pii.trained_field()
+    for value, kind in (("call (212) 555 0147 now", "phone"), ("mail jane at example dot com please", "email")):
+        inner = value.split(" ", 1)[1].rsplit(" ", 1)[0]
+        texts = ["it rained 20 mm " * 45 + "." * k + " " + value + " it rained 20 mm" * 20 for k in range(150)]
+        for text, found in zip(texts, pii.field_spans(texts, field)):
+            assert [text[a:b] for a, b in found[kind]] == [inner]
+    for text, inner in {"mail JANE AT EXAMPLE DOT COM please": "JANE AT EXAMPLE DOT COM", "write to Ann (AT) firma (Dot) de now": "Ann (AT) firma (Dot) de"}.items():
+        assert [text[a:b] for a, b in pii.field_spans([text], field)[0]["email"]] == [inner]
+
+
+def test_field_blocks_equal_one_window(monkeypatch):
+    field, rng = pii.trained_field(), np.random.default_rng(11)
+    shapes = [*field.ids, "none of them"]
+    windows = [[shapes[i] for i in rng.integers(0, len(shapes), n)] for n in (1, 400, 401, 511, 512, 513, 1700)]
+    blocks = field.decode(windows)
+    monkeypatch.setattr(pii, "LONGEST", 10_000)
+    assert all((a == b).all() for a, b in zip(blocks, field.decode(windows)))
+
+
 def test_field_decode_is_the_best_path():
     """Viterbi against all label paths of short windows."""
     import itertools

@@ -244,6 +244,11 @@ def _search(window: int):
             known = rows.filter(pa.compute.is_null(rows["words"]))
             doc, tkey, start, count = ([*known[c].to_pylist()] for c in ("doc_id", "tkey", "start", "count"))
             rows = rows.filter(pa.compute.is_valid(rows["words"]))
+            # Equal rows are one document: of each of its pieces one copy is searched.
+            place = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("doc_id", "tkey", "start")])
+            new = np.ones(rows.num_rows, bool)
+            new[1:] = (place[:, 1:] != place[:, :-1]).any(axis=0)
+            rows = rows.filter(pa.array(new))
             ids, keys, starts = (rows[c].to_pylist() for c in ("doc_id", "tkey", "start"))
             if rows.num_rows:
                 pieces = [w.encode("utf-8", "surrogatepass").split() for w in rows["words"].to_pylist()]

@@ -71,6 +71,25 @@ def test_substrings(unique, docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def substrings_by_hand(rows):
+    """Rows (id, text) with equal rows as one document; ids with one text each, null before all."""
+    seen, gone_of = set(), {}
+    for i, t in sorted({(i, t or "") for i, t in rows if words_of(t)}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        w, gone = words_of(t), set()
+        for p in range(len(w) - 19):
+            if tuple(w[p : p + 20]) in seen:
+                gone.update(range(p, p + 20))
+            seen.add(tuple(w[p : p + 20]))
+        gone_of[i, t] = (i, len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone))
+    return collections.Counter(gone_of.get((i, t or ""), (i, 0, 0, "")) for i, t in rows)
+
+
+def test_substrings_of_repeated_rows(spark):
+    rows = awkward() + [(500, "other start " + prose(1, 60)), (4, prose(1, 60) + " tail"), (None, prose(5, 40)), (500, "other start " + prose(1, 60))]
+    df = spark.createDataFrame([(i, t, "k", "n", 1) for i, t in rows], SCHEMA).repartition(3)
+    assert collections.Counter(map(tuple, substrings.remove_repeats(df).collect())) == substrings_by_hand(rows)
+
+
 def test_substrings_of_hot_anchors(unique, monkeypatch):
     df, _ = unique
     usual = sorted(map(tuple, substrings.remove_repeats(df).collect()))

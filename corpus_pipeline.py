@@ -32,10 +32,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of documents alike (five words, 0.8) the one with the smallest id."""
-    found = jaccard.link_components(docs, n=5, percent=80)
-    keep = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """Of every component of documents alike (five words, 0.8) one row: the one with the smallest id.
+
+    Every row is a document of its own, also where ids are equal or null, so of equal
+    rows one stays and different texts under one id both do.  Rows without an id come
+    after all others; under one id, or without one, hashes of the text and then of the
+    row decide.  Documents without words are like no other and all stay.
+    """
+    # Numbers are written once, so they are the same in every read.
+    rows = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "near-duplicate-rows")
+    found = jaccard.link_components(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, percent=80)
+    found = found.select(F.col("doc_id").alias("_row"), "component_id")
+    order = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), "_row").alias("place"))
+    keep = found.join(order, "_row").groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(keep.hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

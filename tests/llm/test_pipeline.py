@@ -45,6 +45,16 @@ def test_stages(spark, corpus, tmp_path):
     assert {r[0] for r in seen[4].collect()} == set(want)
 
 
+def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
+    near, other, alone, a, b = prose(7, 100), prose(8, 100), prose(9, 100), prose(10, 100), prose(11, 100)
+    rows = [(1, near), (1, near), (None, near), (5, near + " end"), (None, other), (None, other), (None, alone), (2, a), (2, b), (3, b), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(1, near), (None, other), (None, alone), (2, a), (2, b), (None, None)]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == collections.Counter(want)
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0]).collect()
     ends = collections.Counter()

@@ -3,9 +3,9 @@
 Every window of 20 words has an anchor: the smallest hash among its 8-word
 grams.  Windows in a row with one anchor form a segment, and equal windows have
 equal anchors, so all copies of a window meet in the shard of their anchor,
-whatever documents they stand in.  A first shuffle of hashes settles segments
-that are equal as a whole and drops anchors that stand alone; the text of what
-is left goes to shards.  Each shard builds a compressed FM-index of its segments
+whatever documents they stand in.  A first shuffle of hashes, by content, settles
+segments that are equal as a whole; counts of segments by anchor then drop anchors
+that stand alone; the text of what is left goes to shards.  Each shard builds a compressed FM-index of its segments
 in corpus order and streams them through it: backward search from the right end
 of a window, which on failure also rules out all windows over the failing
 piece, gives the matching statistics above the threshold.
@@ -94,6 +94,11 @@ MARK_COLUMNS = ("pkey", "anchor", "seg", "doc_id", "tkey", "start", "count", "ki
 MARK_TYPES = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
 
 
+#: What is kept of the marks: contents are merged by then, and each open row is one of its anchor's.
+SETTLED_COLUMNS = ("anchor", "doc_id", "tkey", "start", "count", "kind")
+SETTLED = "anchor long, doc_id long, tkey int, start int, count int, kind int"
+
+
 def _batches(columns: dict[str, np.ndarray], size: int = 100_000) -> Iterator[pa.RecordBatch]:
     n = len(next(iter(columns.values())))
     for at in range(0, n, size):
@@ -122,30 +127,29 @@ def _cut(window: int):
         kind = np.where(first, OPEN, EQUAL)
         keep = order[~again]
         kind = kind[~again]
-        pkey = np.where(kind == OPEN, anchor[keep], mix((doc[keep] + start[keep]).astype(np.uint64)).view(np.int64))
+        # By content, not by anchor: one anchor may own any share of the rows.
+        content = mix(anchor[keep].view(np.uint64) ^ mix(seg[keep].view(np.uint64))).view(np.int64)
+        pkey = np.where(kind == OPEN, content, mix((doc[keep] + start[keep]).astype(np.uint64)).view(np.int64))
         yield from _batches(dict(zip(MARK_COLUMNS, (x.astype(t) for x, t in zip((pkey, anchor[keep], seg[keep], doc[keep], tkey[keep], start[keep], count[keep], kind), MARK_TYPES)))))
 
     return of
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of one anchor: repeats are settled, lone segments leave, the rest stays open."""
+    """Runs of one content: the first place stays open, repeats are settled.  A run has a row per task at most."""
     held: list[dict[str, np.ndarray]] = []
 
     def out() -> Iterator[pa.RecordBatch]:
         rows = {c: np.concatenate([h[c] for h in held]) for c in MARK_COLUMNS}
         settled = rows["kind"] == EQUAL
-        yield from _batches({c: v[settled] for c, v in rows.items()})
+        rows["anchor"] = np.where(settled, 0, rows["anchor"])
+        yield from _batches({c: rows[c][settled] for c in SETTLED_COLUMNS})
         rows = {c: v[~settled] for c, v in rows.items()}
         order, first, again = _firsts(*(rows[c] for c in ("anchor", "seg", "doc_id", "tkey", "start")))
         rows = {c: v[order] for c, v in rows.items()}
-        new = np.ones(len(order), bool)
-        new[1:] = np.diff(rows["anchor"]) != 0
-        run = np.cumsum(new) - 1
-        distinct = np.bincount(run, weights=first).astype(np.int64)[run] if len(run) else run
-        rows["kind"] = np.where(first, np.where(distinct > HOT, OPEN_HOT, OPEN), EQUAL).astype(np.int32)
-        keep = ~again & (~first | (distinct > 1))
-        yield from _batches({c: v[keep] for c, v in rows.items()})
+        rows["kind"] = np.where(first, OPEN, EQUAL).astype(np.int32)
+        rows["anchor"] = np.where(first, rows["anchor"], 0)
+        yield from _batches({c: rows[c][~again] for c in SETTLED_COLUMNS})
 
     for batch in batches:
         if not batch.num_rows:
@@ -279,6 +283,19 @@ def _search(window: int):
     return of
 
 
+def _opened(marks: DataFrame) -> tuple[DataFrame, int]:
+    """The open rows of anchors with two or more distinct segments, marked where the anchor is hot; and their number.
+
+    Segments of an anchor are counted by partial aggregates.  The counts come from
+    written files, so a join too large to broadcast can still be split where an anchor is skewed.
+    """
+    rows = marks.filter(F.col("kind") == OPEN)
+    counts = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("distinct")).filter("distinct > 1")
+    counts = stage_table(counts, "shared-anchors")
+    kind = F.when(F.col("distinct") > HOT, OPEN_HOT).otherwise(OPEN)
+    return rows.join(counts, "anchor").withColumn("kind", kind).drop("distinct"), counts.agg(F.sum("distinct")).head()[0] or 0
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id (``NULL_ID`` for null), tkey, start, count: ``count`` windows from word ``start`` on also start earlier.
 
@@ -289,10 +306,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = partitions(spark)
     rows = _keyed(docs)
     marks = rows.mapInArrow(_cut(window), MARK).repartition(n, "pkey").sortWithinPartitions("pkey")
-    marks = stage_table(marks.mapInArrow(_settle, MARK), "segments")
+    marks = stage_table(marks.mapInArrow(_settle, SETTLED), "segments")
     equal = marks.filter(F.col("kind") == EQUAL).select("doc_id", "tkey", "start", "count")
-    opened = marks.filter(F.col("kind") != EQUAL)
-    shards = max(n, opened.count() // SHARD)
+    opened, shared = _opened(marks)
+    shards = max(n, shared // SHARD)
     spans = opened.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "count", "anchor", "kind")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "spans")
     texts = rows.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("tkey").eqNullSafe(F.col("_t"))).select("doc_id", "tkey", "text", "spans")

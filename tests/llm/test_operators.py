@@ -90,6 +90,21 @@ def test_substrings_of_repeated_rows(spark):
     assert collections.Counter(map(tuple, substrings.remove_repeats(df).collect())) == substrings_by_hand(rows)
 
 
+def test_substrings_spread_a_hot_anchor(spark, monkeypatch):
+    """One passage with other text around it in each document: its segments are dealt out by content."""
+    passage = prose(20, 30)
+    rows = [(5000 + i, f"{prose(1000 + i, 25)} {passage} {prose(2000 + i, 25)}") for i in range(60)] + awkward()
+    df = spark.createDataFrame([(i, t, "k", "n", 1) for i, t in rows], SCHEMA).repartition(3)
+    marks = substrings._keyed(df).mapInArrow(substrings._cut(20), substrings.MARK).filter(f"kind = {substrings.OPEN}").collect()
+    contents = collections.defaultdict(set)
+    for r in marks:
+        contents[r["pkey"]].add((r["anchor"], r["seg"]))
+    assert max(collections.Counter(r["anchor"] for r in marks).values()) > 40
+    assert max(map(len, contents.values())) == 1
+    monkeypatch.setattr(substrings, "HOT", 8)
+    assert collections.Counter(map(tuple, substrings.remove_repeats(df).collect())) == substrings_by_hand(rows)
+
+
 def test_substrings_of_hot_anchors(unique, monkeypatch):
     df, _ = unique
     usual = sorted(map(tuple, substrings.remove_repeats(df).collect()))

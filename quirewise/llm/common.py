@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirewise.plans.storage import shared_dir  # noqa: F401
@@ -126,6 +126,49 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+# ------------------------------------------------------------ places and lookups
+
+
+def positions(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``pos``, from 0 on in its group (nulls are one, order ascends with nulls first), and ``size``, the group's rows.
+
+    A range sort by (group, order) deals one group over many tasks; a row number
+    splits rows that are equal throughout.  The rows of each (partition, group),
+    at most partitions + groups numbers, give the offsets.
+    """
+    keys = [group, *order, "_tie"]
+    placed = (
+        rows.withColumn("_tie", F.xxhash64(F.monotonically_increasing_id()))
+        .repartitionByRange(partitions(rows.sparkSession), *keys)
+        .sortWithinPartitions(*keys)
+        .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    )
+    placed = stage_table(placed.drop("_tie"), name)
+    ends = placed.groupBy("_part", F.col(group).alias("_group")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy("_group")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        F.col("_part").alias("_p"), "_group", "_first",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"), F.sum("_rows").over(whole).alias("size"),
+    )
+    both = placed.join(ends, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_group")))
+    return both.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("pos"), "size")
+
+
+def spread_lookup(rows: DataFrame, table: DataFrame, key: str, salt: Column, salts: int) -> DataFrame:
+    """``rows`` left-joined to ``table`` (one row per ``key``, null included); any key's rows are dealt over ``salts`` parts.
+
+    Only the (key, part) pairs that occur ask for the table's row, so a rare key
+    is not copied ``salts`` times, and no task gets a hot key's rows.
+    """
+    salted = rows.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    asked = salted.select(F.col(key).alias("_key"), F.col("_salt").alias("_part")).distinct()
+    values = [c for c in table.columns if c != key]
+    answers = asked.join(table.select(F.col(key).alias("_of"), *values), F.col("_key").eqNullSafe(F.col("_of"))).drop("_of")
+    both = salted.join(answers, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_part")), "left")
+    return both.drop("_salt", "_key", "_part")
+
+
 # ------------------------------------------------------------ components
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.llm import binary, bpe, jaccard, lines, packing, pii, quality, substrings, syncmers, toxicity
+from quirewise.llm import binary, bpe, jaccard, lines, merkle, packing, pii, quality, substrings, syncmers, templates, toxicity, vectorcodes
 from quirewise.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_bits"
     )
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and checked proof of every document; nulls, ties and empty tables as in ``merkle.manifest``."""
+    return merkle.manifest(table(spark, sf_dir))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every finite vector; other lengths, ties and empty tables as in ``vectorcodes.compress``."""
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+@query
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; nulls, repeated rows and empty tables as in ``templates.extract``."""
+    return templates.extract(table(spark, sf_dir, "pages"))

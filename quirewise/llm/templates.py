@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,10 +138,10 @@ def classes(pages: DataFrame, salts: int, min_pages: int = MIN_PAGES) -> DataFra
 
 # ------------------------------------------------------------ order and nesting
 
-FACT = "host string, class long, path long, low long, high long, gap_low long, gap_high long, zone int, words long, linked long, template long"
+FACT = "host string, class long, gap long, path long, zone int, low long, high long, gap_low long, gap_high long, words long, linked long, template long"
 _FACT = pa.schema([
-    ("host", pa.string()), *((c, pa.int64()) for c in ("class", "path", "low", "high", "gap_low", "gap_high")),
-    ("zone", pa.int32()), *((c, pa.int64()) for c in ("words", "linked", "template")),
+    ("host", pa.string()), ("class", pa.int64()), ("gap", pa.int64()), ("path", pa.int64()), ("zone", pa.int32()),
+    *((c, pa.int64()) for c in ("low", "high", "gap_low", "gap_high", "words", "linked", "template")),
 ])
 #: Order that no order equals, and a gap for occurrences in several gaps.
 BROKEN, SEVERAL = -1, -2
@@ -179,10 +180,7 @@ def _order(found: list[int]) -> int:
     first = found[:period]
     if len(set(first)) < period or len(found) % period or any(found[i : i + period] != first for i in range(period, len(found), period)):
         return BROKEN
-    out = np.uint64(period)
-    for t in first:
-        out = mix(np.array([out ^ np.uint64(t & ((1 << 64) - 1))], np.uint64))[0]
-    return int(out >> np.uint64(1))
+    return xxhash.xxh3_64_intdigest(np.array(first, np.int64).tobytes()) >> 1
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +222,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gap = next(iter(gap)) if len(gap) == 1 else SEVERAL
                 now = orders.setdefault((host, c), [order, order, gap, gap])
                 now[:] = min(now[0], order), max(now[1], order), min(now[2], gap), max(now[3], gap)
-        rows = [(host, c, None, *o, None, None, None, None) for (host, c), o in orders.items()]
-        rows += [(host, None, path, None, None, gap, gap, zone, *sums) for (host, gap, path, zone), sums in slots.items()]
+        rows = [(host, c, None, None, None, *o, None, None, None) for (host, c), o in orders.items()]
+        rows += [(host, None, gap, path, zone, None, None, None, None, *sums) for (host, gap, path, zone), sums in slots.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FACT)], schema=_FACT)
 
@@ -243,21 +241,18 @@ def deduce(pages: DataFrame, found: DataFrame) -> DataFrame:
     Words are fixed only where the template is less than half of the text in the
     host's main zone, so pages that are copies of each other keep theirs.
     """
-    facts = stage_table(dealt_to(pages, found).mapInArrow(_facts, FACT), "template-facts")
-    valid = facts.filter(F.col("class").isNotNull()).groupBy("host", "class").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.min("gap_low").alias("gap_low"), F.max("gap_high").alias("gap_high")
-    )
+    facts = dealt_to(pages, found).mapInArrow(_facts, FACT)
+    # One chain of aggregates without branches, so pages are read and dealt once for them.
+    low, high = ([f(c).alias(c) for c in names] for f, names in ((F.min, ("low", "gap_low")), (F.max, ("high", "gap_high"))))
+    sums = [F.sum(c).alias(c) for c in ("words", "linked", "template")]
+    facts = facts.groupBy("host", "class", "gap", "path", "zone").agg(*low, *high, *sums)
     ordered = (F.col("low") == F.col("high")) & (F.col("low") != BROKEN)
     nested = (F.col("gap_low") == F.col("gap_high")) & (F.col("gap_low") != SEVERAL)
-    valid = valid.filter(ordered & nested).groupBy("host").agg(F.collect_set("class").alias("valid"))
-    slots = facts.filter(F.col("class").isNull())
-    own = F.col("words") - F.col("linked") - F.col("template")
-    best = slots.groupBy("host", F.col("gap_low").alias("gap"), "path").agg(F.sum(own).alias("own"))
-    best = best.groupBy("host").agg(F.max(F.struct("own", "path"))["path"].alias("best"))
-    zones = slots.groupBy("host", "zone").agg(F.sum("words").alias("words"), F.sum("template").alias("template"))
-    zones = zones.groupBy("host").agg(F.max(F.struct("zone", "words", "template")).alias("top"))
-    zones = zones.select("host", (F.col("top.template") * 2 < F.col("top.words")).alias("differ"))
-    both = found.join(valid, "host", "left").join(best, "host", "left").join(zones, "host", "left")
+    own = F.when(F.col("path").isNotNull(), F.struct((F.col("words") - F.col("linked") - F.col("template")).alias("own"), "path"))
+    zones = (markup.PLAIN, markup.MAIN, markup.ARTICLE)
+    differ = [F.sum(F.when(F.col("zone") == z, F.col("words") - 2 * F.col("template"))).alias(f"zone{z}") for z in zones]
+    by_host = facts.groupBy("host").agg(F.collect_set(F.when(ordered & nested, F.col("class"))).alias("valid"), F.max(own)["path"].alias("best"), *differ)
+    both = found.join(by_host, "host", "left").withColumn("differ", F.coalesce(*(F.col(f"zone{z}") for z in reversed(zones))) > 0)
 
     def tokens(keep) -> Column:
         good = F.filter("classes", lambda c: keep(c) & F.array_contains("valid", c["id"]))
@@ -319,5 +314,6 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     salts = 4 * partitions(pages.sparkSession)
     rest = packed(pages, salts, id_col, url_col, html_col)
-    rows = dealt_to(rest, deduce(rest, classes(rest, salts, min_pages)))
+    found = stage_table(classes(rest, salts, min_pages), "template-classes")
+    rows = dealt_to(rest, deduce(rest, found))
     return rows.mapInArrow(_texts, TEXT.format(id=dict(rest.dtypes)["page_id"]))

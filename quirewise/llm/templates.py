@@ -42,29 +42,34 @@ def host_of(url: Column) -> Column:
 
 # ------------------------------------------------------------ pages at rest
 
-PACKED = "page_id {id}, url string, host string, salt int, page_key long, page binary"
+PACKED = "page_id {id}, url string, host string, deal long, page binary"
+
+
+def keyed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, html, host, page_key (equal for equal pages) of every row."""
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    return rows.withColumns({"host": host_of(F.col("url")), "page_key": F.xxhash64("url", "html")})
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
+    """Pages compressed for their exchange; ``deal`` numbers a task's rows, so equal pages can be dealt apart."""
+    press, at = zstandard.ZstdCompressor(level=1), 0
     for batch in chunks(batches, column="html"):
         pages = pa.array([press.compress((h or "").encode("utf-8", "surrogatepass")) for h in batch.column("html").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "salt", "page_key")), pages], names=["page_id", "url", "host", "salt", "page_key", "page"])
+        deal = pa.array((mix(np.arange(at, at + batch.num_rows, dtype=np.uint64)) >> np.uint64(1)).astype(np.int64))
+        at += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), deal, pages], names=["page_id", "url", "host", "deal", "page"])
 
 
-def packed(pages: DataFrame, salts: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Pages compressed and written once, with host and a salt that spreads the pages of a host, equal ones too."""
-    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    rows = rows.withColumns({
-        "host": host_of(F.col("url")),
-        "salt": F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"),
-        "page_key": F.xxhash64("url", "html"),
-    })
-    schema = PACKED.format(id=dict(rows.dtypes)["page_id"])
-    return stage_table(rows.mapInArrow(_pack, schema), "pages")
+def packed(rows: DataFrame) -> DataFrame:
+    rows = rows.select("page_id", "url", "host", "html")
+    return rows.mapInArrow(_pack, PACKED.format(id=dict(rows.dtypes)["page_id"]))
 
 
 def _pages(batch: pa.RecordBatch) -> Iterator[markup.Page]:
+    if "html" in batch.schema.names:
+        yield from (markup.read_page(h.as_py()) for h in batch.column("html"))
+        return
     press = zstandard.ZstdDecompressor()
     for data in batch.column("page"):
         yield markup.read_page(press.decompress(data.as_py()).decode("utf-8", "surrogatepass"))
@@ -80,7 +85,7 @@ PAGE = 0
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per host and token the sums of a task's pages; words that some page of the host lacks can't be on all and are left out."""
-    for batch in chunks(batches, budget=4_000_000, column="page"):
+    for batch in chunks(batches, column="html"):
         tags: dict[tuple[str, int], list[int]] = {}
         words: dict[str, dict] = {}
         keys = mix(batch.column("page_key").to_numpy().view(np.uint64))
@@ -116,24 +121,25 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _VECTOR)], schema=_VECTOR)
 
 
-def classes(pages: DataFrame, salts: int, min_pages: int = MIN_PAGES) -> DataFrame:
+def classes(rows: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, n (its pages), classes: array of (id, scope, root, tokens) with equal occurrence vectors and enough support.
 
     Tags count from half of the host's pages on, words on all of at least
     ``min_pages``.  All tokens of a class stand on one page, so no list outgrows a page.
     """
     sums = [F.sum(c).alias(c) for c in ("a", "b", "pages", "total")]
-    tokens = pages.select("host", "page_key", "page").mapInArrow(_vectors, VECTOR).groupBy("host", "scope", "token").agg(*sums)
+    tokens = rows.select("host", "page_key", "html").mapInArrow(_vectors, VECTOR).groupBy("host", "scope", "token").agg(*sums)
     tokens = stage_table(tokens, "vectors")
     hosts = tokens.filter((F.col("scope") == 0) & (F.col("token") == PAGE)).select("host", F.col("pages").alias("n"))
     key = ["host", "scope", "a", "b", "pages", "total"]
     grouped = tokens.filter(F.col("token") != PAGE).groupBy(*key).agg(F.sort_array(F.collect_set("token")).alias("tokens"))
-    grouped = spread_lookup(grouped, hosts, "host", F.xxhash64(*key), salts)
+    grouped = spread_lookup(grouped, hosts, "host", F.xxhash64(*key), 4 * partitions(rows.sparkSession))
     root = (F.col("scope") == 0) & (F.col("pages") == F.col("n")) & (F.col("total") == F.col("n"))
     tags = (F.col("scope") == 0) & (F.col("pages") >= F.col("n") * SUPPORT) & (root | (F.size("tokens") > 1))
     text = (F.col("scope") != 0) & (F.col("pages") == F.col("n")) & (F.col("n") >= min_pages) & (F.size("tokens") > 1)
     one = F.struct(F.xxhash64("scope", "a", "b", "pages", "total").alias("id"), "scope", root.alias("root"), "tokens")
-    return grouped.filter(tags | text).groupBy("host").agg(F.first("n").alias("n"), F.collect_list(one).alias("classes"))
+    kept = F.collect_list(F.when(tags | text, one))  # hosts of pages without any tag have none
+    return hosts.join(grouped.groupBy("host").agg(kept.alias("classes")), "host", "left")
 
 
 # ------------------------------------------------------------ order and nesting
@@ -228,20 +234,31 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FACT)], schema=_FACT)
 
 
-def dealt_to(pages: DataFrame, table: DataFrame) -> DataFrame:
-    """Pages with their host's row of ``table``, dealt by host and salt in one exchange that all passes share."""
-    asked = pages.select("host", "salt").distinct().join(table, "host")
-    return pages.join(asked, ["host", "salt"], "left")
+def widths(found: DataFrame) -> DataFrame:
+    """``found`` with ``width``: into how many parts a host's pages are dealt, in proportion to them and 4 x partitions in all."""
+    total = found.agg(F.sum("n")).head()[0] or 1
+    return found.withColumn("width", F.ceil(F.col("n") * (4 * partitions(found.sparkSession)) / F.lit(float(total))).cast("int"))
+
+
+def dealt_to(pages: DataFrame, table: DataFrame, hot: DataFrame) -> DataFrame:
+    """``packed`` pages with their host's row of ``table``, dealt by host and part in one exchange that all passes share.
+
+    ``hot`` are the hosts dealt into more than one part.
+    """
+    # Widths add up to 4 x partitions besides their rounding, so no more hosts than that have one above 1.
+    parts = pages.join(F.broadcast(hot), "host", "left").withColumn("part", F.pmod("deal", F.coalesce("width", F.lit(1)))).drop("width", "deal")
+    copies = table.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width").cast("long") - 1))).drop("width")
+    return parts.join(copies, ["host", "part"], "left")
 
 
-def deduce(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """host, root (tokens of the valid root class), fixed (word tokens of valid classes), best: container of the main text.
+def deduce(pages: DataFrame, found: DataFrame, hot: DataFrame) -> DataFrame:
+    """host, width, root (tokens of the valid root class), fixed (word tokens of valid classes), best: container of the main text.
 
     ``best`` holds the slot with most words that are neither linked nor template text.
     Words are fixed only where the template is less than half of the text in the
     host's main zone, so pages that are copies of each other keep theirs.
     """
-    facts = dealt_to(pages, found).mapInArrow(_facts, FACT)
+    facts = dealt_to(pages, found, hot).mapInArrow(_facts, FACT)
     # One chain of aggregates without branches, so pages are read and dealt once for them.
     low, high = ([f(c).alias(c) for c in names] for f, names in ((F.min, ("low", "gap_low")), (F.max, ("high", "gap_high"))))
     sums = [F.sum(c).alias(c) for c in ("words", "linked", "template")]
@@ -259,7 +276,7 @@ def deduce(pages: DataFrame, found: DataFrame) -> DataFrame:
         return F.coalesce(F.flatten(F.transform(good, lambda c: c["tokens"])), F.array().cast("array<long>"))
 
     fixed = F.when(F.col("differ"), tokens(lambda c: c["scope"] != 0)).otherwise(F.array().cast("array<long>"))
-    return both.select("host", tokens(lambda c: c["root"]).alias("root"), fixed.alias("fixed"), "best")
+    return both.select("host", "width", tokens(lambda c: c["root"]).alias("root"), fixed.alias("fixed"), "best")
 
 
 # ------------------------------------------------------------ slots
@@ -312,8 +329,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     as a whole.  A host with one page has its tags alone as template.  An empty table
     gives no rows; other columns are not read.
     """
-    salts = 4 * partitions(pages.sparkSession)
-    rest = packed(pages, salts, id_col, url_col, html_col)
-    found = stage_table(classes(rest, salts, min_pages), "template-classes")
-    rows = dealt_to(rest, deduce(rest, found))
-    return rows.mapInArrow(_texts, TEXT.format(id=dict(rest.dtypes)["page_id"]))
+    rows = keyed(pages, id_col, url_col, html_col)
+    found = stage_table(widths(stage_table(classes(rows, min_pages), "template-classes")), "template-widths")
+    hot = found.filter("width > 1").select("host", "width")
+    rest = packed(rows)
+    return dealt_to(rest, deduce(rest, found, hot), hot).mapInArrow(_texts, TEXT.format(id=dict(rest.dtypes)["page_id"]))

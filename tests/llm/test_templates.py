@@ -96,8 +96,7 @@ def test_nulls_repeats_and_empty_table(spark):
 def test_classes_have_equal_vectors(spark):
     rows = [(i, f"http://a.example/{i}", soup(i % 4, "<p>Common words here</p>" * (i % 3 + 1) + f"<i>{i}</i>", menu=2)) for i in range(25)]
     rows += [(50 + i, "http://b.example/", f"<ul><li>{i}</ul>") for i in range(3)]
-    packed = templates.packed(frame(spark, rows), 8, "page_id", "url", "html")
-    found = {r["host"]: r for r in templates.classes(packed, 8).collect()}
+    found = {r["host"]: r for r in templates.classes(templates.keyed(frame(spark, rows))).collect()}
     assert {h: r["n"] for h, r in found.items()} == {"a.example": 25, "b.example": 3}
     vectors = collections.defaultdict(dict)
     for i, (_, _, html) in enumerate(rows[:25]):

@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more stay where they stand first; documents left without a word go."""
     marks = lines.keep_bitmaps(docs, min_docs=10, min_chars=1, keep_first=True)
     kept = lines.apply_bitmaps(docs, marks).filter((F.col("n_dropped") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    return _with_length(kept.select(*docs.columns))
+    return _with_length(kept.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +39,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     after all others; under one id, or without one, hashes of the text and then of the
     row decide.  Documents without words are like no other and all stay.
     """
-    # Numbers are written once, so they are the same in every read.
-    rows = stage_table(docs.withColumn("_row", F.monotonically_increasing_id()), "near-duplicate-rows")
-    found = jaccard.link_components(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, percent=80)
-    found = found.select(F.col("doc_id").alias("_row"), "component_id")
-    order = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), "_row").alias("place"))
-    keep = found.join(order, "_row").groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(keep.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    # Numbers are written once, so they are the same in every read; the row is one value, so its names meet none of ours.
+    rows = docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row"))
+    rows = stage_table(rows, "near-duplicate-rows")
+    found = jaccard.link_components(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), n=5, percent=80)
+    found = found.select(F.col("doc_id").alias("number"), "component_id")
+    place = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row.text"), F.xxhash64(F.to_json("row")), "number")
+    order = rows.select("number", place.alias("place"))
+    keep = found.join(order, "number").groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.number").alias("number"))
+    return rows.join(keep.hint("merge"), "number", "left_semi").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

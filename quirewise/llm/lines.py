@@ -143,15 +143,16 @@ def keep_bitmaps(docs: DataFrame, **how) -> DataFrame:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with the lines that stay as text, and n_lines, n_dropped (long).
 
-    Every row of ``docs`` comes back with all its columns.  A null or empty text
-    is one empty line, and comes back empty.
+    Every row of ``docs`` comes back with all its columns, whatever their names and
+    types; columns n_lines and n_dropped of its own are replaced.  A null or empty
+    text is one empty line, and comes back empty.
     """
-    hidden = {"doc_id": "_b_id", "tkey": "_b_key", "n_lines": "_b_n", "n_dropped": "_b_drop", "keep": "_b_keep"}
-    marks = bitmaps.select(*(F.col(c).alias(a) for c, a in hidden.items()))
-    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("_t_key", text_key(F.col("text")))
+    marks = bitmaps.select(*(F.col(c).alias(f"mark_{c}") for c in ("doc_id", "tkey", "n_dropped", "keep")))
+    # The row travels as one value, so no name of it can meet one of ours.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("tkey", text_key(F.col("text")))
     # Bitmaps grow with the corpus: never broadcast.
-    rows = rows.join(marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_b_id")) & (F.col("_t_key") == F.col("_b_key")), "left")
+    rows = rows.join(marks.hint("merge"), F.col("id").eqNullSafe(F.col("mark_doc_id")) & (F.col("tkey") == F.col("mark_tkey")), "left")
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, keep: pd.Series) -> pd.Series:
@@ -164,11 +165,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, k) for t, k in zip(text, keep)])
 
-    whole = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    whole = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
     return rows.select(
         *whole,
-        F.when(F.col("_b_keep").isNull(), F.col("text")).otherwise(kept("text", "_b_keep")).alias("text"),
+        F.when(F.col("mark_keep").isNull(), F.col("text")).otherwise(kept("text", "mark_keep")).alias("text"),
         n_lines.cast("long").alias("n_lines"),
-        F.coalesce("_b_drop", F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce("mark_n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -466,8 +466,13 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def masked(texts):
         import pandas as pd
 
-        values = [t if t is not None else "" for t in texts]
-        clean = [mask_text(t, spans) for t, (_, spans) in zip(values, find_spans(values, trained_field()))]
-        return pd.Series([None if t is None else c for t, c in zip(texts, clean)])
+        field, clean, values = trained_field(), [], [t if t is not None else "" for t in texts]
+        ends, at = np.cumsum([len(t) for t in values]), 0
+        while at < len(values):  # an Arrow batch may hold 10,000 texts of any length
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + 2_000_000, side="right")))
+            clean += [mask_text(t, spans) for t, (_, spans) in zip(values[at:stop], find_spans(values[at:stop], field))]
+            at = stop
+        return pd.Series([None if t is None else c for t, c in zip(texts, clean)], dtype=object)
 
     return docs.withColumn(text_col, F.pandas_udf(masked, "string")(F.col(text_col)))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirewise.llm.common import NULL_ID, WordHashes, chunks, doc_rows, grams, mix, partitions, stage_table, word_hashes
@@ -78,25 +78,26 @@ def segments_of(words: np.ndarray, counts: np.ndarray, window: int = WINDOW, k:
     return doc[head], within[head], count, g[mark[head]], _span_hashes(words, start, start + count + window - 1)
 
 
-def _firsts(anchor, seg, doc, tkey, start):
+def _firsts(anchor, seg, doc, tkey, tkey2, start):
     """Order by content and place; which rows are the first of their content, and which repeat the row before."""
-    order = np.lexsort((start, tkey, doc, seg, anchor))
-    a, s, d, t, p = (x[order] for x in (anchor, seg, doc, tkey, start))
-    first = np.ones(len(order), bool)
-    first[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-    again = ~first
-    again[1:] &= (d[1:] == d[:-1]) & (t[1:] == t[:-1]) & (p[1:] == p[:-1])
+    order = np.lexsort((start, tkey2, tkey, doc, seg, anchor))
+    first, again = np.ones(len(order), bool), np.zeros(len(order), bool)
+    same = [x[order][1:] == x[order][:-1] for x in (anchor, seg, doc, tkey, tkey2, start)]
+    first[1:] = ~(same[0] & same[1])
+    again[1:] = np.logical_and.reduce(same)
     return order, first, again
 
 
-MARK = "pkey long, anchor long, seg long, doc_id long, tkey int, start int, count int, kind int"
-MARK_COLUMNS = ("pkey", "anchor", "seg", "doc_id", "tkey", "start", "count", "kind")
-MARK_TYPES = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32, np.int32, np.int32)
+MARK = "pkey long, anchor long, seg long, doc_id long, tkey long, tkey2 long, start int, count int, kind int"
+MARK_COLUMNS = ("pkey", "anchor", "seg", "doc_id", "tkey", "tkey2", "start", "count", "kind")
+MARK_TYPES = (np.int64,) * 6 + (np.int32,) * 3
 
 
 #: What is kept of the marks: contents are merged by then, and each open row is one of its anchor's.
-SETTLED_COLUMNS = ("anchor", "doc_id", "tkey", "start", "count", "kind")
-SETTLED = "anchor long, doc_id long, tkey int, start int, count int, kind int"
+SETTLED_COLUMNS = ("anchor", "doc_id", "tkey", "tkey2", "start", "count", "kind")
+SETTLED = "anchor long, doc_id long, tkey long, tkey2 long, start int, count int, kind int"
+#: A document: its id and 128 bits of its text, as rows may share an id or have none.
+DOCUMENT = ("doc_id", "tkey", "tkey2")
 
 
 def _batches(columns: dict[str, np.ndarray], size: int = 100_000) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,19 @@ def _batches(columns: dict[str, np.ndarray], size: int = 100_000) -> Iterator[pa
 
 def _keyed(docs: DataFrame) -> DataFrame:
     rows = doc_rows(docs)
-    return rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), F.pmod(F.xxhash64("text"), F.lit(1 << 31)).cast("int").alias("tkey"), "text")
+    return rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), *text_keys(F.col("text")), "text")
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text, as two numbers."""
+    return F.xxhash64(text).alias("tkey"), F.xxhash64(F.lit(1), text).alias("tkey2")
+
+
+def _of_document(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """``rows`` with what ``spans`` has for their document."""
+    spans = spans.withColumnsRenamed({c: f"_{c}" for c in DOCUMENT})
+    same = [F.col(c) == F.col(f"_{c}") for c in DOCUMENT]
+    return rows.join(spans.hint("merge"), same[0] & same[1] & same[2], how)
 
 
 def _cut(window: int):
@@ -118,19 +131,19 @@ def _cut(window: int):
         for batch in chunks(batches):
             words, counts = word_hashes(batch.column("text").to_pylist(), False, _CACHE)
             doc, start, count, anchor, seg = segments_of(words, counts, window)
-            ids, keys = (batch.column(c).to_numpy() for c in ("doc_id", "tkey"))
-            parts.append((anchor.view(np.int64), seg.view(np.int64), ids[doc], keys[doc], start.astype(np.int32), count.astype(np.int32)))
+            place = (batch.column(c).to_numpy()[doc] for c in DOCUMENT)
+            parts.append((anchor.view(np.int64), seg.view(np.int64), *place, start.astype(np.int32), count.astype(np.int32)))
         if not parts:
             return
-        anchor, seg, doc, tkey, start, count = (np.concatenate(x) for x in zip(*parts))
-        order, first, again = _firsts(anchor, seg, doc, tkey, start)
+        anchor, seg, doc, tkey, tkey2, start, count = (np.concatenate(x) for x in zip(*parts))
+        order, first, again = _firsts(anchor, seg, doc, tkey, tkey2, start)
         kind = np.where(first, OPEN, EQUAL)
         keep = order[~again]
         kind = kind[~again]
         # By content, not by anchor: one anchor may own any share of the rows.
         content = mix(anchor[keep].view(np.uint64) ^ mix(seg[keep].view(np.uint64))).view(np.int64)
         pkey = np.where(kind == OPEN, content, mix((doc[keep] + start[keep]).astype(np.uint64)).view(np.int64))
-        yield from _batches(dict(zip(MARK_COLUMNS, (x.astype(t) for x, t in zip((pkey, anchor[keep], seg[keep], doc[keep], tkey[keep], start[keep], count[keep], kind), MARK_TYPES)))))
+        yield from _batches(dict(zip(MARK_COLUMNS, (x.astype(t) for x, t in zip((pkey, *(x[keep] for x in (anchor, seg, doc, tkey, tkey2, start, count)), kind), MARK_TYPES)))))
 
     return of
 
@@ -145,7 +158,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows["anchor"] = np.where(settled, 0, rows["anchor"])
         yield from _batches({c: rows[c][settled] for c in SETTLED_COLUMNS})
         rows = {c: v[~settled] for c, v in rows.items()}
-        order, first, again = _firsts(*(rows[c] for c in ("anchor", "seg", "doc_id", "tkey", "start")))
+        order, first, again = _firsts(*(rows[c] for c in ("anchor", "seg", *DOCUMENT, "start")))
         rows = {c: v[order] for c, v in rows.items()}
         rows["kind"] = np.where(first, OPEN, EQUAL).astype(np.int32)
         rows["anchor"] = np.where(first, rows["anchor"], 0)
@@ -165,7 +178,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-SHARD_ROW = "shard long, doc_id long, tkey int, start int, count int, words string"
+SHARD_ROW = "shard long, doc_id long, tkey long, tkey2 long, start int, count int, words string"
 
 
 def _spell(window: int, shards: int):
@@ -175,30 +188,30 @@ def _spell(window: int, shards: int):
         seen: dict[int, tuple] = {}
         for batch in chunks(batches):
             out: list[tuple] = []
-            for doc, tkey, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tkey", "text", "spans"))):
+            for *document, text, spans in zip(*(batch.column(c).to_pylist() for c in (*DOCUMENT, "text", "spans"))):
                 words = text.encode("utf-8", "surrogatepass").split()
                 for span in sorted(spans, key=lambda s: s["start"]):
                     at, count = span["start"], span["count"]
                     if span["kind"] == OPEN:
                         shard = int(mix(np.array([span["anchor"]], np.int64).view(np.uint64))[0] % np.uint64(shards))
-                        out.append((shard, doc, tkey, at, count, b" ".join(words[at : at + count + window - 1]).decode("utf-8", "surrogatepass")))
+                        out.append((shard, *document, at, count, b" ".join(words[at : at + count + window - 1]).decode("utf-8", "surrogatepass")))
                         continue
                     for p in range(at, at + count):
                         piece = b" ".join(words[p : p + window])
                         digest = hashlib.blake2b(piece, digest_size=16).digest()
-                        key, place = int.from_bytes(digest, "little"), (doc, tkey, p)
+                        key, place = int.from_bytes(digest, "little"), (*document, p)
                         before = seen.setdefault(key, place)
                         shard = key % shards
                         if before < place:
-                            out.append(((doc + p) % shards, doc, tkey, p, 1, None))
+                            out.append(((document[0] + p) % shards, *place, 1, None))
                         else:
                             if place < before:  # the earlier one came later: the other one repeats it
                                 seen[key] = place
                                 out.append(((before[0] + p) % shards, *before, 1, None))
-                            out.append((shard, doc, tkey, p, 1, piece.decode("utf-8", "surrogatepass")))
+                            out.append((shard, *place, 1, piece.decode("utf-8", "surrogatepass")))
             if out:
-                names = ("shard", "doc_id", "tkey", "start", "count", "words")
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+                names = ("shard", *DOCUMENT, "start", "count", "words")
+                types = (*(pa.int64(),) * 4, pa.int32(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for c, v, t in zip(names, zip(*out), types)})
 
     return of
@@ -246,26 +259,25 @@ def _search(window: int):
         def out() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held)
             known = rows.filter(pa.compute.is_null(rows["words"]))
-            doc, tkey, start, count = ([*known[c].to_pylist()] for c in ("doc_id", "tkey", "start", "count"))
+            found = list(zip(*(known[c].to_pylist() for c in (*DOCUMENT, "start", "count"))))
             rows = rows.filter(pa.compute.is_valid(rows["words"]))
             # Equal rows are one document: of each of its pieces one copy is searched.
-            place = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("doc_id", "tkey", "start")])
+            place = np.stack([rows[c].to_numpy().astype(np.int64) for c in (*DOCUMENT, "start")])
             new = np.ones(rows.num_rows, bool)
             new[1:] = (place[:, 1:] != place[:, :-1]).any(axis=0)
             rows = rows.filter(pa.array(new))
-            ids, keys, starts = (rows[c].to_pylist() for c in ("doc_id", "tkey", "start"))
+            places = list(zip(*(rows[c].to_pylist() for c in (*DOCUMENT, "start"))))
             if rows.num_rows:
                 pieces = [w.encode("utf-8", "surrogatepass").split() for w in rows["words"].to_pylist()]
                 for i, hit in enumerate(earlier_windows(pieces, rows["count"].to_numpy().astype(np.int64), window)):
                     if hit.any():
                         edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
                         for p, q in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                            doc.append(ids[i])
-                            tkey.append(keys[i])
-                            start.append(starts[i] + p)
-                            count.append(q - p)
-            if doc:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "tkey": pa.array(tkey, pa.int32()), "start": pa.array(start, pa.int32()), "count": pa.array(count, pa.int32())})
+                            *document, start = places[i]
+                            found.append((*document, start + p, q - p))
+            if found:
+                types = (*(pa.int64(),) * 3, pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*found), types)], names=[*DOCUMENT, "start", "count"])
 
         for batch in batches:
             shard = batch.column("shard").to_numpy()
@@ -297,7 +309,7 @@ def _opened(marks: DataFrame) -> tuple[DataFrame, int]:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id (``NULL_ID`` for null), tkey, start, count: ``count`` windows from word ``start`` on also start earlier.
+    """doc_id (``NULL_ID`` for null), tkey, tkey2, start, count: ``count`` windows from word ``start`` on also start earlier.
 
     Earlier is a smaller id (null before all), then an earlier place; different
     texts under one id go by the hash of the text, equal rows are one document.
@@ -307,14 +319,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = _keyed(docs)
     marks = rows.mapInArrow(_cut(window), MARK).repartition(n, "pkey").sortWithinPartitions("pkey")
     marks = stage_table(marks.mapInArrow(_settle, SETTLED), "segments")
-    equal = marks.filter(F.col("kind") == EQUAL).select("doc_id", "tkey", "start", "count")
+    equal = marks.filter(F.col("kind") == EQUAL).select(*DOCUMENT, "start", "count")
     opened, shared = _opened(marks)
     shards = max(n, shared // SHARD)
-    spans = opened.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "count", "anchor", "kind")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "spans")
-    texts = rows.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("tkey").eqNullSafe(F.col("_t"))).select("doc_id", "tkey", "text", "spans")
-    spelled = texts.mapInArrow(_spell(window, shards), SHARD_ROW).repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "tkey", "start")
-    return equal.union(spelled.mapInArrow(_search(window), "doc_id long, tkey int, start int, count int"))
+    spans = opened.groupBy(*DOCUMENT).agg(F.collect_list(F.struct("start", "count", "anchor", "kind")).alias("spans"))
+    texts = _of_document(rows, spans, "inner").select(*DOCUMENT, "text", "spans")
+    spelled = texts.mapInArrow(_spell(window, shards), SHARD_ROW).repartition(n, "shard").sortWithinPartitions("shard", *DOCUMENT, "start")
+    return equal.union(spelled.mapInArrow(_search(window), "doc_id long, tkey long, tkey2 long, start int, count int"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -323,9 +334,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A word goes if a window that also starts earlier covers it, judged on the
     input.  Null, empty and short texts lose nothing.  Other columns are not read.
     """
-    spans = repeated_spans(docs, window).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "count")).alias("gone"))
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("tkey").alias("_t"), "gone")
-    rows = _keyed(docs).join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("tkey").eqNullSafe(F.col("_t")), "left").select("doc_id", "text", "gone")
+    spans = repeated_spans(docs, window).groupBy(*DOCUMENT).agg(F.collect_list(F.struct("start", "count")).alias("gone"))
+    rows = _of_document(_keyed(docs), spans, "left").select("doc_id", "text", "gone")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewise.llm.common import chunks, doc_rows
@@ -140,16 +140,28 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order[at]] + below) / 2, 0.05, 0.95))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows: int) -> tuple[list[str], np.ndarray]:
+#: Characters of all texts that a chain is fitted on.
+MAX_CHARS = 64_000_000
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str], max_rows: int, max_chars: int = MAX_CHARS) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``max_rows`` labelled documents, chosen by the hash of their id.
 
     ``categories`` maps a name to a SQL expression over ``labels`` that is 1, 0 or null.
+    An id with several rows stands with one text, that of the smallest hash; in the
+    order of the choice, documents count while their texts together have at most
+    ``max_chars`` characters.  So the driver gets max_rows rows and max_chars
+    characters at most, whatever the tables hold.
     """
+    place = (F.xxhash64("doc_id"), F.col("doc_id"))
     picked = labels.filter("doc_id is not null").select("doc_id", *(F.expr(e).cast("double").alias(c) for c, e in categories.items()))
-    picked = picked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # At most max_rows short rows, so the texts stay where they are.
-    rows = doc_rows(docs).join(F.broadcast(picked), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    picked = picked.dropDuplicates(["doc_id"]).orderBy(*place).limit(max_rows)
+    # At most max_rows ids, so the texts stay where they are.
+    texts = doc_rows(docs).join(F.broadcast(picked.select("doc_id")), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    total = F.sum(F.length("text")).over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+    rows = texts.withColumn("_total", total).filter(F.col("_total") <= max_chars).drop("_total").join(picked, "doc_id").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     table = np.array([[np.nan if r[c] is None else r[c] for c in categories] for r in rows], float).reshape(len(rows), len(categories))
     return [r["text"] for r in rows], table
 

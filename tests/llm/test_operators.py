@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quirewise.llm import binary, bpe, jaccard, lines, packing, pii, quality, substrings, syncmers, toxicity
 from quirewise.llm.fmindex import FmIndex
@@ -90,6 +91,42 @@ def test_substrings_of_repeated_rows(spark):
     assert collections.Counter(map(tuple, substrings.remove_repeats(df).collect())) == substrings_by_hand(rows)
 
 
+def test_substrings_where_text_keys_collide(spark, monkeypatch):
+    """64 equal bits of two texts under one id, or none, are no document: 128 decide."""
+    real = substrings.text_keys
+    monkeypatch.setattr(substrings, "text_keys", lambda text: (F.lit(0).cast("long").alias("tkey"), real(text)[1]))
+    x, y = prose(31, 24), " ".join(f"other{i}" for i in range(24))
+    rows = [(1, x), (5, x), (5, y), (5, "short"), (None, x), (None, y), (None, prose(33, 50)), (None, None)]
+    df = spark.createDataFrame([(i, t, "k", "n", 1) for i, t in rows], SCHEMA).repartition(3)
+    out = collections.Counter(map(tuple, substrings.remove_repeats(df).collect()))
+    # Null ids come first, and of different texts there those of y and x are apart.
+    want = [(None, 24, 0, x), (None, 24, 0, y), (None, 50, 0, prose(33, 50)), (None, 0, 0, ""), (1, 24, 24, ""), (5, 24, 24, ""), (5, 24, 24, ""), (5, 1, 0, "short")]
+    assert out == collections.Counter(want)
+    rows = [(1, x), (5, x), (5, y)]
+    df = spark.createDataFrame([(i, t, "k", "n", 1) for i, t in rows], SCHEMA).repartition(3)
+    assert collections.Counter(map(tuple, substrings.remove_repeats(df).collect())) == collections.Counter([(1, 24, 0, x), (5, 24, 24, ""), (5, 24, 0, y)])
+
+
+def test_toxicity_fits_on_a_bounded_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "k", "n", 1) for i in range(3000)] + [(2, "é" * 5000, "k", "n", 1), (3, None, "k", "n", 1)], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, (i or 0) % 2) for i in (1, 2, 3, 3, 4, None)], "doc_id long, quality int, toxic int")
+    texts, table = toxicity.labelled_rows(docs, labels, toxicity.CATEGORIES, 100)
+    assert len(texts) == 3 and table.tolist() == [[0, 1], [0, 0], [0, 1]] and texts[1:] == ["é" * 5000, ""] and texts[0].startswith("text ")
+    few, _ = toxicity.labelled_rows(docs, labels, toxicity.CATEGORIES, 100, max_chars=100)
+    assert "é" * 5000 not in few and len(few) <= 2
+    assert toxicity.labelled_rows(docs.limit(0), labels, toxicity.CATEGORIES, 100)[0] == []
+
+
+def test_clashing_names_and_odd_types(spark):
+    rows = [(i, f"a\nshared\n{i}", {"k": i}, i, -i, "v") for i in range(12)] + [(None, None, None, 50, -50, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row map<string,int>, _t_key int, `mark.keep` int, tkey string")
+    out = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs.select("doc_id", "text"), min_docs=10, min_chars=1))
+    got = {r["_t_key"]: r.asDict() for r in out.collect()}
+    assert len(got) == 13 and out.columns == ["doc_id", "row", "_t_key", "mark.keep", "tkey", "text", "n_lines", "n_dropped"]
+    assert all(got[i] == {"doc_id": i, "row": {"k": i}, "_t_key": i, "mark.keep": -i, "tkey": "v", "text": str(i), "n_lines": 3, "n_dropped": 2} for i in range(12))
+    assert (got[50]["text"], got[50]["n_lines"], got[50]["n_dropped"]) == ("", 1, 0)
+
+
 def test_substrings_spread_a_hot_anchor(spark, monkeypatch):
     """One passage with other text around it in each document: its segments are dealt out by content."""
     passage = prose(20, 30)
@@ -113,7 +150,7 @@ def test_substrings_of_hot_anchors(unique, monkeypatch):
 
     text = " ".join(f"t{i}" for i in range(21))
     span = pa.struct([("start", pa.int32()), ("count", pa.int32()), ("anchor", pa.int64()), ("kind", pa.int32())])
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([2, 1], pa.int64()), "tkey": pa.array([1, 1], pa.int32()), "text": [text, text], "spans": pa.array([rows, rows], pa.list_(span))})
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([2, 1], pa.int64()), "tkey": pa.array([1, 1], pa.int64()), "tkey2": pa.array([1, 1], pa.int64()), "text": [text, text], "spans": pa.array([rows, rows], pa.list_(span))})
     out = pa.Table.from_batches(list(substrings._spell(20, 4)(iter([batch])))).to_pylist()
     # Both windows stay open for the earlier document; the later one's are settled.
     assert {(r["doc_id"], r["start"]) for r in out if r["words"] is None} == {(2, 0), (2, 1)}

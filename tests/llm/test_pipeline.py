@@ -55,6 +55,20 @@ def test_near_duplicates_of_repeated_rows_and_null_ids(spark):
     assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == collections.Counter(want)
 
 
+def test_stages_keep_columns_of_any_name_and_take_empty_tables(spark):
+    near = prose(7, 100)
+    rows = [(i, f"{near} {i}", "en", "s", 1, i, {"k": i}, -i) for i in range(4)] + [(9, prose(9, 100), "en", "s", 1, 9, None, -9)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", _row int, number map<string,int>, `a.b` int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert set(got) == ({0, 9} if stage is corpus_pipeline.near_duplicates else {0, 1, 2, 3, 9})
+        assert all((r["_row"], r["a.b"], r["number"]) == (i, -i, None if i == 9 else {"k": i}) for i, r in got.items())
+    empty = docs.limit(0)
+    assert all(stage(spark, empty, "").count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0]).collect()
     ends = collections.Counter()
@@ -67,4 +81,4 @@ def test_registered():
     import __spark_entry__ as entry_point
 
     names = entry_point.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and "_" in n and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and "_" in n and n[2].isdigit() for n in names) == 13

@@ -165,7 +165,8 @@ _FROM_REPLIES = (
     "t AS (SELECT book_id, orig, any_value(base) AS base FROM u GROUP BY ALL), "
     "ex AS (SELECT book_id, index AS idx, orig AS title FROM b UNION ALL SELECT 'site1', CAST(100000 AS INTEGER), 'extra'), "
     "w AS (SELECT ex.book_id, ex.idx, CASE WHEN ex.book_id <> 'site1' THEN ap.name ELSE "
-    r"coalesce(t.base, regexp_replace(ex.title, '\s+', '', 'g')) END AS title "
+    # Titles that no correction names lose white space and illegal signs too.
+    r"""coalesce(t.base, trim(regexp_replace(regexp_replace(ex.title, '\s+', '', 'g'), '[<>:"/\\|?*]', '_', 'g'))) END AS title """
     "FROM ex LEFT JOIN ap ON ap.book_id = ex.book_id AND ap.index = ex.idx "
     r"LEFT JOIN t ON t.book_id = ex.book_id AND t.orig = regexp_replace(ex.title, '\s+', '', 'g')) "
 )

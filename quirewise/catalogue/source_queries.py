@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ordered as O
 from ..plans import collection
 from ..plans.storage import fresh_path, materialize
+from ..sources import json_ranges as R
 from ..sources import json_tables as J
 from ..sources import listing as S
 from ..streaming.arrivals import stream_books
@@ -182,6 +184,64 @@ def read_manifest(spark, sf_dir):
     return J.read_manifest(_json(spark, sf_dir, text)).select("book_id", "index", "name", "file", "src_start")
 
 
+# --- documents of any size, written and read by many tasks ------------------------------------
+
+
+@query(
+    "strip_ranges",
+    "SELECT source AS book_id, CAST(doc_id AS INTEGER) AS page, 0 AS col, text, lang AS full FROM documents "
+    "UNION ALL SELECT source, CAST(doc_id AS INTEGER), 1, source, lang FROM documents",
+)
+def strip_ranges(spark, sf_dir):
+    """All texts as one JSON object a book, read back by byte ranges."""
+    pages = t.table(spark, sf_dir, "documents").selectExpr(
+        "source AS book_id", "CAST(doc_id AS INT) AS page", "array(text, source) AS cols", "lang AS full"
+    )
+    path = fresh_path(spark, "strips-json")
+    R.write_strips(pages, path)
+    return J.read_strips(R.elements(spark, path)).select("book_id", "page", F.posexplode("cols").alias("col", "text"), "full")
+
+
+_PLACE = "CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER)"
+
+
+@query(
+    "exam_set_round_trip",
+    f"WITH e AS (SELECT source AS book_id, {_PLACE} AS idx, CAST(doc_id AS INTEGER) AS doc_id, lang, text FROM documents) "
+    "SELECT book_id, idx, doc_id AS start, CASE WHEN lang = 'en' THEN NULL ELSE lang END AS school, text AS title, s AS seq, "
+    "doc_id + s AS page, s % 3 AS col FROM e, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS s) WHERE s <= 1 + doc_id % 3",
+)
+def exam_set_round_trip(spark, sf_dir):
+    """Documents as exams with one to three columns, written as nested JSON and read back."""
+    docs = t.table(spark, sf_dir, "documents").selectExpr(
+        "source AS book_id", "CAST(doc_id AS INT) AS idx", "CASE WHEN lang = 'en' THEN NULL ELSE lang END AS school", "text AS title"
+    )
+    exam = docs.selectExpr("book_id", "idx", "idx AS start", "idx + 1 AS end", "school", "CAST(NULL AS STRING) AS branch", "'2026' AS year", "title")
+    segments = docs.selectExpr("book_id", "idx", "explode(sequence(1, 1 + idx % 3)) AS seq").selectExpr("*", "idx + seq AS page", "seq % 3 AS col")
+    path = fresh_path(spark, "exams-json")
+    R.write_exam_sets(exam, segments, path)
+    exam, segments = J.read_exam_sets(R.elements(spark, path))
+    return exam.select("book_id", "idx", "start", "school", "title").join(segments, ["book_id", "idx"])
+
+
+@query(
+    "manifest_round_trip",
+    f"SELECT source AS book_id, {_PLACE} AS index, text AS name, lang || '.pdf' AS file, CAST(doc_id AS INTEGER) AS src_start, "
+    "CASE WHEN doc_id % 2 = 0 THEN source END AS branch FROM documents WHERE text <> ''",
+)
+def manifest_round_trip(spark, sf_dir):
+    """Texts as names of a manifest, written as JSON and read back."""
+    docs = t.table(spark, sf_dir, "documents").filter("text <> ''")
+    ranked = O.rank_in_group(docs.selectExpr("source AS book_id", "CAST(doc_id AS INT) AS doc_id", "lang", "text"), ["book_id"], "doc_id", "index")
+    man = ranked.selectExpr(
+        "book_id", "index", "text AS name", "lang || '.pdf' AS file", "doc_id AS src_start", "doc_id AS src_end", "1 AS pdf_pages",
+        "lang AS school", "CASE WHEN doc_id % 2 = 0 THEN book_id END AS branch", "'2026' AS year",
+    )
+    path = fresh_path(spark, "manifest-json")
+    R.write_manifest(man, path)
+    return J.read_manifest(R.elements(spark, path)).select("book_id", "index", "name", "file", "src_start", "branch")
+
+
 @query(
     "replace_books",
     "SELECT source AS book_id, doc_id AS page, CASE WHEN source = 'src1' THEN 'new' ELSE lang END AS lang FROM documents "

@@ -1,7 +1,9 @@
 """The JSON shapes at the edges: readers, writers, replacement by book.
 
 Readers take a frame (book_id, json), one document per row; ``read_json_texts``
-makes one from files.  Between operators the tables stay in Parquet.
+makes one from files.  ``json_ranges.elements`` makes one with an element of a
+document per row and its place as ``seq``, for documents too large for a row.
+Between operators the tables stay in Parquet.
 """
 
 from __future__ import annotations
@@ -42,6 +44,14 @@ def read_json_texts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _listed(docs: DataFrame, rows: Column, value: str = "r") -> DataFrame:
+    """book_id, pos, ``value``: the entries of the documents; ``seq`` places a document of one entry in its book."""
+    if "seq" not in docs.columns:
+        return explode_once(docs, ["book_id"], rows, "pos", value)
+    placed = explode_once(docs, ["book_id", "seq"], rows, "pos", value)
+    return placed.select("book_id", (F.col("seq") + F.col("pos")).cast("int").alias("pos"), value)
+
+
 def _is_list(c: Column) -> Column:
     return F.ltrim(c).startswith("[")
 
@@ -73,7 +83,7 @@ def read_layout(docs: DataFrame) -> DataFrame:
         ),
     ).cast(LAYOUT_ROWS)
     rows = F.when(_is_list(F.col("json")), F.from_json("json", LAYOUT_ROWS)).otherwise(bare)
-    listed = explode_once(docs, ["book_id"], rows, "pos", "r")
+    listed = _listed(docs, rows)
     return listed.groupBy("book_id", "r.page").agg(F.max_by("r", "pos").alias("r")).select(
         "book_id",
         "r.page",
@@ -134,16 +144,14 @@ def read_layout_overrides(docs: DataFrame) -> DataFrame:
     ).cast("array<struct<page:string,layout:string>>")
     listed = F.from_json("json", "array<struct<page:string,layout:string>>")
     rows = F.when(_is_list(F.col("json")), listed).otherwise(bare)
-    return explode_once(docs, ["book_id"], rows, "seq", "r").select(
-        "book_id", F.col("r.page").try_cast("int").alias("page"), "r.layout", "seq"
+    return _listed(docs, rows).select(
+        "book_id", F.col("r.page").try_cast("int").alias("page"), "r.layout", F.col("pos").alias("seq")
     )
 
 
 def read_exam_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(exam, exam_segment) from list documents."""
-    rows = explode_once(docs, ["book_id"], F.from_json("json", EXAM_ROWS), "pos", "r").withColumn(
-        "idx", F.col("pos") + 1
-    )
+    rows = _listed(docs, F.from_json("json", EXAM_ROWS)).withColumn("idx", F.col("pos") + 1)
     exam = rows.select(
         "book_id", "idx", "r.start", "r.end", "r.school", "r.branch", "r.year", "r.title",
         F.coalesce(F.size("r.segments"), F.lit(0)).alias("n_columns"),
@@ -160,7 +168,7 @@ def read_exam_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_manifest(docs: DataFrame) -> DataFrame:
     """A missing name falls back to the file and the other way round."""
-    return explode_once(docs, ["book_id"], F.from_json("json", MANIFEST_ROWS), "pos", "r").select(
+    return _listed(docs, F.from_json("json", MANIFEST_ROWS)).select(
         "book_id",
         "r.index",
         F.coalesce(nonempty(F.col("r.name")), F.col("r.file"), F.lit("")).alias("name"),

@@ -12,7 +12,7 @@ from quirewise.plans import collection
 from quirewise.plans.storage import materialize, shared_dir
 from quirewise.sources import json_tables as J
 from quirewise.sources import listing
-from quirewise.sources.replies import read_replies
+from quirewise.sources.replies import read_replies, rejected_entries, unreadable_replies
 from quirewise.streaming import progress
 
 A = "成都某嘉祥外国语学校初2026届新初一分班真卷数学"
@@ -46,6 +46,26 @@ def test_replies(spark):
     assert got == {1: ("a", "b [x]", "low"), 2: ("c", "d", "high"), 4: ("e", "f", None)}
 
 
+def test_reply_arrays_are_balanced_outside_strings(spark):
+    texts = {
+        1: 'I read [{"orig": "a ] \\" [", "fixed": "b [1"}, {"orig": "c", "fixed": "}]"}] and later ["x"]',
+        2: '[{"orig": "a", "notes": [[1, 2], ["]"]]}, {"fixed": "no title"}, "text", null, 5, ["z"], {"orig": null}]',
+        3: 'She said "this [ is" odd',
+        4: "open [1, 2",
+        5: "```\n[]\n```",
+        6: 'quote " before [{"orig":"q"}] after',
+        7: None,
+        8: "no [brackets] that hold titles",
+    }
+    df = spark.createDataFrame([(k, v, None) for k, v in texts.items()], "batch int, content string, reasoning string")
+    got = [(r["batch"], r["pos"], r["orig"], r["fixed"]) for r in read_replies(df).orderBy("batch", "pos").collect()]
+    assert got == [(1, 0, 'a ] " [', "b [1"), (1, 1, "c", "}]"), (2, 0, "a", None), (6, 0, "q", None)]
+    rejected = [(r["batch"], r["pos"], r["item"]) for r in rejected_entries(df).orderBy("batch", "pos").collect()]
+    assert [r[:2] for r in rejected] == [(2, 1), (2, 2), (2, 3), (2, 4), (2, 5), (2, 6)]
+    assert rejected[0][2] == '{"fixed":"no title"}' and rejected[2][2] is None
+    assert {r["batch"] for r in unreadable_replies(df).collect()} == {3, 4, 7, 8}
+
+
 def test_request_batches(spark):
     df = spark.createDataFrame([("b", i, f"t{i}") for i in range(1, 9)], "book_id string, index int, name string")
     got = C.request_batches(df).orderBy("batch").collect()

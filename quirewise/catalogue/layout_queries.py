@@ -200,30 +200,41 @@ def layout_lookup(spark, sf_dir):
 _PIXEL = "(CASE WHEN abs(CAST({v} AS DOUBLE)) * 100 > (r % 24) THEN 40 ELSE 230 END)"
 
 
-@query(
-    "ink_profile",
-    "WITH px AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings), "
+RASTER_CELLS = (
+    "px AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings), "
     f"cell AS (SELECT vec_id, x, r, {_PIXEL.format(v='v')} AS lum FROM px CROSS JOIN (SELECT unnest(range(24)) AS r)), "
     "bg AS (SELECT vec_id, quantile_cont(CAST(lum AS DOUBLE), 0.95) - 40 AS cut FROM cell GROUP BY vec_id), "
     "col AS (SELECT vec_id, CAST(floor(r / 2) AS INTEGER) AS band, x, "
-    "avg(CASE WHEN lum < cut THEN 100.0 ELSE 0.0 END) AS ink FROM cell JOIN bg USING (vec_id) GROUP BY ALL) "
-    "SELECT 'raster' AS book_id, vec_id AS page, band, count(*) AS n_cols, sum(ink) AS total_ink, "
-    "sum(ink * x) AS ink_moment FROM col GROUP BY ALL",
+    "avg(CASE WHEN lum < cut THEN 100.0 ELSE 0.0 END) AS ink FROM cell JOIN bg USING (vec_id) GROUP BY ALL)"
 )
-def ink_profile(spark, sf_dir):
+RASTER_LAYOUTS = (
+    f"{RASTER_CELLS}, cells AS (SELECT 'scan' || CAST(vec_id % 5 AS STRING) AS book_id, vec_id AS page, band, x, ink FROM col), "
+    + LAYOUTS[LAYOUTS.index("eligible AS") :]
+)
+_RASTER_PROFILE = (
+    f"WITH {RASTER_CELLS} SELECT 'raster' AS book_id, vec_id AS page, band, count(*) AS n_cols, sum(ink) AS total_ink, "
+    "sum(ink * x) AS ink_moment FROM col GROUP BY ALL"
+)
+
+
+def rasters(spark, sf_dir, book="'raster'"):
+    """A page per vector, 24 rows of 64 pixels."""
     vec = t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     row = f"transform(embedding, v -> lpad(hex({_PIXEL.format(v='v')}), 2, '0'))"
-    pages = vec.selectExpr(
-        "'raster' AS book_id",
+    return vec.selectExpr(
+        f"{book} AS book_id",
         "vec_id AS page",
         "64 AS w",
         "24 AS h",
         "1 AS n",
         f"unhex(array_join(transform(sequence(0, 23), r -> array_join({row}, '')), '')) AS samples",
     )
+
+
+def _moments(profile):
     weighted = F.transform("ink", lambda v, x: v * x)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-    return raster.ink_profile(pages).select(
+    return profile.select(
         "book_id",
         "page",
         "band",
@@ -231,3 +242,14 @@ def ink_profile(spark, sf_dir):
         total(F.col("ink")).alias("total_ink"),
         total(weighted).alias("ink_moment"),
     )
+
+
+@query("ink_profile", _RASTER_PROFILE)
+def ink_profile(spark, sf_dir):
+    return _moments(raster.ink_profile(rasters(spark, sf_dir)))
+
+
+@query("ink_profile_of_tiles", _RASTER_PROFILE)
+def ink_profile_of_tiles(spark, sf_dir):
+    """Five rows a tile, so tiles and bands cut each other."""
+    return _moments(raster.ink_profile_of_tiles(raster.tiles(rasters(spark, sf_dir), 5)))

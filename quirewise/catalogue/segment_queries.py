@@ -11,6 +11,7 @@ from ..operators.ordered import carry_forward, rank_in_group
 from ..operators.subpages import detect_headers
 from ..plans import collection
 from ..plans.storage import materialize
+from . import layout_queries as LQ
 from . import query
 from . import tables as t
 from .header_queries import OVERRIDES_SQL, subpages
@@ -191,6 +192,54 @@ def override_run(spark, sf_dir):
     return collection.split_collections(by_hand, keep=materialize).manifest
 
 
+# --- from profiles and rasters, leading pages skipped, both kinds of override ------------------
+
+_SCAN_BOOK = "'scan' || CAST(doc_id % 5 AS STRING)"
+SKIP = 2
+
+
+def _scanned(votes: str, book: str) -> str:
+    """Strips whose layout is what ``votes`` (CTEs up to ``lay``) finds, corrected by hand."""
+    return (
+        f"WITH {votes}, {LQ.OVERRIDES}, ok AS (SELECT book_id, page, trim(layout) AS nl FROM o WHERE trim(layout) IN ('1-up', '2-up', '3-up')), "
+        f"base AS (SELECT {book} AS scan, * FROM ({t.STRIPS_SQL})), "
+        "z AS (SELECT base.scan, base.page, c0, c1, c2, full_text, doc_id, coalesce(ok.nl, lay.layout, '1-up') AS layout FROM base "
+        "LEFT JOIN lay ON lay.book_id = base.scan AND lay.page = base.page LEFT JOIN ok ON ok.book_id = base.scan AND ok.page = base.page "
+        f"WHERE base.page > {SKIP}) "
+        "SELECT scan AS book_id, page, c0, c1, c2, full_text, layout, CASE layout WHEN '1-up' THEN 1 WHEN '3-up' THEN 3 ELSE 2 END AS n_cols, doc_id FROM z"
+    )
+
+
+def _scanned_inputs(spark, sf_dir, **source):
+    scan = lambda df: df.withColumn("book_id", F.expr("'scan' || CAST(page % 5 AS STRING)"))
+    return collection.Inputs(
+        page_strip=scan(t.page_strips(spark, sf_dir)),
+        pages=scan(t.page_sizes(spark, sf_dir)),
+        layout_overrides=LQ.overrides(spark, sf_dir),
+        title_overrides=scan(overrides_by_hand(spark, sf_dir)),
+        skip=SKIP,
+        **source,
+    )
+
+
+_BY_HAND = OVERRIDDEN.replace("source AS book_id", f"{_SCAN_BOOK} AS book_id")
+
+
+@query("end_to_end_from_profiles", run_sql("ko", _BY_HAND, _scanned(LQ.LAYOUTS, _SCAN_BOOK)) + SHOWN)
+def end_to_end_from_profiles(spark, sf_dir):
+    given = _scanned_inputs(spark, sf_dir, profile=t.profiles(spark, sf_dir))
+    return collection.split_collections(given, scan=t.VECTOR_SCAN, keep=materialize).manifest
+
+
+_RASTER_BOOK = "'scan' || CAST(vec_id % 5 AS STRING)"
+
+
+@query("end_to_end_from_rasters", run_sql("ko", _BY_HAND, _scanned(LQ.RASTER_LAYOUTS, _SCAN_BOOK)) + SHOWN)
+def end_to_end_from_rasters(spark, sf_dir):
+    given = _scanned_inputs(spark, sf_dir, raster=LQ.rasters(spark, sf_dir, _RASTER_BOOK))
+    return collection.split_collections(given, scan=t.VECTOR_SCAN, keep=materialize).manifest
+
+
 # --- recompute ---------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,14 +13,17 @@ from ..operators import output, segments, subpages
 from ..operators.ordered import salted_lookup
 from ..rules import CN_EXAM, SCAN, LayoutProfile, RuleProfile
 from ..sources.json_tables import strip_rows
+from ..sources.listing import skip_pages
+from ..sources.raster import ink_profile_of_tiles, tiles
 
 
 @dataclass(frozen=True)
 class Inputs:
-    """``page_strip`` (book_id, page, cols, full) and either a layout table or
-    ink profiles; ``pages`` (book_id, page, width, height) sizes the slices.
-    ``detected`` takes the findings of an earlier run instead of reading the
-    texts again."""
+    """``page_strip`` (book_id, page, cols, full) and a layout table, ink profiles
+    or page rasters (whole, or tiles of rows with ``top``); ``pages`` (book_id,
+    page, width, height) sizes the slices.  ``detected`` takes the findings of an
+    earlier run instead of reading the texts again.  ``skip`` leading pages of
+    every book, or by book (book_id, skip), take no part in any stage."""
 
     page_strip: DataFrame
     pages: DataFrame
@@ -29,6 +32,21 @@ class Inputs:
     layout_overrides: DataFrame | None = None
     title_overrides: DataFrame | None = None
     detected: DataFrame | None = None
+    raster: DataFrame | None = None
+    skip: int | DataFrame = 0
+
+
+#: The tables of ``Inputs`` that have a row or more per page of a book.
+BY_PAGE = ("page_strip", "pages", "layout", "profile", "raster", "detected", "layout_overrides", "title_overrides")
+
+
+def content_pages(inputs: Inputs) -> Inputs:
+    """P1 for all tables: without the leading pages, overrides of them included."""
+    by_book = isinstance(inputs.skip, DataFrame)
+    if not by_book and inputs.skip <= 0:
+        return inputs
+    cut = lambda df: skip_pages(df, inputs.skip) if by_book else skip_pages(df, skip=inputs.skip)
+    return replace(inputs, skip=0, **{n: cut(df) for n in BY_PAGE if (df := getattr(inputs, n)) is not None})
 
 
 @dataclass(frozen=True)
@@ -72,12 +90,17 @@ def split_collections(
     a large run wants: the texts are then read once, by a pass without a
     shuffle, and everything after works on rows of a few dozen bytes.
     """
+    inputs = content_pages(inputs)
+    profile = inputs.profile
+    if inputs.layout is None and profile is None and inputs.raster is not None:
+        parts = inputs.raster if "top" in inputs.raster.columns else tiles(inputs.raster)
+        profile = ink_profile_of_tiles(parts, scan).filter("error IS NULL").drop("error")
     if inputs.layout is not None:
         lay = inputs.layout
-    elif inputs.profile is not None:
-        lay = L.classify_layout(inputs.profile, inputs.pages, scan)
+    elif profile is not None:
+        lay = L.classify_layout(profile, inputs.pages, scan)
     else:
-        raise ValueError("give a layout table or ink profiles")
+        raise ValueError("give a layout table, ink profiles or rasters")
     if inputs.layout_overrides is not None:
         lay = L.apply_layout_overrides(lay, inputs.layout_overrides).drop("old_layout", "changed")
     lay = keep(lay, "layout")

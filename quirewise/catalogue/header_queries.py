@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import rules
 from ..functions import text as T
 from ..functions.arrays import explode_once
+from ..operators import dictionary as D
 from ..operators import headers as H
 from ..operators import subpages as S
 from . import query
@@ -111,6 +113,29 @@ def book_subject(spark, sf_dir):
     return S.book_subjects(strips(spark, sf_dir))
 
 
+@query("book_subject_by_table", f"WITH s AS ({t.STRIPS_SQL}), {t.BOOK_SUBJECT_CTES} SELECT book_id, subject FROM subj")
+def book_subject_by_table(spark, sf_dir):
+    """The same subjects out of a table of words."""
+    words = [(i, w, w) for i, w in enumerate(rules.CN_EXAM.subjects)]
+    words = spark.createDataFrame(words, "word_no long, word string, subject string")
+    return D.subjects_by_table(S.page_texts(strips(spark, sf_dir)), words)
+
+
+@query(
+    "dictionary_hits",
+    "WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^0-9A-Za-z]+')) AS word FROM benchmark), "
+    "d AS (SELECT doc_id, text FROM documents) "
+    "SELECT d.doc_id, w.word, CAST(instr(d.text, w.word) - 1 AS BIGINT) AS at FROM d JOIN w ON w.word <> '' AND contains(d.text, w.word)",
+)
+def dictionary_hits(spark, sf_dir):
+    """Every word of the benchmark texts in every document, with its first place."""
+    words = t.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^0-9A-Za-z]+")).alias("word")).distinct()
+    words = words.withColumn("word_no", F.xxhash64("word"))
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = D.find_words(docs, words).select("doc_id", F.explode("found").alias("f"))
+    return found.join(words, F.col("f.word_no") == F.col("word_no")).select("doc_id", "word", F.col("f.at").alias("at"))
+
+
 @query("text_union", f"WITH s AS ({t.STRIPS_SQL}), {t.BOOK_SUBJECT_CTES} SELECT book_id, page, seq, length(t) AS n FROM texts")
 def text_union(spark, sf_dir):
     return S.page_texts(strips(spark, sf_dir)).select(

@@ -106,6 +106,20 @@ def gutter_votes(spark, sf_dir):
     )
 
 
+_LONG = " UNION ALL ".join(f"SELECT book_id, page, '{n}' AS anchor, round(vote_{n}, 9) AS vote, round(gutter_{n}, 9) AS gutter FROM v" for n in L.ANCHORS)
+
+
+@query("anchor_votes", f"WITH {VOTES} {_LONG}")
+def anchor_votes(spark, sf_dir):
+    """The usual anchors as a table: two for all books, the middle one listed book by book."""
+    profile = t.profiles(spark, sf_dir)
+    rest = [(None, n, a) for n, a in L.ANCHORS.items() if n != "c"]
+    middle = profile.select("book_id").distinct().withColumns({"anchor": F.lit("c"), "at": F.lit(L.ANCHORS["c"])})
+    anchors = spark.createDataFrame(rest, "book_id string, anchor string, at double").unionByName(middle)
+    found = L.anchor_votes(profile, anchors, P)
+    return found.withColumns({c: F.round(c, 9) for c in ("vote", "gutter")})
+
+
 @query(
     "classify_layout",
     f"WITH {LAYOUTS} SELECT book_id, page, layout, round_even(vote_c, 3) AS score_c, "

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..operators import segments as G
-from ..operators.ordered import carry_forward, rank_in_group
+from ..operators.ordered import balanced_lookup, carry_forward, hot_keys, rank_in_group
 from ..operators.subpages import detect_headers
 from ..plans import collection
 from ..plans.storage import materialize
@@ -104,6 +104,14 @@ def ranked(spark, sf_dir):
     return rank_in_group(docs, ["source", "lang"], "doc_id", "rn", width=64).select("doc_id", "rn")
 
 
+@query("balanced_lookup", "SELECT doc_id, source, n FROM documents JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) USING (source)")
+def balanced(spark, sf_dir):
+    """The size of its source for every document, frequent sources dealt out."""
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", "source")
+    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return balanced_lookup(docs, sizes, "source", F.col("doc_id"), hot_keys(docs, "source", 32), "inner")
+
+
 # --- the whole run -------------------------------------------------------------------
 
 IDENT = "CASE WHEN volume THEN 'V' || title ELSE school || '|' || coalesce(branch, '') || '|' || coalesce(year, '') || '|' || title END"

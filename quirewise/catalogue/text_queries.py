@@ -106,18 +106,15 @@ def adjacent_pairs(spark, sf_dir):
 @query(
     "neighbourhood",
     f"WITH {LINES} SELECT a.doc_id, a.n, string_agg(b.line, chr(10) ORDER BY b.n) AS blob FROM solid a JOIN solid b "
-    "ON a.doc_id = b.doc_id AND b.n BETWEEN a.n - 1 AND a.n + 4 WHERE a.n < 10 GROUP BY a.doc_id, a.n",
+    "ON a.doc_id = b.doc_id AND b.n BETWEEN a.n - 1 AND a.n + 4 GROUP BY a.doc_id, a.n",
 )
 def neighbourhood(spark, sf_dir):
-    def blobs(solid):
-        def at(_, i):
-            first = F.greatest(i - 1, F.lit(0))
-            return F.array_join(F.slice(solid, first + 1, i + 5 - first), "\n")
+    """The frame of every line of every text."""
 
-        return F.transform(F.slice(solid, 1, 10), at)
+    def blobs(solid):
+        return F.transform(solid, lambda _, i: F.array_join(T.around(solid, i), "\n"))
 
-    solid = F.slice(T.nonblank_lines(F.col("text")), 1, 15)
-    return explode_once(documents(spark, sf_dir), ["doc_id"], T.bind(solid, blobs), "n", "blob")
+    return explode_once(documents(spark, sf_dir), ["doc_id"], T.bind(T.nonblank_lines(F.col("text")), blobs), "n", "blob")
 
 
 # --- corrections ------------------------------------------------------------------
@@ -390,6 +387,19 @@ _CN_VALUE = t.pick("doc_id", ("1", "9", "10", "11", "20", "28", "99", "5", "0",
 _CN_BASE = t.pick("doc_id / 10", ("0", "100", "200", "300"))
 
 
+@query(
+    "wide_number",
+    f"SELECT doc_id, CAST({_CN_BASE} AS INTEGER) + CAST({_CN_VALUE} AS INTEGER) AS n, CAST(doc_id % 1000 AS INTEGER) AS wide FROM documents",
+)
+def wide_number(spark, sf_dir):
+    """Numerals among other signs, and numbers in full-width digits."""
+    noisy = f"'第 ' || {CN_INPUT} || ' 卷'"
+    rows = t.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", f"{noisy} AS given", "'　' || translate(CAST(doc_id % 1000 AS STRING), '0123456789', '０１２３４５６７８９') AS wide"
+    )
+    return rows.select("doc_id", T.cn_number(F.col("given")).alias("n"), T.cn_number(F.col("wide")).alias("wide"))
+
+
 @query(
     "cn_number",
     f"SELECT doc_id, CAST({_CN_BASE} AS INTEGER) + CAST({_CN_VALUE} AS INTEGER) AS n FROM documents",

@@ -90,6 +90,12 @@ def nonblank_lines(c: Column) -> Column:
     return F.filter(lines(c), lambda x: x != "")
 
 
+def around(v: Column, i: Column, before: int = 1, after: int = 4) -> Column:
+    """The entries of ``v`` from ``before`` ahead of place ``i`` to ``after`` behind it."""
+    first = F.greatest(i - before, F.lit(0))
+    return F.slice(v, first + 1, i + after + 1 - first)
+
+
 def min_length_lines(c: Column, n: int = 4) -> Column:
     """P10: lines of at least ``n`` characters."""
     return F.filter(lines(c), lambda x: F.length(x) >= n)
@@ -385,46 +391,31 @@ def canonical_title(
 # --- numbers and names -----------------------------------------------------
 
 
+# The signs of numerals and what they stand for.
+CN_DIGITS, WIDE_DIGITS, ASCII_DIGITS = "一二三四五六七八九", "０１２３４５６７８９", "0123456789"
+
+
 def cn_number(c: Column) -> Column:
-    """F16: Chinese numeral to int, 0 when unclear."""
-    digits = "零一二三四五六七八九"
-    s = strip(c)
-    state = F.struct(F.lit(0).alias("total"), F.lit(0).alias("cur"), F.lit(False).alias("has"))
-
-    def step(acc: Column, ch: Column) -> Column:
-        pos = F.instr(F.lit(digits), ch)
-        unit = F.when(ch == "十", 10).when(ch == "百", 100)
-        ascii_digit = ch.try_cast("int")
-        return (
-            F.when(
-                unit.isNotNull(),
-                F.struct(
-                    (acc["total"] + F.when(acc["cur"] != 0, acc["cur"]).otherwise(1) * unit).alias("total"),
-                    F.lit(0).alias("cur"),
-                    F.lit(True).alias("has"),
-                ),
-            )
-            .when(
-                pos > 1,
-                F.struct(acc["total"].alias("total"), (pos - 1).alias("cur"), F.lit(True).alias("has")),
-            )
-            .when(
-                ascii_digit.isNotNull(),
-                F.struct(acc["total"].alias("total"), ascii_digit.alias("cur"), F.lit(True).alias("has")),
-            )
-            .otherwise(acc)
-        )
+    """F16: a numeral to int, 0 when unclear; full-width digits are digits.
+
+    A number in digits alone is read as it stands.  Else every 百 and 十 counts as
+    often as the sign right before it says (once without one), the last sign is
+    added, and signs that are no part of a numeral are overlooked.
+    """
+    plain = F.translate(strip(c), WIDE_DIGITS, ASCII_DIGITS)
+    signs = lambda v: F.translate(F.regexp_replace(v, f"[^{CN_DIGITS}0-9十百]", ""), CN_DIGITS, ASCII_DIGITS[1:])
+
+    def counted(pair: Column) -> Column:
+        times = F.greatest(F.coalesce(F.regexp_substr(pair, F.lit("^[0-9]")).try_cast("int"), F.lit(1)), F.lit(1))
+        return times * F.when(pair.endswith("百"), 100).otherwise(10)
+
+    def value(v: Column) -> Column:
+        units = F.regexp_extract_all(v, F.lit("[0-9]?[十百]"), F.lit(0))
+        last = F.coalesce(F.regexp_substr(v, F.lit("[0-9]$")).try_cast("int"), F.lit(0))
+        return F.aggregate(F.transform(units, counted), F.lit(0), lambda x, y: x + y) + last
 
     return bind(
-        s,
-        lambda v: F.when(v.rlike("^[0-9]+$"), v.try_cast("int")).otherwise(
-            F.aggregate(
-                F.filter(F.split(v, ""), lambda x: x != ""),
-                state,
-                step,
-                lambda a: F.when(a["has"], a["total"] + a["cur"]).otherwise(0),
-            )
-        ),
+        plain, lambda v: F.when(v.rlike("^[0-9]+$"), v.try_cast("int")).otherwise(bind(signs(v), value))
     )
 
 

@@ -217,13 +217,8 @@ def relaxed_header(
 
         return F.transform(ls, one)
 
-    def around(v: Column, i: Column) -> Column:
-        """From one line before to four after."""
-        first = F.greatest(i - 1, F.lit(0))
-        return F.slice(v, first + 1, i + 5 - first)
-
     def blob_at(v: Column, i: Column) -> Column:
-        return F.array_join(F.transform(around(v, i), lambda x: x["t"]), "\n")
+        return F.array_join(F.transform(T.around(v, i), lambda x: x["t"]), "\n")
 
     def first_index(v: Column, test) -> Column:
         index = F.sequence(F.lit(0), F.size(v) - 1)
@@ -244,7 +239,7 @@ def relaxed_header(
 
     def vouched(v: Column, i: Column) -> Column:
         """A subtitle or a marks-and-minutes line close to the school line."""
-        near = around(v, i)
+        near = T.around(v, i)
         return F.exists(near, lambda x: x["sub"]) | bind(
             blob_at(v, i), lambda b: b.rlike(FULL_MARKS) & b.rlike(TIME_LIMIT)
         )

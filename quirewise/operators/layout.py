@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import explode_once
+from ..plans.storage import materialize
 from ..rules import LAYOUTS, SCAN, LayoutProfile
 
 ANCHORS = {"c": 0.5, "13": 1.0 / 3.0, "23": 2.0 / 3.0}
@@ -144,6 +145,53 @@ def band_votes(profile: DataFrame, p: LayoutProfile = SCAN) -> DataFrame:
     )
 
 
+#: Parts that books are dealt into to meet the anchors for all of them.
+DEALS = 64
+#: Width of the intervals over which runs and anchors meet, as a share of the page.
+BIN = 1 / 32
+
+
+def anchor_votes(profile: DataFrame, anchors: DataFrame, p: LayoutProfile = SCAN) -> DataFrame:
+    """J3 with a table of anchors (book_id, anchor, at): book_id, page, anchor, vote, gutter.
+
+    A book may expect gutters anywhere; anchors of a null book hold for all books that
+    have none of that name.
+    Runs and the windows around anchors are put into the intervals of the page's width
+    that they touch and meet there, so nothing is compared that is not close; the
+    overlap is then computed exactly, once per pair.  ``vote`` is the share of voting
+    bands that see the anchor, ``gutter`` the median centre there, or the anchor.
+    """
+    share = lambda c: F.floor(c / F.lit(BIN)).cast("int")
+    bands = profile.select("book_id", "page", "band", "w", "ink").withColumn("min_w", min_run_width(F.col("w"), p)).filter(_eligible(p))
+    runs = explode_once(bands, ["book_id", "page", "band", "w", "min_w"], blank_runs(F.col("ink"), F.col("min_w"), p), "n", "r")
+    first = share(F.col("r.s") / F.col("w"))
+    runs = runs.select(
+        "*", first.alias("first_bin"), F.explode(F.sequence(first, F.greatest(first, share((F.col("r.e") - 1) / F.col("w"))))).alias("bin")
+    )
+    own = anchors.filter("book_id IS NOT NULL").select("book_id", "anchor", "at")
+    # The anchors for all books, listed once per deal of the books, become rows of every book.
+    deals = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("deal")
+    everywhere = anchors.filter("book_id IS NULL").select("anchor", "at", deals)
+    books = profile.select("book_id").distinct().withColumn("deal", F.pmod(F.xxhash64("book_id"), F.lit(DEALS)))
+    general = books.join(everywhere, "deal").join(own.select("book_id", "anchor"), ["book_id", "anchor"], "left_anti")
+    wanted = own.unionByName(general.select("book_id", "anchor", "at")).distinct()
+    lo, hi = F.greatest(F.col("at") - p.search_span, F.lit(0.0)), F.least(F.col("at") + p.search_span, F.lit(1.0))
+    # A pixel edge is rounded down, so a window may begin up to a pixel lower than its share of the page says.
+    low_bin = F.greatest(share(lo) - 1, F.lit(0))
+    windows = wanted.select("*", lo.alias("lo"), hi.alias("hi"), low_bin.alias("low_bin"), F.explode(F.sequence(low_bin, share(hi))).alias("bin"))
+    met = runs.join(windows, ["book_id", "bin"]).filter(F.col("bin") == F.greatest("first_bin", "low_bin"))
+    left, right = F.floor(F.col("w") * F.col("lo")).cast("int"), F.floor(F.col("w") * F.col("hi")).cast("int")
+    start, end = F.greatest(F.col("r.s"), left), F.least(F.col("r.e"), right)
+    met = met.withColumns({"reach": end - start, "centre": (start + end) / 2.0, "s": F.col("r.s")}).filter(F.col("reach") >= F.col("min_w") * p.reach)
+    best = met.groupBy("book_id", "page", "band", "w", "anchor").agg(F.max_by("centre", F.struct("reach", -F.col("s"))).alias("centre"))
+    seen = best.groupBy("book_id", "page", "anchor").agg(F.count("centre").alias("n"), (F.median("centre") / F.first("w")).alias("gutter"))
+    pages = bands.groupBy("book_id", "page").agg(F.count(F.lit(1)).alias("bands"))
+    every = pages.join(wanted, "book_id").join(seen, ["book_id", "page", "anchor"], "left")
+    return every.select(
+        "book_id", "page", "anchor", (F.coalesce("n", F.lit(0)) / F.col("bands")).alias("vote"), F.coalesce("gutter", F.col("at")).alias("gutter")
+    )
+
+
 def gutter_votes(votes: DataFrame) -> DataFrame:
     """A3 + A4: share of voting bands and median centre per anchor."""
     aggs = []
@@ -246,6 +294,10 @@ def split_overrides(overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cleaned.filter(ok), cleaned.filter(~ok)
 
 
+#: Unknown pages that an error message names.
+NAMED = 1000
+
+
 def unknown_overrides(layout: DataFrame, overrides: DataFrame) -> DataFrame:
     """Overrides that name a page the book does not have."""
     return overrides.join(layout, ["book_id", "page"], "left_anti")
@@ -256,19 +308,27 @@ def apply_layout_overrides(
 ) -> DataFrame:
     """Layout with overrides applied, plus ``old_layout`` and ``changed``.
 
-    A later override of the same page wins when the table has a ``seq`` column.
-    Overrides are typed in by hand, so the error can name every unknown page.
-    ``on_unknown='fail'`` raises if any override names an unknown page.
+    A later override of the same page wins by the column ``seq``; without one, two
+    different overrides of a page stop the query that reads the result.
+    ``on_unknown='fail'`` raises if any override names an unknown page: the error
+    has their number, up to ``NAMED`` of them, and the written table with all.
     """
     valid, _ = split_overrides(overrides)
     if on_unknown == "fail":
-        missing = unknown_overrides(layout, valid)
-        books = missing.groupBy("book_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("page")).alias("pages"))
-        names = [f"{r['book_id']}:{p}" for r in books.collect() for p in r["pages"]]
-        if names:
-            raise ValueError(f"{len(names)} overrides name pages outside the collection: {', '.join(sorted(names))}")
-    order = F.col("seq") if "seq" in overrides.columns else F.col("layout")
-    chosen = valid.groupBy("book_id", "page").agg(F.max_by("layout", order).alias("new_layout"))
+        missing = unknown_overrides(layout, valid).select("book_id", "page").distinct()
+        counted = Observation("unknown overrides")
+        # One job writes the table and counts it.
+        missing = materialize(missing.observe(counted, F.count(F.lit(1)).alias("n")), "unknown-overrides")
+        if count := counted.get["n"]:
+            some = [f"{r['book_id']}:{r['page']}" for r in missing.orderBy("book_id", "page").limit(NAMED).collect()]
+            more = "" if count <= NAMED else f" and others, all in {missing.inputFiles()[0].rsplit('/', 1)[0]}"
+            raise ValueError(f"{count} overrides name pages outside the collection: {', '.join(sorted(some))}{more}")
+    if "seq" in overrides.columns:
+        choice = F.max_by("layout", "seq")
+    else:
+        several = F.concat(F.lit("several layouts without seq for page "), F.first(F.col("page").cast("string")))
+        choice = F.when(F.min("layout") == F.max("layout"), F.max("layout")).otherwise(F.raise_error(several))
+    chosen = valid.groupBy("book_id", "page").agg(choice.alias("new_layout"))
     new = F.col("new_layout")
     if "corrected" not in layout.columns:
         layout = layout.withColumn("corrected", F.lit(False))

@@ -100,3 +100,38 @@ def salted_lookup(
         .join(salted, [*keys, "__salt"], how)
         .drop("__salt")
     )
+
+
+#: Keys that the sketch tracks, and how many of the most frequent are read from it.
+TRACKED, HOT_KEYS = 8192, 256
+
+
+def hot_keys(rows: DataFrame, key: str, parts: int) -> dict:
+    """Keys with more than a ``parts``-th of the rows, and over how many tasks each has to go.
+
+    One pass with Spark's mergeable sketch of frequent items, which finds every key of
+    more than a ``TRACKED``-th of the rows; the driver gets ``HOT_KEYS`` counts at most.
+    Counts are upper bounds, so a key is split too finely rather than too coarsely.
+    ``parts`` is at most ``HOT_KEYS``, as no more keys than that can have such a share.
+    """
+    parts = min(parts, HOT_KEYS)
+    seen = rows.filter(F.col(key).isNotNull()).agg(
+        F.expr(f"approx_top_k({key}, {HOT_KEYS}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n")
+    ).head()
+    return {r["item"]: -(-r["count"] * parts // seen["n"]) for r in seen["top"] or [] if r["count"] * parts > seen["n"]}
+
+
+def balanced_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread, hot: dict, how: str = "left") -> DataFrame:
+    """Join to a one-row-per-key table, the rows of every key in ``hot`` dealt over as many tasks as it says.
+
+    ``spread`` is an integer expression over ``rows``.  Only the lookup rows of hot keys
+    are copied; all others stay single.
+    """
+    width = F.lit(1)
+    if hot:
+        kind = dict(rows.dtypes)[key]
+        widths = F.create_map(*[F.lit(v).cast(kind) if i % 2 == 0 else F.lit(v) for item in hot.items() for i, v in enumerate(item)])
+        width = F.coalesce(F.try_element_at(widths, F.col(key)), F.lit(1))
+    salt = F.pmod(spread.cast("long"), width.cast("long"))
+    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), width.cast("long") - 1)))
+    return rows.withColumn("__salt", F.when(F.col(key).isNotNull(), F.coalesce(salt, F.lit(0)))).join(copies, [key, "__salt"], how).drop("__salt")

@@ -40,8 +40,10 @@ def segment_columns(subpages: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
     )
     # The filter says what the join below would infer anyway.  Said here, both
     # uses of the rows get the same plan and share one exchange.
+    # The book stands in a struct, which compares null-safe: pages without a book are one.
     rows = subpages.select(
-        "book_id", "page", "col", signal.alias("signal"), block_of("page", width).alias("block")
+        F.struct(F.col("book_id").alias("v")).alias("book_id"),
+        "page", "col", signal.alias("signal"), block_of("page", width).alias("block"),
     ).filter("book_id IS NOT NULL AND block IS NOT NULL")
     ordered = Window.partitionBy("book_id", "block").orderBy("page", "col")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
@@ -144,7 +146,7 @@ def segment_columns(subpages: DataFrame, width: int = BLOCK_WIDTH) -> DataFrame:
         .withColumn("opened", F.coalesce(opened_here, F.col("opened_before")))
     )
     return joined.filter("kept_row").select(
-        "book_id",
+        F.col("book_id.v").alias("book_id"),
         F.col("idx").cast("int").alias("idx"),
         (F.col("rank") - F.col("opened") + 1).cast("int").alias("seq"),
         "page",

@@ -153,12 +153,14 @@ def recompute(
 ) -> Result:
     """After layout corrections, redo detection and slicing of those books.
 
-    Refuses overrides of unknown pages.  Only books with a touched page are
+    Refuses overrides of unknown pages, and a table without a valid override.  Only books with a touched page are
     computed; write the result with ``replace_books`` to swap exactly those.
     With the findings of the earlier run in ``inputs.detected``, only the
     touched pages are searched for headers again.
     """
     valid, _ = L.split_overrides(overrides)
+    if valid.isEmpty():
+        raise ValueError("no valid correction")
     books = valid.select("book_id").distinct()
     lay = L.apply_layout_overrides(restrict(inputs.layout, books), valid, on_unknown="fail").drop(
         "old_layout", "changed"

@@ -2,8 +2,9 @@
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from quirewise.operators import layout, ordered, output, runs, subpages
+from quirewise.operators import layout, ordered, output, runs, segments, subpages
 from quirewise.sources import json_tables as J
 from quirewise.sources import replies
 from quirewise.streaming.arrivals import stream_books
@@ -85,3 +86,33 @@ def test_unplaced_segments(spark):
     lay = spark.createDataFrame([], "book_id string, page int, layout string, cuts array<struct<x0:double,x1:double>>")
     assert [r.out_page for r in output.slice_plan(segs, lay, pages).collect()] == [1]
     assert {(r.seq, r.reason) for r in output.unplaced_segments(segs, lay, pages).collect()} == {(2, "no window"), (3, "no page size")}
+
+
+def test_two_layouts_for_a_page_without_an_order_stop_the_query(spark):
+    known = spark.createDataFrame([("b", 1, "2-up", None)], f"book_id string, page long, layout string, cuts {layout.CUTS_TYPE}")
+    twice = spark.createDataFrame([("b", 1, "1-up"), ("b", 1, " 1-up")], "book_id string, page long, layout string")
+    assert layout.apply_layout_overrides(known, twice).head()["layout"] == "1-up"
+    odd = twice.unionByName(spark.createDataFrame([("b", 1, "3-up")], twice.schema))
+    with pytest.raises(Exception, match="several layouts"):
+        layout.apply_layout_overrides(known, odd).collect()
+    ordered = odd.withColumn("seq", F.when(F.col("layout") == "3-up", 2).otherwise(1))
+    assert layout.apply_layout_overrides(known, ordered).head()["layout"] == "3-up"
+
+
+def test_many_unknown_pages_are_counted_and_written(spark, monkeypatch):
+    monkeypatch.setattr(layout, "NAMED", 3)
+    known = spark.createDataFrame([("b", 1, "2-up", None)], f"book_id string, page long, layout string, cuts {layout.CUTS_TYPE}")
+    ov = spark.range(2, 12).selectExpr("'b' AS book_id", "id AS page", "'1-up' AS layout")
+    with pytest.raises(ValueError) as raised:
+        layout.apply_layout_overrides(known, ov, on_unknown="fail")
+    text = str(raised.value)
+    assert text.startswith("10 overrides") and "b:2, b:3, b:4 and others" in text
+    assert spark.read.parquet(text.rsplit(" in ", 1)[1]).count() == 10
+
+
+def test_pages_without_a_book_are_segmented(spark):
+    key = "struct<school:string,branch:string,year:string,title:string,volume:boolean>"
+    rows = [(b, p, 0, ("S", None, "2026", "T", False) if p == 1 else None, False, False) for b in ("b", None) for p in (1, 2)]
+    df = spark.createDataFrame(rows, f"book_id string, page long, col int, key {key}, is_answer boolean, is_toc boolean")
+    got = {(r["book_id"], r["page"]): (r["idx"], r["seq"]) for r in segments.segment_columns(df).collect()}
+    assert got == {(b, p): (1, p) for b in ("b", None) for p in (1, 2)}

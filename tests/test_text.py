@@ -92,7 +92,7 @@ def test_schools(one):
 
 
 @pytest.mark.parametrize(
-    "s, n", [("十一", 11), ("二十", 20), ("二十八", 28), ("一百零五", 105), ("7", 7), ("", 0), ("x", 0)]
+    "s, n", [("１２", 12), ("　７ ", 7), ("0十", 10), ("第二x十卷", 20), ("二八", 8), ("百十", 110), ("三百零２", 302), ("十一", 11), ("二十", 20), ("二十八", 28), ("一百零五", 105), ("7", 7), ("", 0), ("x", 0)]
 )
 def test_cn_number(one, s, n):
     assert one(T.cn_number, s) == n

@@ -44,7 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = stage_table(rows, "near-duplicate-rows")
     found = jaccard.link_components(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), n=5, percent=80)
     found = found.select(F.col("doc_id").alias("number"), "component_id")
-    place = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row.text"), F.xxhash64(F.to_json("row")), "number")
+    hashed = [F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # Spark hashes no maps
+    place = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64("row.text"), F.xxhash64(*hashed), "number")
     order = rows.select("number", place.alias("place"))
     keep = found.join(order, "number").groupBy("component_id").agg(F.min("place").alias("first")).select(F.col("first.number").alias("number"))
     return rows.join(keep.hint("merge"), "number", "left_semi").select("row.*")

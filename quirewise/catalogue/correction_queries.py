@@ -32,7 +32,7 @@ def manifest(spark, sf_dir):
     )
 
 
-# Two titles in three get a correction; a title can be corrected more than once.
+# Documents of a few pages get no correction; a title can be corrected more than once.
 FIX_COLUMNS = (
     "book_id",
     "name AS orig",
@@ -42,14 +42,14 @@ FIX_COLUMNS = (
     "index AS seq",
 )
 FIXES = (
-    f"f AS (SELECT {', '.join(FIX_COLUMNS)} FROM m WHERE index % 3 <> 0), "
+    f"f AS (SELECT {', '.join(FIX_COLUMNS)} FROM m WHERE pdf_pages >= 13), "
     "l AS (SELECT book_id, orig, fixed, conf FROM (SELECT *, row_number() OVER (PARTITION BY book_id, orig "
     "ORDER BY seq DESC) AS rn FROM f) WHERE rn = 1)"
 )
 
 
 def corrections(man):
-    return man.filter("index % 3 <> 0").selectExpr(*FIX_COLUMNS)
+    return man.filter("pdf_pages >= 13").selectExpr(*FIX_COLUMNS)
 
 
 def _prefixed(x: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -193,6 +195,41 @@ def page_keys(spark, sf_dir):
     return _flags(spark, sf_dir).select("book_id", "page", F.col("n_keys").cast("long").alias("n_keys"))
 
 
+@query("answer_columns", K + " SELECT book_id, page, col, kind = 5 AS is_answer FROM k")
+def answer_columns(spark, sf_dir):
+    """Answers close the column they stand in, not its page."""
+    by_column = replace(rules.CN_EXAM, answer_scope="column")
+    rows = S.build_subpages(strips(spark, sf_dir), t.page_layouts(spark, sf_dir), rules=by_column)
+    return rows.select("book_id", "page", "col", "is_answer")
+
+
+# A line of a question is no name of a volume; two lines of a name belong together.
+_TOP = (
+    "(CASE WHEN coalesce(n_chars, 0) % 2 = 0 THEN '一、公立名校选择题' ELSE '公立名校初一新生' END "
+    f"|| {t.NL} || '私立名校入学考试' || {t.NL} || coalesce(text, ''))"
+)
+
+
+@query(
+    "volume_prefix",
+    "SELECT doc_id, CASE WHEN coalesce(n_chars, 0) % 2 = 0 THEN '' ELSE '公立名校初一新生' END || '私立名校入学考试' AS prefix FROM documents",
+)
+def volume_prefix(spark, sf_dir):
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    return docs.select("doc_id", H.volume_prefix(F.expr(_TOP)).alias("prefix"))
+
+
+# A school's name polluted by Latin letters, digits and brackets: here the source of the document.
+_HALVES = (t.pick("doc_id", ("成都某嘉祥", "自贡某蜀光", "成都某西川")), t.pick("doc_id", ("外国语学校", "中学", "中学")))
+
+
+@query("noisy_school", f"SELECT doc_id, {_HALVES[0]} || {_HALVES[1]} AS school FROM documents")
+def noisy_school(spark, sf_dir):
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", "source")
+    line = F.expr(f"{_HALVES[0]} || ' ' || coalesce(source, '') || ' ' || {_HALVES[1]}")
+    return docs.select("doc_id", T.school_in_noisy_line(line)["school"].alias("school"))
+
+
 _COPIES = 3
 
 

@@ -64,17 +64,21 @@ def layouts(spark, sf_dir):
 
 
 def overrides(spark, sf_dir):
-    """Every third page gets a new layout; some values are invalid, some pages unknown."""
-    vec = t.table(spark, sf_dir, "embeddings").filter("vec_id % 36 = 0")
-    return vec.selectExpr(*OVERRIDE_COLUMNS)
+    """Every page gets a layout by hand; some values are invalid, some pages unknown."""
+    pages = t.table(spark, sf_dir, "embeddings").selectExpr(*PAGE_COLUMNS).distinct()
+    return pages.selectExpr(*OVERRIDE_COLUMNS)
 
 
-OVERRIDE_COLUMNS = (
+PAGE_COLUMNS = (
     "'scan' || CAST(CAST(floor(vec_id / 12) AS BIGINT) % 5 AS STRING) AS book_id",
-    "CAST(CASE WHEN vec_id % 180 = 36 THEN vec_id + 100000 ELSE floor(vec_id / 12) END AS BIGINT) AS page",
-    f"{t.pick('floor(vec_id / 36)', ('1-up', ' 2-up ', '3-up', '4-up'))} AS layout",
+    "CAST(floor(vec_id / 12) AS BIGINT) AS page",
+)
+OVERRIDE_COLUMNS = (
+    "book_id",
+    "CASE WHEN page % 15 = 3 THEN page + 100000 ELSE page END AS page",
+    f"{t.pick('page', ('1-up', ' 2-up ', '3-up', '4-up'))} AS layout",
 )
-OVERRIDES = f"o AS (SELECT {', '.join(OVERRIDE_COLUMNS)} FROM embeddings WHERE vec_id % 36 = 0)"
+OVERRIDES = f"o AS (SELECT {', '.join(OVERRIDE_COLUMNS)} FROM (SELECT DISTINCT {', '.join(PAGE_COLUMNS)} FROM embeddings))"
 
 
 @query("blank_runs", f"WITH {CELLS} SELECT runs.* FROM runs SEMI JOIN eligible USING (book_id, page, band)")

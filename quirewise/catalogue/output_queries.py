@@ -94,7 +94,7 @@ def slice_plan(spark, sf_dir):
 
 @query(
     "whole_page_segments",
-    f"WITH {_CUTS}, x AS (SELECT doc_id AS first, doc_id + 3 AS last, source, doc_id FROM documents WHERE doc_id % 4 = 0), "
+    f"WITH {_CUTS}, x AS (SELECT doc_id AS first, doc_id + 3 AS last, source, doc_id FROM documents), "
     "p AS (SELECT x.doc_id AS idx, x.source AS book_id, unnest(range(first, last + 1)) AS page FROM x), "
     "j AS (SELECT p.book_id, p.idx, p.page, coalesce(c.col, two.n) AS col FROM p "
     "LEFT JOIN c ON c.book_id = p.book_id AND c.page = p.page "
@@ -102,7 +102,7 @@ def slice_plan(spark, sf_dir):
     "SELECT book_id, idx, CAST(row_number() OVER (PARTITION BY book_id, idx ORDER BY page, col) AS INTEGER) AS seq, page, col FROM j",
 )
 def whole_page_segments(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents").select("doc_id", "source").filter("doc_id % 4 = 0")
+    docs = t.table(spark, sf_dir, "documents").select("doc_id", "source")
     exam = docs.selectExpr(
         "source AS book_id", "doc_id AS idx", "CAST(doc_id AS INT) AS start", "CAST(doc_id + 3 AS INT) AS end"
     )

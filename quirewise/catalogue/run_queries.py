@@ -136,3 +136,41 @@ def batch_lookup(spark, sf_dir):
 def batch_rollup(spark, sf_dir):
     states = R.run_states(t.run_log(spark, sf_dir))
     return R.batch_rollup(t.batch_runs(spark, sf_dir), states)
+
+
+# Customers as the runs of a batch per nation; one in debt was never submitted, and counts only if it logged all the same.
+SUBMITTED_COLUMNS = (
+    "'nation' || CAST(c_nationkey AS STRING) AS batch_id",
+    "CAST(c_custkey AS STRING) AS run_id",
+    "c_acctbal >= 0 AS submitted",
+)
+_QUEUE = (
+    f"{EFFECTS}, sr AS (SELECT {', '.join(SUBMITTED_COLUMNS)} FROM customer), "
+    "q AS (SELECT sr.batch_id, sr.run_id, coalesce(status, 'queued') AS status, coalesce(stage, '排队中') AS stage, "
+    "coalesce(progress, 0.0) AS progress, summary_exams, summary_pages FROM sr LEFT JOIN states ON states.run_id = sr.run_id "
+    "WHERE submitted OR states.run_id IS NOT NULL)"
+)
+
+
+def _queue(spark, sf_dir):
+    runs = t.table(spark, sf_dir, "customer").selectExpr(*SUBMITTED_COLUMNS)
+    return runs.drop("submitted"), R.run_states(t.run_log(spark, sf_dir)), runs.filter("submitted")
+
+
+@query("batch_lookup_queued", f"WITH {_QUEUE} SELECT batch_id, run_id, status, stage, round(progress, 6) AS progress FROM q")
+def batch_lookup_queued(spark, sf_dir):
+    """States of submitted runs, with those that have not logged yet."""
+    rows = _rounded(R.batch_rows(*_queue(spark, sf_dir)))
+    return rows.select("batch_id", "run_id", "status", "stage", "progress")
+
+
+@query(
+    "batch_rollup_queued",
+    f"WITH {_QUEUE} SELECT batch_id, count(*) AS total, count(*) FILTER (status IN ('done', 'error')) AS completed, "
+    "count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'queued') AS queued, "
+    "CAST(floor(sum(progress) / count(*) + 0.5) AS BIGINT) AS percent, "
+    "CAST(sum(CASE WHEN status = 'done' THEN coalesce(summary_exams, 0) ELSE 0 END) AS BIGINT) AS exams, "
+    "CAST(sum(CASE WHEN status = 'done' THEN coalesce(summary_pages, 0) ELSE 0 END) AS BIGINT) AS pages FROM q GROUP BY batch_id",
+)
+def batch_rollup_queued(spark, sf_dir):
+    return R.batch_rollup(*_queue(spark, sf_dir))

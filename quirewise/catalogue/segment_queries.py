@@ -188,6 +188,22 @@ def long_exam_check(spark, sf_dir):
     return collection.split_collections(inputs(spark, sf_dir), keep=materialize).verify()[0]
 
 
+# What the relaxed rules read from a column by itself: the year as a session, no school from the whole page.
+@query(
+    "hidden_headers",
+    RUN + ", long AS (SELECT book_id, idx, n_columns FROM exam WHERE n_columns > 4) "
+    "SELECT seg.book_id, seg.idx, seg.page, seg.col, CASE kk.kind WHEN 1 THEN replace(kk.title, '级新初一', '届新初一') "
+    "WHEN 2 THEN '某校' || substr(kk.title, strpos(kk.title, '初')) ELSE kk.title END AS hidden_title "
+    "FROM seg JOIN long ON long.book_id = seg.book_id AND long.idx = seg.idx "
+    "JOIN k AS kk ON kk.book_id = seg.book_id AND kk.page = seg.page AND kk.col = seg.col "
+    "WHERE seq > 1 AND seq < n_columns AND kk.kind IN (0, 1, 2, 3) AND kk.title IS NOT NULL",
+)
+def hidden_headers(spark, sf_dir):
+    """Headers inside long documents, a row each."""
+    found = collection.split_collections(inputs(spark, sf_dir), keep=materialize).verify()[1]
+    return found.select("book_id", "idx", "page", "col", "hidden_title")
+
+
 @query("override_run", run_sql("ko", OVERRIDDEN) + SHOWN)
 def override_run(spark, sf_dir):
     given = inputs(spark, sf_dir)
@@ -251,12 +267,17 @@ def end_to_end_from_rasters(spark, sf_dir):
 # --- recompute ---------------------------------------------------------------------------
 
 
-def layout_corrections(spark, sf_dir):
+def poor_pages(spark, sf_dir):
     """Pages of poor documents are corrected to one column."""
     docs = t.table(spark, sf_dir, "documents").select("doc_id", "source")
     poor = t.table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
-    rows = docs.join(poor, "doc_id", "left_semi").filter("doc_id % 4 <> 3")
-    return rows.selectExpr("source AS book_id", "doc_id AS page", "'1-up' AS layout")
+    return docs.join(poor, "doc_id", "left_semi").selectExpr("source AS book_id", "doc_id AS page", "'1-up' AS layout")
+
+
+def layout_corrections(spark, sf_dir):
+    """Those of them that have a layout to correct; a recompute refuses others."""
+    known = t.page_layouts(spark, sf_dir).select("book_id", "page")
+    return poor_pages(spark, sf_dir).join(known, ["book_id", "page"], "left_semi")
 
 
 _POOR = "SELECT doc_id FROM labels WHERE quality = 0"
@@ -264,13 +285,13 @@ _POOR = "SELECT doc_id FROM labels WHERE quality = 0"
 
 @query(
     "touched_pages",
-    f"SELECT source AS book_id, doc_id AS page, length(text) AS n FROM documents WHERE doc_id IN ({_POOR}) AND doc_id % 4 <> 3",
+    f"SELECT source AS book_id, doc_id AS page, length(text) AS n FROM documents WHERE doc_id IN ({_POOR})",
 )
 def touched_pages(spark, sf_dir):
     docs = t.table(spark, sf_dir, "documents").selectExpr(
         "source AS book_id", "doc_id AS page", "length(text) AS n"
     )
-    return collection.touched(docs, layout_corrections(spark, sf_dir))
+    return collection.touched(docs, poor_pages(spark, sf_dir))
 
 
 @query("recompute_book")
@@ -284,7 +305,7 @@ def recompute_book(spark, sf_dir):
 
 
 # Touched pages are read again as one column; only their books are computed.
-_HIT = f"(doc_id % 4 <> 3 AND doc_id IN ({_POOR}))"
+_HIT = f"({t.LAYOUT} IS NOT NULL AND doc_id IN ({_POOR}))"
 _AGAIN = (
     "SELECT book_id, page, CASE WHEN hit THEN c0 || chr(10) || '正文内容' ELSE c0 END AS c0, CASE WHEN NOT hit THEN c1 END AS c1, "
     "CASE WHEN NOT hit THEN c2 END AS c2, full_text, CASE WHEN hit THEN '1-up' ELSE layout END AS layout, "

@@ -17,6 +17,7 @@ STAGE_READ = "② 高分 OCR（分栏识别校名/届次）"
 STAGE_DETECT = "③ 检测试卷套数 / 起止页"
 STAGE_SPLIT = "④ 拆分成单栏 PDF"
 STAGE_DONE = "完成"
+STAGE_QUEUED = "排队中"
 EXIT_MESSAGE = ("流水线返回非零退出码（", "）。请查看日志。")
 COARSE_STAGES = (
     ("stage 1|layout", "版式识别", 20),
@@ -99,7 +100,7 @@ def run_states(run_log: DataFrame) -> DataFrame:
     return state.select(
         "run_id",
         F.when(F.col("exit_code").isNull(), "running").when(done, "done").otherwise("error").alias("status"),
-        F.coalesce("stage", F.lit("排队中")).alias("stage"),
+        F.coalesce("stage", F.lit(STAGE_QUEUED)).alias("stage"),
         F.coalesce("progress", F.lit(0.0)).alias("progress"),
         "exams",
         # A finished run that printed no summary reports its document count.
@@ -150,7 +151,8 @@ def batch_rows(batch_run: DataFrame, states: DataFrame, registry: DataFrame | No
         return batch_run.join(states, "run_id")
     submitted = registry.select("run_id").union(states.select("run_id")).distinct()
     rows = batch_run.join(submitted, "run_id").join(states, "run_id", "left")
-    return rows.withColumns({"status": F.coalesce("status", F.lit("queued")), "progress": F.coalesce("progress", F.lit(0.0))})
+    at_first = {"status": "queued", "stage": STAGE_QUEUED, "progress": 0.0}
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in at_first.items()})
 
 
 def batch_rollup(batch_run: DataFrame, states: DataFrame, registry: DataFrame | None = None) -> DataFrame:

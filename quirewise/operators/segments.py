@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..rules import CN_EXAM, RuleProfile
-from .headers import PENDING_SUBJECT, relaxed_header, settle_subject
+from .headers import settle_subject
 from .ordered import BLOCK_WIDTH, block_of, salted_lookup
 from .subpages import identity
 
@@ -204,24 +204,22 @@ def interior(segments: DataFrame, exam: DataFrame, longer_than: int) -> DataFram
 def verify_long(
     exam: DataFrame,
     segments: DataFrame,
-    strip: DataFrame,
+    detected: DataFrame,
     subjects: DataFrame | None = None,
     rules: RuleProfile = CN_EXAM,
 ) -> tuple[DataFrame, DataFrame]:
     """(verdict per long document, hidden headers inside).
 
-    Interior columns are read again with the relaxed rules alone.  These were
-    tried on every column already, so only a column that has a key (repeated
-    or overridden) can show a header: those few rows fetch their text.
+    What the relaxed rules alone read from interior columns is among the findings
+    of ``detect_headers``, so no text is read or moved.  Only a column that has a
+    key (repeated or overridden) can show a header: those few rows look it up.
     """
     keyed = interior(segments.filter("key IS NOT NULL"), exam, rules.long_exam_pages)
     inside = keyed.select("book_id", "idx", "page", "col").join(
-        strip.select("book_id", "page", "col", "text"), ["book_id", "page", "col"]
-    )
-    header = relaxed_header(F.col("text"), None, F.lit(PENDING_SUBJECT), rules)
-    hidden = inside.select("book_id", "idx", "page", "col", header["title"].alias("hidden_title")).filter(
-        "hidden_title IS NOT NULL"
+        detected.select("book_id", "page", "alone"), ["book_id", "page"]
     )
+    hidden = inside.select("book_id", "idx", "page", "col", F.get("alone", F.col("col")).alias("hidden_title"))
+    hidden = hidden.filter("hidden_title IS NOT NULL")
     if subjects is None:
         hidden = hidden.withColumn("subject", F.lit(None).cast("string"))
     else:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import explode_once
 from ..rules import CN_EXAM, RuleProfile
-from .headers import HEADER, HEADERS, column_headers, settle_subject
+from .headers import HEADER, HEADERS, PENDING_SUBJECT, column_headers, relaxed_header, settle_subject
 from .layout import columns_per_layout
 from .ordered import salted_lookup
 
@@ -56,15 +56,25 @@ def detect_headers(page_strip: DataFrame, rules: RuleProfile = CN_EXAM) -> DataF
     """The one pass over the texts: headers, answer marks and subject words.
 
     One small row per page and no shuffle: whatever needs other tables (layout,
-    subjects, overrides) is joined to these rows, never to the texts.
+    subjects, overrides) is joined to these rows, never to the texts.  ``alone``
+    is, for a column that shows a header, the title the relaxed rules read from
+    it by itself (T8 asks for it).
     """
     full = F.coalesce("full", F.lit(""))
     cols = F.transform(F.col("cols"), lambda t: F.coalesce(t, F.lit("")))
     pages = page_strip.select("book_id", "page", cols.alias("cols"), full.alias("full"))
+    pages = pages.withColumn("found", column_headers("cols", "full", rules))
+
+    def alone(text: Column, col: Column) -> Column:
+        found = F.get("found", col)
+        shown = (F.size(found["strict"]) > 0) | found["loose"].isNotNull()
+        return F.when(shown, relaxed_header(text, None, F.lit(PENDING_SUBJECT), rules)["title"])
+
     return pages.select(
         "book_id",
         "page",
-        column_headers("cols", "full", rules).alias("found"),
+        "found",
+        F.transform("cols", alone).alias("alone"),
         # The mark may run over the seam between the two texts.
         F.transform(
             "cols", lambda t: T.has_answer_mark(F.concat(t, F.lit("\n"), F.col("full")), rules)
@@ -198,7 +208,7 @@ def page_flags(
         with_heads.withColumn("n_keys", F.size(F.array_distinct(seen)))
         .withColumn("is_toc", (F.col("layout") == "1-up") & (F.col("n_keys") > rules.toc_keys))
         .withColumn("is_answer", F.exists("answers", lambda a: a))
-        .drop("found", "hits", "full_answer", "subject")
+        .drop("found", "alone", "hits", "full_answer", "subject")
     )
 
 

@@ -12,7 +12,6 @@ from ..operators import layout as L
 from ..operators import output, segments, subpages
 from ..operators.ordered import salted_lookup
 from ..rules import CN_EXAM, SCAN, LayoutProfile, RuleProfile
-from ..sources.json_tables import strip_rows
 from ..sources.listing import skip_pages
 from ..sources.raster import ink_profile_of_tiles, tiles
 
@@ -65,9 +64,7 @@ class Result:
 
     def verify(self) -> tuple[DataFrame, DataFrame]:
         """(verdict per long document, hidden headers inside)."""
-        return segments.verify_long(
-            self.exam, self.segments, strip_rows(self.strips), self.subjects, self.rules
-        )
+        return segments.verify_long(self.exam, self.segments, self.detected, self.subjects, self.rules)
 
 
 def _as_is(df: DataFrame, name: str) -> DataFrame:

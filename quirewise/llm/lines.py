@@ -148,8 +148,10 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     text is one empty line, and comes back empty.
     """
     marks = bitmaps.select(*(F.col(c).alias(f"mark_{c}") for c in ("doc_id", "tkey", "n_dropped", "keep")))
-    # The row travels as one value, so no name of it can meet one of ours.
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    # The row travels as one value, so no name of it can meet one of ours; its text goes beside it, once.
+    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    row = F.struct(*(F.col(f"`{c}`") for c in others)).alias("row")
+    rows = docs.select(row, F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tkey", text_key(F.col("text")))
     # Bitmaps grow with the corpus: never broadcast.
     rows = rows.join(marks.hint("merge"), F.col("id").eqNullSafe(F.col("mark_doc_id")) & (F.col("tkey") == F.col("mark_tkey")), "left")
@@ -165,7 +167,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, k) for t, k in zip(text, keep)])
 
-    whole = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    whole = [F.col("row").getField(c).alias(c) for c in others]
     n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
     return rows.select(
         *whole,

@@ -11,6 +11,7 @@ from ..operators.ordered import balanced_lookup, carry_forward, hot_keys, rank_i
 from ..operators.subpages import detect_headers
 from ..plans import collection
 from ..plans.storage import materialize
+from ..rules import CN_EXAM
 from . import layout_queries as LQ
 from . import query
 from . import tables as t
@@ -191,7 +192,7 @@ def long_exam_check(spark, sf_dir):
 # What the relaxed rules read from a column by itself: the year as a session, no school from the whole page.
 @query(
     "hidden_headers",
-    RUN + ", long AS (SELECT book_id, idx, n_columns FROM exam WHERE n_columns > 4) "
+    run_sql("ko", OVERRIDDEN) + ", long AS (SELECT book_id, idx, n_columns FROM exam WHERE n_columns > 2) "
     "SELECT seg.book_id, seg.idx, seg.page, seg.col, CASE kk.kind WHEN 1 THEN replace(kk.title, '级新初一', '届新初一') "
     "WHEN 2 THEN '某校' || substr(kk.title, strpos(kk.title, '初')) ELSE kk.title END AS hidden_title "
     "FROM seg JOIN long ON long.book_id = seg.book_id AND long.idx = seg.idx "
@@ -199,8 +200,9 @@ def long_exam_check(spark, sf_dir):
     "WHERE seq > 1 AND seq < n_columns AND kk.kind IN (0, 1, 2, 3) AND kk.title IS NOT NULL",
 )
 def hidden_headers(spark, sf_dir):
-    """Headers inside long documents, a row each."""
-    found = collection.split_collections(inputs(spark, sf_dir), keep=materialize).verify()[1]
+    """Headers inside documents of more than two columns, a row each; a page titled by hand may hide some."""
+    by_hand = replace(inputs(spark, sf_dir), title_overrides=overrides_by_hand(spark, sf_dir))
+    found = collection.split_collections(by_hand, replace(CN_EXAM, long_exam_pages=2), keep=materialize).verify()[1]
     return found.select("book_id", "idx", "page", "col", "hidden_title")
 
 

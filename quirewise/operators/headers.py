@@ -380,6 +380,24 @@ def _column_headers(_jvm: int, texts: str, full: str, rules: RuleProfile) -> Col
     return F.transform(F.col(texts), one)
 
 
+def titles_alone(texts: str, found: str, rules: RuleProfile = CN_EXAM) -> Column:
+    """Per column that shows a header in ``found``: the title the relaxed rules read from it by itself.
+
+    Built once per JVM, as ``column_headers``; titles may hold PENDING_SUBJECT.
+    """
+    return _titles_alone(id(SparkContext._gateway), texts, found, rules)
+
+
+@functools.lru_cache(maxsize=16)
+def _titles_alone(_jvm: int, texts: str, found: str, rules: RuleProfile) -> Column:
+    def one(text: Column, col: Column) -> Column:
+        h = F.get(found, col)
+        shown = (F.size(h["strict"]) > 0) | h["loose"].isNotNull()
+        return F.when(shown, relaxed_header(text, None, F.lit(PENDING_SUBJECT), rules)["title"])
+
+    return F.transform(texts, one)
+
+
 def settle_subject(title: Column, subject: Column, rules: RuleProfile = CN_EXAM) -> Column:
     """header's own subject (already in), else the book's, else the default."""
     return F.replace(

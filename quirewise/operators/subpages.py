@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import explode_once
 from ..rules import CN_EXAM, RuleProfile
-from .headers import HEADER, HEADERS, PENDING_SUBJECT, column_headers, relaxed_header, settle_subject
+from .headers import HEADER, HEADERS, column_headers, settle_subject, titles_alone
 from .layout import columns_per_layout
 from .ordered import salted_lookup
 
@@ -64,17 +64,11 @@ def detect_headers(page_strip: DataFrame, rules: RuleProfile = CN_EXAM) -> DataF
     cols = F.transform(F.col("cols"), lambda t: F.coalesce(t, F.lit("")))
     pages = page_strip.select("book_id", "page", cols.alias("cols"), full.alias("full"))
     pages = pages.withColumn("found", column_headers("cols", "full", rules))
-
-    def alone(text: Column, col: Column) -> Column:
-        found = F.get("found", col)
-        shown = (F.size(found["strict"]) > 0) | found["loose"].isNotNull()
-        return F.when(shown, relaxed_header(text, None, F.lit(PENDING_SUBJECT), rules)["title"])
-
     return pages.select(
         "book_id",
         "page",
         "found",
-        F.transform("cols", alone).alias("alone"),
+        titles_alone("cols", "found", rules).alias("alone"),
         # The mark may run over the seam between the two texts.
         F.transform(
             "cols", lambda t: T.has_answer_mark(F.concat(t, F.lit("\n"), F.col("full")), rules)

@@ -1,11 +1,11 @@
 """Token ids in training order: a keyed permutation of all sequences, written as fixed-stride shards.
 
-Every sequence has a number (scan partition and place in it); a Feistel network
-over the next even number of bits, walked until it lands inside, sends the
-number to a key.  Equal ranges of keys are shards, each written in order of the
-keys, and the global slot is the rank of the key: the records of the shards
-before it and the place in its own.  A record has one fixed size, so file sizes
-tell the shards' first slots and a reader resumes at any slot by multiplication.
+Sequences are cut and written once, each with its scan partition and place in
+it; counts per partition then number them from 0 to N-1.  A Feistel network over
+the next even number of bits, walked until it lands inside, sends the number to
+its global slot.  Shard and byte offset follow from the slot by division: every
+shard but the last holds the same number of sequences, so a reader resumes at
+any slot by multiplication.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewise.llm.bpe import codec
-from quirewise.llm.common import chunks, doc_rows, mix, partitions, shared_dir, stage_table
+from quirewise.llm.common import chunks, doc_rows, mix, shared_dir, stage_table
 
 #: Ids of vocabularies below 65,535 take two bytes, others four; the largest value pads.
 NARROW, WIDE = "<u2", "<u4"
@@ -82,8 +82,18 @@ def _sequences(path: str, length: int, end_id: int, kind: str):
     return of
 
 
-#: Numbers that a scan partition may give out.
-PER_PARTITION = 1 << 32
+def numbered(sequences: DataFrame) -> tuple[DataFrame, int]:
+    """``sequences`` (part, place, ...) with ``number``, from 0 on by part and place; and how many there are.
+
+    The window runs over one row per scan partition, never over sequences.
+    """
+    counts = sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col("part").alias("of"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    bases = stage_table(bases, "sequence-bases")
+    total = bases.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    both = sequences.join(bases.drop("n"), F.col("part") == F.col("of"))
+    return both.withColumn("number", F.col("base") + F.col("place")).drop("of", "base", "part", "place"), total
 
 
 def write_training_order(
@@ -92,43 +102,44 @@ def write_training_order(
     key: int,
     out: str | None = None,
     length: int = 2048,
-    shards: int | None = None,
+    per_shard: int = 16_384,
     end_id: int = 49407,
     kind: str = NARROW,
 ) -> DataFrame:
-    """Writes the shards and returns one row per sequence: slot, shard, byte_offset, n_tokens, ids_crc32, doc_ids, file.
-
-    ``docs`` has to come from files, so that a repeated task reads the same rows
-    in the same order.  A record is ``length`` little-endian unsigned ids of 16
-    or 32 bits (``kind``); short sequences (one per scan partition at most) end
-    in the largest value.  ``ids_crc32`` is over the ids as stored.  Shard files
-    are written beside their name and then moved, so a repeated task leaves the
-    same file.  A null or empty text is the single id ``end_id``; a document of
-    several sequences is in the ``doc_ids`` of each; an empty table writes
-    nothing.  ``shards`` is the number of shuffle partitions if not given; the
-    folder is ``out`` or a new one under ``spark.checkpoint.dir``.
+    """Writes the shards and returns one row per sequence: slot, number, shard, byte_offset, n_tokens, ids_crc32, doc_ids, file.
+
+    A record is ``length`` little-endian unsigned ids of 16 or 32 bits
+    (``kind``); short sequences (one per scan partition at most) end in the
+    largest value.  ``slot`` is ``permute(number, N, key)``, a shard holds the
+    ``per_shard`` slots from ``shard * per_shard`` on (the last one the rest), and
+    one task writes one shard, so tasks stay of one size at any input.
+    ``ids_crc32`` is over the ids as stored.  Shard files are written beside
+    their name and then moved, so a repeated task leaves the same file; numbers
+    are taken from written sequences, so they are the same in every read.  A null
+    or empty text is the single id ``end_id``; a document of several sequences is
+    in the ``doc_ids`` of each; very long texts run on over as many sequences as
+    they need; rows of equal ids are documents of their own; other columns are
+    not read; an empty table writes nothing.  The folder is ``out`` or a new one
+    under ``spark.checkpoint.dir``.
     """
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    shards = shards or partitions(spark)
-    rows = doc_rows(docs)
-    numbers = max(1, rows.rdd.getNumPartitions()) * PER_PARTITION
-    per_shard = -(-numbers // shards)
     cut = _sequences(path, length, end_id, kind)
     size = np.dtype(kind).itemsize
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first, held = TaskContext.get().partitionId() * PER_PARTITION, []
+        part, first, held = TaskContext.get().partitionId(), 0, []
 
         def emit():
-            keys = permute(np.arange(first, first + len(held)), numbers, key)
             return pa.RecordBatch.from_pydict(
                 {
-                    "shard": pa.array(keys // per_shard),
-                    "key": pa.array(keys),
-                    "ids": pa.array([x for x, _ in held], pa.binary()),
+                    "part": pa.array([part] * len(held), pa.int32()),
+                    "place": pa.array(range(first, first + len(held)), pa.int64()),
+                    # Records are packed one by one, as they are shuffled one by one.
+                    "ids": pa.array([pa.compress(x, "zstd", asbytes=True) for x, _ in held], pa.binary()),
+                    "n_tokens": pa.array([len(x) // size for x, _ in held], pa.int64()),
                     "doc_ids": pa.array([x for _, x in held], pa.list_(pa.int64())),
                 }
             )
@@ -141,8 +152,16 @@ def write_training_order(
         if held:
             yield emit()
 
+    stored = stage_table(doc_rows(docs).mapInArrow(sequences, "part int, place long, ids binary, n_tokens long, doc_ids array<long>"), "sequences")
+    rows, total = numbered(stored)
+    shards = max(1, -(-total // per_shard))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = permute(batch.column("number").to_numpy(), total, key)
+            yield batch.append_column("slot", pa.array(slot)).append_column("shard", pa.array((slot // per_shard).astype(np.int32)))
+
     stride, pad = size * length, pad_of(kind)
-    schema = "shard long, place long, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>, file string"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -150,7 +169,7 @@ def write_training_order(
         store, root = _filesystem(out)
         store.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        shard, handle, name, at = None, None, "", 0
+        shard, handle, name = None, None, ""
 
         def close():
             if handle is not None:
@@ -158,24 +177,22 @@ def write_training_order(
                 store.move(f"{root}/.{name}.{attempt}", f"{root}/{name}")
 
         for batch in batches:
-            numbers, ids = batch.column("shard").to_pylist(), batch.column("ids").to_pylist()
-            places, files, crcs = [], [], []
-            for s, data in zip(numbers, ids):
+            files, crcs = [], []
+            for s, packed, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "ids", "n_tokens"))):
                 if s != shard:
                     close()
-                    shard, name, at = s, f"shard-{s:08d}.bin", 0
+                    shard, name = s, f"shard-{s:08d}.bin"
                     handle = store.open_output_stream(f"{root}/.{name}.{attempt}")
-                handle.write(data + np.full(length - len(data) // size, pad, kind).tobytes())
-                places.append(at)
+                data = pa.decompress(packed, n * size, "zstd", asbytes=True)
+                handle.write(data + np.full(length - n, pad, kind).tobytes())
                 files.append(f"{out}/{name}")
                 crcs.append(zlib.crc32(data))
-                at += 1
+            offsets = batch.column("slot").to_numpy() % per_shard * stride
             yield pa.RecordBatch.from_pydict(
                 {
-                    "shard": pa.array(numbers, pa.int64()),
-                    "place": pa.array(places, pa.int64()),
-                    "byte_offset": pa.array([x * stride for x in places], pa.int64()),
-                    "n_tokens": pa.array([len(x) // size for x in ids], pa.int64()),
+                    **{c: batch.column(c) for c in ("slot", "number", "shard")},
+                    "byte_offset": pa.array(offsets, pa.int64()),
+                    "n_tokens": batch.column("n_tokens"),
                     "ids_crc32": pa.array(crcs, pa.int64()),
                     "doc_ids": batch.column("doc_ids"),
                     "file": pa.array(files, pa.string()),
@@ -183,30 +200,29 @@ def write_training_order(
             )
         close()
 
-    # A shard is one contiguous range of keys; a task writes its shards one by one.
-    keyed = rows.mapInArrow(place, "shard long, key long, ids binary, doc_ids array<long>")
-    written = keyed.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "key").mapInArrow(write, schema)
-    manifest = stage_table(written, "shard-manifest")
-    # One number per shard.
-    counts = sorted((r["shard"], r["n"]) for r in manifest.groupBy("shard").agg(F.count("*").alias("n")).collect())
-    ends = np.cumsum([n for _, n in counts]).tolist()
-    bases = spark.createDataFrame([(s, e - n) for (s, n), e in zip(counts, ends)], "shard long, base long")
-    placed = manifest.join(F.broadcast(bases), "shard")
-    return placed.select((F.col("base") + F.col("place")).alias("slot"), "shard", "byte_offset", "n_tokens", "ids_crc32", "doc_ids", "file")
+    kinds = "number long, n_tokens long, doc_ids array<long>, ids binary, slot long, shard int"
+    keyed = rows.select("number", "n_tokens", "doc_ids", "ids").mapInArrow(slots, kinds)
+    # The shard's number is the number of its task: one contiguous range of slots each.
+    dealt = keyed.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    written = dealt.mapInArrow(write, "slot long, number long, shard int, byte_offset long, n_tokens long, ids_crc32 long, doc_ids array<long>, file string")
+    return stage_table(written, "shard-manifest")
 
 
 def read_slots(folder: str, start: int, stop: int, length: int = 2048, kind: str = NARROW) -> Iterator[np.ndarray]:
-    """The ids of slots ``start`` to ``stop`` - 1 in training order, without padding: how a trainer resumes."""
+    """The ids of slots ``start`` to ``stop`` - 1 in training order, without padding: how a trainer resumes.
+
+    All shards but the last are as long as the first, so slot and shard size name the file and the place in it.
+    """
     store, root = _filesystem(folder)
-    stride, base = np.dtype(kind).itemsize * length, 0
-    files = sorted(store.get_file_info(fs.FileSelector(root)), key=lambda f: f.base_name)
-    for info in (f for f in files if f.base_name.startswith("shard-")):
-        count = info.size // stride
+    stride = np.dtype(kind).itemsize * length
+    files = sorted((f for f in store.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("shard-")), key=lambda f: f.base_name)
+    if not files:
+        return
+    per_shard = files[0].size // stride
+    for shard in range(start // per_shard, min(len(files), -(-stop // per_shard))):
+        base, count = shard * per_shard, files[shard].size // stride
         lo, hi = max(start - base, 0), min(stop - base, count)
-        base += count
-        if lo >= hi:
-            continue
-        with store.open_input_file(info.path) as f:
+        with store.open_input_file(files[shard].path) as f:
             f.seek(lo * stride)
             for _ in range(lo, hi):
                 ids = np.frombuffer(f.read(stride), kind)

@@ -421,18 +421,46 @@ def test_training_order(spark, unique, empty, tmp_path):
     df, rows = unique
     table = str(tmp_path / "docs")
     df.repartition(3).write.parquet(table)
-    out = binary.write_training_order(spark.read.parquet(table), WORDS, key=7, out=str(tmp_path / "out"), length=32, shards=5).collect()
-    by = {r["slot"]: r for r in out}
-    assert sorted(by) == list(range(len(out)))
-    ids = list(binary.read_slots(str(tmp_path / "out"), 0, len(out), 32))
-    assert [zlib.crc32(x.tobytes()) for x in ids] == [by[s]["ids_crc32"] for s in range(len(out))]
-    assert [x.tolist() for x in binary.read_slots(str(tmp_path / "out"), 3, 9, 32)] == [x.tolist() for x in ids[3:9]]
-    total = sum(len(x) // 4 + 1 for x in bpe.WordBpe(WORDS).encode([t or "" for t in rows.values()]))
-    assert sum(map(len, ids)) == total
-    assert {d for r in out for d in r["doc_ids"]} == set(rows)
+    docs = spark.read.parquet(table)
+    out = binary.write_training_order(docs, WORDS, key=7, out=str(tmp_path / "out"), length=32, per_shard=6).collect()
+    by, total = {r["slot"]: r for r in out}, len(out)
+    assert sorted(by) == list(range(total)) and total > 12
+    # Every partition's documents one after another, cut every 32 ids: the numbers; the permutation of the numbers: the slots.
+    codec, want = bpe.WordBpe(WORDS), []
+    for part in docs.select("doc_id", "text").rdd.glom().collect():
+        ids, owners = [], []
+        for r in part:
+            new = [e for e in np.frombuffer(codec.encode([r["text"] or ""])[0], "<u4").tolist()] + [49407]
+            ids += new
+            owners += [r["doc_id"]] * len(new)
+        want += [(ids[i : i + 32], list(dict.fromkeys(owners[i : i + 32]))) for i in range(0, len(ids), 32)]
+    assert total == len(want)
+    slots = binary.permute(np.arange(total), total, 7).tolist()
+    found = list(binary.read_slots(str(tmp_path / "out"), 0, total, 32))
+    for number, (slot, (ids, owners)) in enumerate(zip(slots, want)):
+        row = by[slot]
+        assert found[slot].tolist() == ids and row["n_tokens"] == len(ids) and list(dict.fromkeys(row["doc_ids"])) == owners
+        assert row["ids_crc32"] == zlib.crc32(np.array(ids, "<u2").tobytes())
+        assert (row["number"], row["shard"], row["byte_offset"]) == (number, slot // 6, slot % 6 * 64)
+    sizes = sorted((tmp_path / "out").glob("shard-*.bin"))
+    assert {f.stat().st_size for f in sizes[:-1]} == {6 * 64} and len(sizes) == -(-total // 6)
+    for start, stop in ((3, 9), (0, 1), (5, 6), (6, 6), (total - 1, total + 50), (total, total + 3)):
+        assert [x.tolist() for x in binary.read_slots(str(tmp_path / "out"), start, stop, 32)] == [x.tolist() for x in found[start:stop]]
+    assert set(d for r in out for d in r["doc_ids"]) == set(rows)
     assert binary.write_training_order(empty, WORDS, key=7, out=str(tmp_path / "none")).count() == 0
 
 
+def test_training_order_of_rows_without_names(spark, tmp_path):
+    """Null ids, repeated rows, columns named like ours: all are documents, each once."""
+    rows = [(None, "a b c", 1), (None, "a b c", 1), (4, None, 2), (4, "", 3), (5, "word " * 300, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int").withColumnRenamed("part", "slot")
+    out = binary.write_training_order(df, WORDS, key=1, out=str(tmp_path / "out"), length=16, per_shard=4).collect()
+    codec = bpe.WordBpe(WORDS)
+    want = sum(len(x) // 4 + 1 for x in codec.encode([t or "" for _, t, _ in rows]))
+    assert sum(r["n_tokens"] for r in out) == want
+    assert sorted(r["slot"] for r in out) == list(range(len(out)))
+
+
 def test_word_ids_equal_the_library():
     codec = bpe.WordBpe(WORDS)
     texts = [t or "" for _, t in awkward()] + ["It's I'LL Äöü ΣΑΣ don't<|endoftext|> 12a0", "a" * 500]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirewise.llm.common import WordHashes, chunks, components, doc_rows, grams, mix, partitions, stage_table, word_hashes
+from quirewise.llm.common import WordHashes, chunks, components, doc_rows, freed, grams, mix, partitions, stage_table, word_hashes
 
 #: Slots of the table of shingle counts (16 MB), and buckets of the suffix filter.
 COUNT_BITS = 22
@@ -114,10 +114,10 @@ def _corpus(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
             packed = np.minimum(total, 2**32 - 1).astype("<u4").tobytes()
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([packed], pa.binary())})
 
-    table = stage_table(rows.mapInArrow(of, schema), "sets")
+    table = stage_table(rows.mapInArrow(freed(of), schema), "sets")
     blocks = table.filter("block is not null").select("block", "counts").repartition(partitions(docs.sparkSession), "block")
     counts = np.zeros(1 << COUNT_BITS, np.uint32)
-    for r in blocks.mapInArrow(add, "block int, counts binary").collect():
+    for r in blocks.mapInArrow(freed(add), "block int, counts binary").collect():
         counts[r["block"] : r["block"] + (1 << 16)] = np.frombuffer(bytes(r["counts"]), "<u4")
     return table.filter("block is null").drop("block", "counts"), counts
 
@@ -144,7 +144,7 @@ def _postings(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
                 types = (np.int64, np.int64, np.int64, np.int32, np.int32)
                 yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v).astype(t)) for c, v, t in zip(names, cols, types)})
 
-    return doc_rows(docs).mapInArrow(of, "gram long, s1 long, s2 long, n int, pos int")
+    return doc_rows(docs).mapInArrow(freed(of), "gram long, s1 long, s2 long, n int, pos int")
 
 
 PAIR = "a1 long, a2 long, b1 long, b2 long"
@@ -289,7 +289,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, contents: DataFrame, percent: i
             yield pa.RecordBatch.from_pydict({"a": kept.column("node_a"), "b": kept.column("node_b")})
 
     joined = near.join(full("a"), ["a1", "a2"]).join(full("b"), ["b1", "b2"])
-    return joined.select("node_a", "node_b", "set_a", "set_b").mapInArrow(count, "a long, b long")
+    return joined.select("node_a", "node_b", "set_a", "set_b").mapInArrow(freed(count), "a long, b long")
 
 
 def _bits_of(s1: np.ndarray) -> np.ndarray:
@@ -327,7 +327,7 @@ def _membership(keys: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"block": pa.array([at], pa.int32()), "bits": pa.array([zlib.compress(data.tobytes(), 1)], pa.binary())})
 
     schema = "block int, bits binary"
-    parts = keys.select("s1").mapInArrow(of, schema).repartition(partitions(keys.sparkSession), "block").mapInArrow(merge, schema)
+    parts = keys.select("s1").mapInArrow(freed(of), schema).repartition(partitions(keys.sparkSession), "block").mapInArrow(freed(merge), schema)
     packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for r in parts.collect():
         packed[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
@@ -363,7 +363,7 @@ def _contents(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
                 cols = {"s1": [keys[i][0] for i in hit], "s2": [keys[i][1] for i in hit]}
                 yield pa.RecordBatch.from_pydict({**{c: pa.array(v, pa.int64()) for c, v in cols.items()}, "shingles": pa.array([sets[i].astype("<u8").tobytes() for i in hit], pa.binary())})
 
-    return doc_rows(docs).mapInArrow(of, "s1 long, s2 long, shingles binary")
+    return doc_rows(docs).mapInArrow(freed(of), "s1 long, s2 long, shingles binary")
 
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -383,7 +383,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sets = stage_table(sets, "distinct-sets")
 
     lists = _postings(docs, n, percent, counts).repartition(partitions(spark), "gram").sortWithinPartitions("gram", "s1", "s2")
-    found = stage_table(lists.mapInArrow(_first_pairs(percent), PAIR + ", gram long, s1 long, s2 long, n int, pos int"), "prefix-pairs")
+    found = stage_table(lists.mapInArrow(freed(_first_pairs(percent)), PAIR + ", gram long, s1 long, s2 long, n int, pos int"), "prefix-pairs")
     pairs = stage_table(found.filter("a1 is not null").select("a1", "a2", "b1", "b2").distinct(), "candidate-pairs")
     longer = found.filter("gram is not null").select("gram", "s1", "s2", "n", "pos")
 
@@ -403,7 +403,7 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         if not open_lists.limit(1).count():
             break
         labelled = labelled.join(open_lists, "gram", "left_semi").repartition(partitions(spark), "gram").sortWithinPartitions("gram", "s1", "s2")
-        more = stage_table(labelled.mapInArrow(_further_pairs(percent, begin, end), PAIR).distinct(), "further-pairs")
+        more = stage_table(labelled.mapInArrow(freed(_further_pairs(percent, begin, end)), PAIR).distinct(), "further-pairs")
         fresh = stage_table(_verified(more, sets, contents, percent), "links")
         if fresh.limit(1).count():
             links = links.union(fresh)

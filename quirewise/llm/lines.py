@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirewise.llm.common import NULL_ID, SPACES, ascii_lower, doc_rows, partitions, stage_table, text_key
+from quirewise.llm.common import NULL_ID, SPACES, ascii_lower, doc_rows, freed, partitions, stage_table, text_key
 
 RUNS = "part int, edge boolean, h1 long, h2 long, doc_id long, tkey long, pos int, n_lines int, first boolean, run_docs long, first_doc long, last_doc long"
 
@@ -102,7 +102,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
     spark = docs.sparkSession
     order = ["h1", "h2", "doc_id", "tkey", "pos"]
     hashes = line_hashes(docs, min_chars).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    runs = stage_table(hashes.mapInArrow(_stream(min_docs), RUNS), "line-runs")
+    runs = stage_table(hashes.mapInArrow(freed(_stream(min_docs)), RUNS), "line-runs")
     inside = runs.filter("not edge").select("doc_id", "tkey", "pos", "n_lines", "first")
     # One row per partition and edge run: at most two per partition.
     ends = runs.filter("edge").groupBy("h1", "h2", "part").agg(

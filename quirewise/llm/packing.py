@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewise.llm.bpe import codec
-from quirewise.llm.common import chunks, doc_rows, partitions, stage_table
+from quirewise.llm.common import chunks, doc_rows, freed, partitions, stage_table
 
 PIECES = "doc_id long, tkey long, piece int, start long, length long, ids_crc32 long"
 
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, ke
             yield pa.RecordBatch.from_pydict(cols)
 
     rows = doc_rows(docs).withColumn("tkey", F.xxhash64("text"))
-    return rows.mapInArrow(of, PIECES + ", ids binary" * keep_ids)
+    return rows.mapInArrow(freed(of), PIECES + ", ids binary" * keep_ids)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
@@ -144,7 +144,7 @@ def pack(table: DataFrame, capacity: int = 4096) -> DataFrame:
     order = [c for c in ("doc_id", "tkey", "piece") if c in table.columns] or ["length"]
     rows = ranked(table, "length", order)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "rank")
-    return rows.mapInArrow(place, fields + ", sequence_id long, offset long")
+    return rows.mapInArrow(freed(place), fields + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

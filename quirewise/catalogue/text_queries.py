@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import explode_once
-from ..rules import FIX_PAIRS, LATIN, SUBJECT_FIX_PAIRS, WS_CHARS
+from ..rules import CN_EXAM_STRICT, FIX_PAIRS, LATIN, SUBJECT_FIX_PAIRS, WS_CHARS
 from . import query
 from . import tables as t
 
@@ -453,3 +453,91 @@ def parse_title(spark, sf_dir):
         spark, sf_dir, PARSE_INPUT, T.parse_title(g).alias("p"), T.prefix_year(g).alias("raw_prefixed")
     )
     return rows.select("doc_id", "p.school", "p.branch", "p.year", "raw_prefixed")
+
+
+# --- rules over every line of the texts ---------------------------------------------------
+
+#: A scanned line as the rules meet it: something in front, a misreading, the document's own line, a year.
+SCANNED = (
+    f"({t.pick('n', ('⑫', '（12） ', '', '3、', '四', '四川', '人的 龟', '”ab', '  '))} || "
+    f"{t.pick('doc_id + n', _SOURCES + ('',))} || line || ' ' || CAST(2010 + (doc_id + n) % 35 AS STRING) || "
+    f"{t.pick('doc_id + n', ('届', ' 级', '', 'fe 真卷', '', '分班'))})"
+)
+FOLLOWING = f"({t.pick('n', ('', '新初一', '', '分班'))} || following)"
+_SCANNED_SQL = (
+    f"{LINES}, near AS (SELECT doc_id, n, line, lead(line, 1, '') OVER (PARTITION BY doc_id ORDER BY n) AS following FROM solid), "
+    f"src AS (SELECT doc_id, n, {SCANNED} AS given, {FOLLOWING} AS following FROM near)"
+)
+
+
+def scanned_lines(spark, sf_dir):
+    """doc_id, n, given, following: every line that is not blank, of every text, and the one after it."""
+
+    def pairs(solid):
+        following = lambda i: F.coalesce(F.get(solid, i + 1), F.lit(""))
+        return F.transform(solid, lambda x, i: F.struct(x.alias("line"), following(i).alias("following")))
+
+    rows = explode_once(documents(spark, sf_dir), ["doc_id"], T.bind(T.nonblank_lines(F.col("text")), pairs), "n", "pair")
+    rows = rows.select("doc_id", "n", "pair.line", "pair.following")
+    return rows.selectExpr("doc_id", "n", f"{SCANNED} AS given", f"{FOLLOWING} AS following")
+
+
+@query(
+    "line_corrections",
+    f"WITH {_SCANNED_SQL}, fixed AS (SELECT doc_id, n, given, {fix_sql('given')} AS fixed FROM src) "
+    f"SELECT doc_id, n, fixed, {nested_replace('given', SUBJECT_FIX_PAIRS)} AS subject_fixed, {lead_sql('given')} AS bare, "
+    f"trim(regexp_replace({lead_sql('fixed')}, '{_WSRE}+', ' ', 'g'), '{WS_CHARS}') AS title FROM fixed",
+)
+def line_corrections(spark, sf_dir):
+    g = F.col("given")
+    return scanned_lines(spark, sf_dir).select(
+        "doc_id", "n",
+        T.apply_fix(g).alias("fixed"), T.fix_subject(g).alias("subject_fixed"),
+        T.strip_lead(g).alias("bare"), T.normalize_title(g).alias("title"),
+    )
+
+
+@query(
+    "line_years",
+    f"WITH {_SCANNED_SQL} SELECT doc_id, n, {years_sql('given')} AS year, {relaxed_sql('given', 'following')} AS relaxed FROM src",
+)
+def line_years(spark, sf_dir):
+    g = F.col("given")
+    return scanned_lines(spark, sf_dir).select(
+        "doc_id", "n", T.year_from_line(g).alias("year"), T.year_relaxed(g, F.col("following")).alias("relaxed")
+    )
+
+
+# The strict profile's misfires, each beside the spelling that has to stay.
+_MISFIRES = ("验外国学校", "实验外国学校", "北第二外国语学院", "北第二外国语学院附属中学", "外国语学院", "外国语学", "西川", "西川学", "学木", "")
+STRICT = f"({t.pick('doc_id + n', _MISFIRES)} || line || {t.pick('n', ('初 2026届', '2026届', ' 12026届', '初2027 届', '初  2028届', '2031级'))})"
+
+
+def strict_sql(x: str) -> str:
+    """F1 of the strict profile without look-ahead."""
+    x = nested_replace(x, [p for p in FIX_PAIRS if p[0] not in ("验外国学校", "北第二外国语学院")])
+    x = f"regexp_replace({x}, '实?验外国学校', '实验外国语学校', 'g')"
+    x = f"replace(replace({x}, '北第二外国语学院附属中学', '¤'), '北第二外国语学院', '北京第二外国语学院附属中学')"
+    x = f"replace({x}, '¤', '北第二外国语学院附属中学')"
+    x = rf"replace(regexp_replace({x}, '外国语学([校院])', '¶\1', 'g'), '外国语学', '外国语学校')"
+    x = rf"regexp_replace(replace({x}, '¶', '外国语学'), '西川(中|外国|学)', '§\1', 'g')"
+    return f"replace(replace({x}, '西川', '西川中学'), '§', '西川')"
+
+
+def strict_year_sql(x: str) -> str:
+    x = rf"regexp_replace({x}, '([0-9]{{5,}})届', '\1†届', 'g')"
+    return rf"replace(regexp_replace({x}, '(初{_WSRE}*)?([0-9]{{4}})届', '初\2届', 'g'), '†', '')"
+
+
+@query(
+    "line_corrections_strict",
+    f"WITH {LINES}, src AS (SELECT doc_id, n, {STRICT} AS given FROM solid) "
+    f"SELECT doc_id, n, {strict_sql('given')} AS fixed, {strict_year_sql('given')} AS dated FROM src",
+)
+def line_corrections_strict(spark, sf_dir):
+    """F1 and F18 of the profile whose misfires are repaired."""
+    rows = explode_once(documents(spark, sf_dir), ["doc_id"], T.nonblank_lines(F.col("text")), "n", "line")
+    g = F.col("given")
+    return rows.selectExpr("doc_id", "n", f"{STRICT} AS given").select(
+        "doc_id", "n", T.apply_fix(g, CN_EXAM_STRICT).alias("fixed"), T.prefix_year(g, CN_EXAM_STRICT).alias("dated")
+    )

@@ -54,10 +54,7 @@ def run_progress(spark, sf_dir):
 
 
 def _log_stream(spark, sf_dir):
-    events = (
-        spark.readStream.schema(t.LOG_SOURCE).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
-    return events.selectExpr(*t.LOG_COLUMNS)
+    return t.arriving(spark, sf_dir, "events", t.LOG_SOURCE).selectExpr(*t.LOG_COLUMNS)
 
 
 @query("run_progress_stream", STATES)

@@ -264,8 +264,7 @@ def replace_books(spark, sf_dir):
 def stream_books_query(spark, sf_dir):
     """Documents arriving as a file stream, one override making a book one document."""
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    texts = arriving.selectExpr("source AS book_id", "doc_id AS page", "array(text) AS cols", "'' AS full")
+    texts = t.arriving(spark, sf_dir, "documents", schema).selectExpr("source AS book_id", "doc_id AS page", "array(text) AS cols", "'' AS full")
 
     def split(batch):
         pages = batch.selectExpr("book_id", "page", "CAST(600 AS DOUBLE) AS width", "CAST(800 AS DOUBLE) AS height")

@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arriving(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    """A table as a stream of its files, be it one file or a folder of them.
+
+    The braces make the path a pattern, which only this name fits: Spark takes a
+    plain path of a stream for a folder, and the files of a folder have other names.
+    """
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}.parquet}}")
+
+
 # --- page texts out of documents ---------------------------------------------
 
 NL = "chr(10)"

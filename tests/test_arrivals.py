@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quirewise.catalogue import tables as t
 from quirewise.operators import runs as R
 from quirewise.plans import collection
 from quirewise.plans.storage import materialize
@@ -66,3 +67,17 @@ def test_long_documents_are_verified_without_their_texts(spark):
     # Findings are read from the written table; no scan asks for a text.
     plan = hidden._jdf.queryExecution().optimizedPlan().toString()
     assert "cols#" not in plan and "full#" not in plan
+
+
+def test_a_table_streams_from_a_file_and_from_a_folder(spark, tmp_path):
+    for name, parts in (("file", 1), ("folder", 3)):
+        spark.range(30).repartition(parts).write.parquet(str(tmp_path / name / "ids.parquet"))
+    part = next((tmp_path / "file" / "ids.parquet").glob("*.parquet"))
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "ids.parquet").write_bytes(part.read_bytes())
+    (tmp_path / "folder" / "other.parquet").write_bytes(part.read_bytes())
+    for name in ("one", "folder"):
+        rows = t.arriving(spark, str(tmp_path / name), "ids", "id long")
+        out, offsets = str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-offsets")
+        rows.writeStream.format("parquet").option("checkpointLocation", offsets).trigger(availableNow=True).start(out).awaitTermination()
+        assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(30))

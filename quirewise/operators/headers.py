@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,9 +25,8 @@ from ..rules import (
 HEADER = "struct<school:string,branch:string,year:string,title:string,volume:boolean>"
 HEADERS = f"array<{HEADER}>"
 # Cheap necessary conditions, tried before anything is normalised.
-FOUR_DIGITS = "[0-9０-９](?:[^0-9０-９]*+[0-9０-９]){3}"
-STRICT_GATE = T.SCHOOL_HINT_CHARS
-RELAXED_GATE = "[学中川届级班卷初]"
+FOUR_DIGITS = "^(?:[^0-9０-９]*+[0-9０-９]){4}"
+RELAXED_HINTS = T.SCHOOL_HINTS + "届级班卷初"
 NONE = lambda: F.lit(None).cast(HEADER)
 
 
@@ -80,9 +79,12 @@ def strict_header(line: Column, rules: RuleProfile = CN_EXAM) -> Column:
     )
 
 
-def strict_headers(text: Column, rules: RuleProfile = CN_EXAM) -> Column:
+def strict_headers(text: Column, rules: RuleProfile = CN_EXAM, all_lines: Column | None = None) -> Column:
     """H1 + W6 + U2: distinct header candidates of a text, in order.
 
+    ``all_lines`` are the lines of the text where the caller has them already; they
+    may be null for a text without any of ``RELAXED_HINTS``.
+
     Only lines with a school character or a subtitle word can start, extend or
     complete a header; the fold runs over those.  Each gets three tries, in
     order: extend the held header, stand alone, form a pair with the next
@@ -102,7 +104,7 @@ def strict_headers(text: Column, rules: RuleProfile = CN_EXAM) -> Column:
         return F.coalesce(T.is_short_subtitle(x, rules=rules), F.lit(False))
 
     def relevant(ls: Column) -> Column:
-        told = f"{T.SCHOOL_HINT_CHARS}|{any_of(rules.subtitle_hints)}"
+        told = any_of((*T.SCHOOL_HINTS, *rules.subtitle_hints))
         found = F.filter(
             F.transform(ls, lambda x, i: F.struct(x.alias("t"), i.alias("i"))),
             lambda x: x["t"].rlike(told),
@@ -168,110 +170,120 @@ def strict_headers(text: Column, rules: RuleProfile = CN_EXAM) -> Column:
             F.size(rel) > 0, F.aggregate(turns, zero, lambda acc, m: step(acc, m, rel), finish)
         ).otherwise(empty)
 
+    long_lines = T.of_length(T.lines(text) if all_lines is None else all_lines, 4)
     return F.when(
-        text.rlike(STRICT_GATE) & text.rlike(FOUR_DIGITS),
-        bind(T.min_length_lines(text, 4), lambda ls: bind(relevant(ls), fold)),
+        T.holds_any(text, T.SCHOOL_HINTS) & text.rlike(FOUR_DIGITS),
+        bind(long_lines, lambda ls: bind(relevant(ls), fold)),
     ).otherwise(empty)
 
 
 # --- relaxed ----------------------------------------------------------------
 
 
-def relaxed_header(
-    text: Column,
-    full: Column | None = None,
-    book_subject: Column | None = None,
-    rules: RuleProfile = CN_EXAM,
-) -> Column:
-    """H2: header with parts lost.
+def _top_lines(all_lines: Column, rules: RuleProfile) -> Column:
+    return F.slice(T.strip_noise(T.nonblank(all_lines), rules), 1, rules.top_band + 5)
 
-    The year of the result is null when only the neighbourhood vouched for the
-    school and no year was near; the caller may fill it from the page (W8).
-    """
-    band = rules.top_band
-    subject = F.lit(None).cast("string") if book_subject is None else book_subject
-    no_school = F.lit(None).cast("struct<school:string,branch:string>")
 
-    def facts(ls: Column) -> Column:
-        """What each top line shows."""
-
-        def one(x: Column, i: Column) -> Column:
-            in_band = i < band
-            nxt = F.coalesce(F.get(ls, i + 1), F.lit(""))
-
-            def dated(yl: Column) -> Column:
-                y = T.year_relaxed(x, nxt, rules, strict=yl)
-                return F.struct(
-                    x.alias("t"),
-                    F.when(
-                        in_band & T.may_hold_school(x) & ~T.is_body_line(x, 45, rules),
-                        T.school_in_first(F.array(T.noisy_reading(x), x), rules),
-                    ).alias("so"),
-                    y.alias("y"),
-                    (in_band & ~T.is_body_line(x, 60, rules)).alias("title_like"),
-                    F.when(in_band, yl).alias("yl"),
-                    T.has_subtitle(x, rules).alias("sub"),
-                )
+def _facts(ls: Column, rules: RuleProfile) -> Column:
+    """What each top line shows."""
 
-            return bind(T.year_from_line(x, rules), dated)
+    def one(x: Column, i: Column) -> Column:
+        in_band = i < rules.top_band
+        nxt = F.coalesce(F.get(ls, i + 1), F.lit(""))
+        school = F.when(
+            in_band & T.may_hold_school(x) & ~T.is_body_line(x, 45, rules),
+            T.school_in_first(F.array(T.noisy_reading(x), x), rules),
+        )
 
-        return F.transform(ls, one)
+        def dated(yl: Column) -> Column:
+            y = T.year_relaxed(x, nxt, rules, strict=yl)
+            return F.struct(x.alias("t"), school.alias("so"), y.alias("y"), F.when(in_band, yl).alias("yl"))
 
-    def blob_at(v: Column, i: Column) -> Column:
-        return F.array_join(F.transform(T.around(v, i), lambda x: x["t"]), "\n")
+        return bind(T.year_from_line(x, rules), dated)
 
-    def first_index(v: Column, test) -> Column:
+    return F.transform(ls, one)
+
+
+def _around_at(v: Column, i: Column) -> Column:
+    return F.array_join(F.transform(T.around(v, i), lambda x: x["t"]), "\n")
+
+
+def _finding(v: Column, full: Column | None, rules: RuleProfile) -> Column:
+    """What a detector finds in the facts before the title is built: the line the title is
+    read around, the school, the school without the whole-page text, and the year."""
+    no_school = F.lit(None).cast("struct<school:string,branch:string>")
+
+    def first_index(test) -> Column:
         index = F.sequence(F.lit(0), F.size(v) - 1)
         return F.get(F.filter(index, lambda i: test(F.get(v, i), i)), F.lit(0))
 
-    # A detector's finding before the title is built: the line the title is
-    # read around, the school and the year.
-    def finding(at: Column, so: Column, year: Column) -> Column:
-        return F.struct(at.alias("at"), so.alias("so"), year.alias("year"))
+    def finding(at: Column, so: Column, own: Column, year: Column) -> Column:
+        return F.struct(at.alias("at"), so.alias("so"), own.alias("own"), year.alias("year"))
 
-    def strong(v: Column, yi: Column) -> Column:
+    def strong(yi: Column) -> Column:
         def with_school(si: Column) -> Column:
+            own = F.get(v, si)["so"]
             lost = no_school if full is None else T.school_in_full_text(full, rules)
-            so = F.when(si.isNotNull(), F.get(v, si)["so"]).otherwise(lost)
-            return finding(F.greatest(F.coalesce(si, F.lit(-1)), yi), so, F.get(v, yi)["y"])
+            so = F.when(si.isNotNull(), own).otherwise(lost)
+            return finding(F.greatest(F.coalesce(si, F.lit(-1)), yi), so, own, F.get(v, yi)["y"])
 
-        return bind(first_index(v, lambda x, i: x["so"].isNotNull()), with_school)
+        return bind(first_index(lambda x, i: x["so"].isNotNull()), with_school)
 
-    def vouched(v: Column, i: Column) -> Column:
+    def vouched(i: Column) -> Column:
         """A subtitle or a marks-and-minutes line close to the school line."""
-        near = T.around(v, i)
-        return F.exists(near, lambda x: x["sub"]) | bind(
-            blob_at(v, i), lambda b: b.rlike(FULL_MARKS) & b.rlike(TIME_LIMIT)
+        return F.exists(T.around(v, i), lambda x: T.has_subtitle(x["t"], rules)) | bind(
+            _around_at(v, i), lambda b: b.rlike(FULL_MARKS) & b.rlike(TIME_LIMIT)
         )
 
-    def medium(v: Column) -> Column:
+    def medium() -> Column:
         def with_year(i: Column) -> Column:
             after = F.filter(F.slice(v, i + 1, 5), lambda x: x["y"].isNotNull())
             top = F.filter(v, lambda x: x["yl"].isNotNull())
             year = F.coalesce(F.get(after, F.lit(0))["y"], F.get(top, F.lit(0))["yl"])
-            return F.when(i.isNotNull(), finding(i, F.get(v, i)["so"], year))
+            so = F.get(v, i)["so"]
+            return F.when(i.isNotNull(), finding(i, so, so, year))
+
+        return bind(first_index(lambda x, i: x["so"].isNotNull() & vouched(i)), with_year)
 
-        return bind(first_index(v, lambda x, i: x["so"].isNotNull() & vouched(v, i)), with_year)
+    def title_like(x: Column, i: Column) -> Column:
+        return x["y"].isNotNull() & (i < rules.top_band) & ~T.is_body_line(x["t"], 60, rules)
+
+    found = bind(first_index(title_like), lambda yi: F.when(yi.isNotNull(), strong(yi)).otherwise(medium()))
+    return F.when(F.size(v) > 0, found)
+
+
+def _relaxed_title(blob: Column, f: Column, so: Column, subject: Column, rules: RuleProfile) -> Column:
+    school = F.coalesce(so["school"], F.lit(rules.unnamed_school))
+    return T.canonical_title(blob, school, so["branch"], f["year"], subject, rules)
+
+
+def _relaxed_header(blob: Column, f: Column, subject: Column, rules: RuleProfile) -> Column:
+    school = F.coalesce(f["so"]["school"], F.lit(rules.unnamed_school))
+    title = _relaxed_title(blob, f, f["so"], subject, rules)
+    return F.when(f.isNotNull(), _header(school, f["so"]["branch"], f["year"], title))
+
+
+def relaxed_header(
+    text: Column,
+    full: Column | None = None,
+    book_subject: Column | None = None,
+    rules: RuleProfile = CN_EXAM,
+) -> Column:
+    """H2: header with parts lost.
+
+    The year of the result is null when only the neighbourhood vouched for the
+    school and no year was near; the caller may fill it from the page (W8).
+    """
+    subject = F.lit(None).cast("string") if book_subject is None else book_subject
 
     def titled(v: Column, f: Column) -> Column:
-        school = F.coalesce(f["so"]["school"], F.lit(rules.unnamed_school))
-        branch = f["so"]["branch"]
-        title = bind(
-            blob_at(v, f["at"]),
-            lambda b: T.canonical_title(b, school, branch, f["year"], subject, rules),
-        )
-        return F.when(f.isNotNull(), _header(school, branch, f["year"], title))
+        return bind(_around_at(v, f["at"]), lambda b: _relaxed_header(b, f, subject, rules))
 
     def detect(v: Column) -> Column:
-        year_line = first_index(v, lambda x, i: x["title_like"] & x["y"].isNotNull())
-        found = bind(
-            year_line, lambda yi: F.when(yi.isNotNull(), strong(v, yi)).otherwise(medium(v))
-        )
-        return F.when(F.size(v) > 0, bind(found, lambda f: titled(v, f)))
+        return bind(_finding(v, full, rules), lambda f: titled(v, f))
 
-    top_lines = F.slice(T.strip_noise(T.nonblank_lines(text), rules), 1, band + 5)
     return F.when(
-        text.rlike(RELAXED_GATE), bind(top_lines, lambda ls: bind(facts(ls), detect))
+        T.holds_any(text, RELAXED_HINTS), bind(_top_lines(T.lines(text), rules), lambda ls: bind(_facts(ls, rules), detect))
     )
 
 
@@ -346,56 +358,67 @@ def volume_header(texts: Column, rules: RuleProfile = CN_EXAM) -> Column:
 PENDING_SUBJECT = "\ufdd0"
 
 
-def column_headers(texts: str, full: str, rules: RuleProfile = CN_EXAM) -> Column:
-    """H4 over the column texts of a page: strict candidates, else one relaxed
-    or volume header.
+def with_column_headers(pages: DataFrame, rules: RuleProfile = CN_EXAM) -> DataFrame:
+    """H4 over the columns of pages (cols, full): strict candidates, else one relaxed
+    or volume header, as ``headers``.
 
-    array<struct<strict: array, loose: header>>; ``loose`` is looked for only
-    when no strict candidate exists, and its title may hold PENDING_SUBJECT.
-    The arguments are column names, so the expression is the same for every
-    table and is built once per JVM.
+    array<struct<strict: array, f, blob, loose: header>>; ``loose`` is looked for only
+    when no strict candidate exists, and its title may hold PENDING_SUBJECT; ``f`` and
+    ``blob`` are what the relaxed rules found before the title.  A text is cut into
+    lines once and its lines are judged once.  Every step is a column of its own:
+    lambdas inside one another are analysed anew at every level.
     """
-    return _column_headers(id(SparkContext._gateway), texts, full, rules)
+    for step in _steps(id(SparkContext._gateway), rules):
+        pages = pages.withColumn("headers", step)
+    return pages
 
 
 @functools.lru_cache(maxsize=16)
-def _column_headers(_jvm: int, texts: str, full: str, rules: RuleProfile) -> Column:
-    def one(text: Column) -> Column:
-        return bind(
-            strict_headers(text, rules),
-            lambda hs: F.struct(
-                hs.alias("strict"),
-                F.when(
-                    F.size(hs) == 0,
-                    F.coalesce(
-                        relaxed_header(text, F.col(full), F.lit(PENDING_SUBJECT), rules),
-                        volume_header(F.array(text), rules),
-                    ),
-                )
-                .otherwise(NONE())
-                .alias("loose"),
-            ),
-        )
+def _steps(_jvm: int, rules: RuleProfile) -> tuple[Column, ...]:
+    """Built once per JVM; names and rules are all they depend on."""
 
-    return F.transform(F.col(texts), one)
+    def cut(text: Column) -> Column:
+        # Either kind of header needs one of these signs.
+        return F.struct(text.alias("text"), F.when(T.holds_any(text, RELAXED_HINTS), T.lines(text)).alias("lines"))
 
+    def strict(c: Column) -> Column:
+        return F.struct(c["text"].alias("text"), c["lines"].alias("lines"), strict_headers(c["text"], rules, c["lines"]).alias("strict"))
 
-def titles_alone(texts: str, found: str, rules: RuleProfile = CN_EXAM) -> Column:
-    """Per column that shows a header in ``found``: the title the relaxed rules read from it by itself.
+    def judged(c: Column) -> Column:
+        facts = F.when(c["lines"].isNotNull(), bind(_top_lines(c["lines"], rules), lambda ls: _facts(ls, rules)))
+        return F.struct(c["text"].alias("text"), c["strict"].alias("strict"), facts.alias("v"))
 
-    Built once per JVM, as ``column_headers``; titles may hold PENDING_SUBJECT.
-    """
-    return _titles_alone(id(SparkContext._gateway), texts, found, rules)
+    def found(c: Column) -> Column:
+        f = F.when(c["v"].isNotNull(), _finding(c["v"], F.col("full"), rules))
+        return F.struct(c["text"].alias("text"), c["strict"].alias("strict"), c["v"].alias("v"), f.alias("f"))
 
+    def around(c: Column) -> Column:
+        blob = F.when(c["f"].isNotNull(), _around_at(c["v"], c["f"]["at"]))
+        return F.struct(c["text"].alias("text"), c["strict"].alias("strict"), c["f"].alias("f"), blob.alias("blob"))
 
-@functools.lru_cache(maxsize=16)
-def _titles_alone(_jvm: int, texts: str, found: str, rules: RuleProfile) -> Column:
-    def one(text: Column, col: Column) -> Column:
-        h = F.get(found, col)
-        shown = (F.size(h["strict"]) > 0) | h["loose"].isNotNull()
-        return F.when(shown, relaxed_header(text, None, F.lit(PENDING_SUBJECT), rules)["title"])
+    def loose(c: Column) -> Column:
+        relaxed = _relaxed_header(c["blob"], c["f"], F.lit(PENDING_SUBJECT), rules)
+        other = F.when(F.size(c["strict"]) == 0, F.coalesce(relaxed, volume_header(F.array(c["text"]), rules)))
+        return F.struct(c["strict"].alias("strict"), c["f"].alias("f"), c["blob"].alias("blob"), other.alias("loose"))
+
+    later = [F.transform("headers", step) for step in (strict, judged, found, around, loose)]
+    return F.transform("cols", cut), *later
+
+
+def titles_alone(headers: str, rules: RuleProfile = CN_EXAM) -> Column:
+    """Per column that shows a header in ``headers`` (of ``with_column_headers``): the title the relaxed rules read from it by itself.
+
+    Titles may hold PENDING_SUBJECT.
+    """
+
+    def one(c: Column) -> Column:
+        same = c["f"]["own"].isNotNull() | c["f"]["so"].isNull()
+        title = F.when((F.size(c["strict"]) == 0) & same, c["loose"]["title"]).otherwise(
+            _relaxed_title(c["blob"], c["f"], c["f"]["own"], F.lit(PENDING_SUBJECT), rules)
+        )
+        return F.when(c["f"].isNotNull(), title)
 
-    return F.transform(texts, one)
+    return F.transform(headers, one)
 
 
 def settle_subject(title: Column, subject: Column, rules: RuleProfile = CN_EXAM) -> Column:

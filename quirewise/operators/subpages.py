@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import explode_once
 from ..rules import CN_EXAM, RuleProfile
-from .headers import HEADER, HEADERS, column_headers, settle_subject, titles_alone
+from .headers import HEADER, HEADERS, settle_subject, titles_alone, with_column_headers
 from .layout import columns_per_layout
 from .ordered import salted_lookup
 
@@ -63,12 +63,12 @@ def detect_headers(page_strip: DataFrame, rules: RuleProfile = CN_EXAM) -> DataF
     full = F.coalesce("full", F.lit(""))
     cols = F.transform(F.col("cols"), lambda t: F.coalesce(t, F.lit("")))
     pages = page_strip.select("book_id", "page", cols.alias("cols"), full.alias("full"))
-    pages = pages.withColumn("found", column_headers("cols", "full", rules))
+    pages = with_column_headers(pages, rules)
     return pages.select(
         "book_id",
         "page",
-        "found",
-        titles_alone("cols", "found", rules).alias("alone"),
+        F.transform("headers", lambda h: F.struct(h["strict"].alias("strict"), h["loose"].alias("loose"))).alias("found"),
+        titles_alone("headers", rules).alias("alone"),
         # The mark may run over the seam between the two texts.
         F.transform(
             "cols", lambda t: T.has_answer_mark(F.concat(t, F.lit("\n"), F.col("full")), rules)

@@ -130,3 +130,24 @@ def test_nest_strips(spark):
     strip = spark.createDataFrame([("b", 1, 1, "y"), ("b", 1, 0, "x")], "book_id string, page int, col int, text string")
     row = S.nest_strips(strip).head()
     assert (row["cols"], row["full"]) == (["x", "y"], "")
+
+
+def test_lines_are_judged_once_for_both_titles(spark, monkeypatch):
+    from dataclasses import replace
+
+    from quirewise.functions import text as T
+    from quirewise.operators.subpages import detect_headers
+    from quirewise.rules import CN_EXAM
+
+    judged, real = [], T.strip_noise
+    monkeypatch.setattr(T, "strip_noise", lambda *a: judged.append(1) or real(*a))
+    rules = replace(CN_EXAM, year_max=2038)
+    school = "成都某七中育才学校"
+    texts = [f"{A}\n正文", f"{school}\n满分：120 时间：90分钟", "2026 届新初一分班真卷闫语", "正文", None]
+    pages = spark.createDataFrame([("b", 1, texts, "成都 吕 西川 2027\nx")], "book_id string, page int, cols array<string>, full string")
+    row = detect_headers(pages, rules).head()
+    assert len(judged) == 1
+    alone = spark.createDataFrame([(t or "",) for t in texts], "t string").select(H.relaxed_header(F.col("t"), None, F.lit(H.PENDING_SUBJECT), rules)["title"])
+    assert row["alone"] == [r[0] for r in alone.collect()]
+    assert [len(f["strict"]) for f in row["found"]] == [1, 0, 0, 0, 0]
+    assert [f["loose"] and f["loose"]["school"] for f in row["found"]] == [None, school, "成都某西川中学", None, None]

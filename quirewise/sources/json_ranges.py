@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import holds_any
 from ..plans.storage import materialize
 
 #: Elements of one written file.
@@ -42,7 +43,8 @@ def _part(path: Column) -> Column:
 
 def _balance(outside: Column) -> Column:
     """Brackets opened less brackets closed."""
-    return F.length(F.translate(outside, "]}", "")) - F.length(F.translate(outside, "[{", ""))
+    difference = F.length(F.translate(outside, "]}", "")) - F.length(F.translate(outside, "[{", ""))
+    return F.when(holds_any(outside, "[]{}"), difference).otherwise(0)
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -52,13 +54,17 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("n"), F.col("value").alias("piece"),
     )
     # An escape is a backslash and one more sign, which is never a comma, so none is cut.
-    bare = rows.withColumn("bare", F.regexp_replace("piece", r"(?s)\\.", ""))
-    string = '(?s)"[^"]*("|$)'
-    return bare.select(
-        "file", "split", "n", "piece", (F.length("bare") - F.length(F.translate("bare", '"', ""))).alias("quotes"),
-        _balance(F.regexp_replace("bare", string, "")).alias("outside"),
-        _balance(F.regexp_replace(F.regexp_replace("bare", '(?s)^[^"]*("|$)', ""), string, "")).alias("inside"),
-    )
+    # Most pieces are prose without a sign that counts; byte searches tell them from the rest.
+    escaped = F.contains("piece", F.lit("\\"))
+    bare = rows.withColumn("bare", F.when(escaped, F.regexp_replace("piece", r"(?s)\\.", "")).otherwise(F.col("piece")))
+    bare = bare.withColumn("quotes", F.length("bare") - F.length(F.replace("bare", F.lit('"'), F.lit(""))))
+    string, plain = '(?s)"[^"]*("|$)', F.col("quotes") == 0
+    outside = F.when(plain, F.col("bare")).otherwise(F.regexp_replace("bare", string, ""))
+    inside = F.when(plain, "").otherwise(F.regexp_replace(F.regexp_replace("bare", '(?s)^[^"]*("|$)', ""), string, ""))
+    texts = bare.withColumns({"__outside": outside, "__inside": inside})
+    return texts.select(
+        "file", "split", "n", "piece", "quotes", _balance(F.col("__outside")).alias("outside"), _balance(F.col("__inside")).alias("inside")
+    )
 
 
 def _starts(cut: DataFrame, local: Column) -> DataFrame:

@@ -54,15 +54,14 @@ def stream_tail(run_log: DataFrame, n: int = 500, salts: int = 16) -> DataFrame:
     """
 
     def keep(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame({"seq": [], "line": []}).astype({"seq": "int64", "line": "object"})
-        if state.exists:
-            seqs, lines = state.get
-            held = pd.DataFrame({"seq": list(seqs), "line": list(lines)})
+        # Plain lists: most keys have a few rows, and a frame costs more than they do.
+        held = list(zip(*state.get)) if state.exists else []
         for batch in batches:
-            both = pd.concat([held, batch[["seq", "line"]]], ignore_index=True)
-            held = both.sort_values("seq").tail(n)
-        state.update((held["seq"].tolist(), held["line"].tolist()))
-        yield pd.DataFrame({"run_id": key[0], "seq": held["seq"], "line": held["line"]})
+            held += zip(batch["seq"].tolist(), batch["line"].tolist())
+            held = sorted(held, key=lambda row: row[0])[-n:]
+        seqs, lines = [seq for seq, _ in held], [line for _, line in held]
+        state.update((seqs, lines))
+        yield pd.DataFrame({"run_id": key[0], "seq": seqs, "line": lines})
 
     return (
         run_log.select(

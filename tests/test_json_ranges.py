@@ -111,11 +111,9 @@ def test_no_files_with_elements(spark, tmp_path):
 
 
 def test_pieces_of_prose_are_not_searched_by_patterns(spark, tmp_path):
-    from quirewise.sources import json_ranges as R
-
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "x.json").write_text('[{"a": "one, two [three, four\\" five", "b": [1, 2]}, "]"]')
-    rows = R.pieces(spark, str(tmp_path))
+    rows = R.pieces(spark, str(tmp_path / "b"))
     got = [(r.piece, r.quotes, r.outside, r.inside) for r in rows.orderBy("n").collect()]
     assert got == [
         ('[{"a": "one', 3, 2, 0), (" two [three", 0, 1, 0), (' four\\" five"', 1, 0, 0), (' "b": [1', 2, 1, 0), (" 2]}", 0, -2, 0), (' "]"]', 2, -1, -1),

@@ -2,6 +2,7 @@
 
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,27 @@ def test_state_ends_with_its_run(spark, stores, tmp_path):
     got = progress.newest_lines(spark.read.parquet(out).drop("batch").withColumn("line", F.col("line")), 6)
     cols = ["run_id", "seq", "line"]
     assert {tuple(r) for r in got.select(cols).collect()} == {tuple(r) for r in log_tail(log, 6).select(cols).collect()}
+
+
+def test_a_key_of_a_tail_is_kept_without_frames(spark, monkeypatch):
+    class Captured:
+        """Stands for the frames up to the stateful operator and gives its function."""
+
+        select = groupBy = lambda self, *a: self
+        applyInPandasWithState = lambda self, fn, *a: fn
+
+    class State:
+        exists, get = True, ([4, 6], ["d", None])
+
+        def update(self, value):
+            self.value = value
+
+    def refuse(*a, **k):
+        raise AssertionError("a frame was put together for one key")
+
+    keep, state = progress.stream_tail(Captured(), 3), State()
+    batches = [pd.DataFrame({"seq": s, "line": x}) for s, x in (([7, 1], ["g", "a"]), ([5], ["e"]))]
+    monkeypatch.setattr(pd, "concat", refuse)
+    (out,) = keep(("r", 0), iter(batches), state)
+    assert state.value == ([5, 6, 7], ["e", None, "g"])
+    assert out.to_dict("list") == {"run_id": ["r"] * 3, "seq": [5, 6, 7], "line": ["e", None, "g"]}

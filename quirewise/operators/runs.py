@@ -152,7 +152,7 @@ def batch_rows(batch_run: DataFrame, states: DataFrame, registry: DataFrame | No
     submitted = registry.select("run_id").union(states.select("run_id")).distinct()
     rows = batch_run.join(submitted, "run_id").join(states, "run_id", "left")
     at_first = {"status": "queued", "stage": STAGE_QUEUED, "progress": 0.0}
-    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in at_first.items()})
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in at_first.items() if c in rows.columns})
 
 
 def batch_rollup(batch_run: DataFrame, states: DataFrame, registry: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ document depends on all text before it, but only through two numbers that add up
 quotes (their parity says whether a place is inside a string) and brackets outside
 strings.  Every split is summed up for both parities, the sums of the splits of a
 file are combined in order, and then each split finds its elements by itself; only
-the first and last piece of a split meet those of its neighbours.
+the first and last piece of a split meet those of its neighbours.  The task that reads
+a split has its pieces in order, so it sums and cuts them as they pass: no text is
+shuffled, and beside the file only the pieces at the ends of splits are stored.
 
 Writing: a document is one array per (book, part), its lines put together row by
 row, so no element list is ever held.  Spark's output committer makes a task's files
@@ -15,11 +17,16 @@ visible once, whichever attempt wrote them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import holds_any
-from ..plans.storage import materialize
+from ..plans.storage import freed_shuffles, materialize
 
 #: Elements of one written file.
 PART_ROWS = 4096
@@ -67,15 +74,124 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _starts(cut: DataFrame, local: Column) -> DataFrame:
-    """file, split, parity and depth at the beginning of every split."""
-    # What a split adds to the depth if it starts outside (0) or inside (1) a string.
-    effect = [F.sum(F.when(local % 2 == s, F.col("outside")).otherwise(F.col("inside"))) for s in (0, 1)]
-    sums = cut.groupBy("file", "split").agg(F.sum("quotes").alias("quotes"), effect[0].alias("depth0"), effect[1].alias("depth1"))
-    past = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+def _runs(batch: pa.RecordBatch, *keys: str) -> list[tuple[int, int]]:
+    """Begin and end of the rows that stand together with equal keys, none of them null."""
+    n = batch.num_rows
+    new = np.zeros(max(n - 1, 0), bool)
+    for key in keys:
+        c = batch.column(key)
+        new |= pc.not_equal(c.slice(1), c.slice(0, max(n - 1, 0))).to_numpy(zero_copy_only=False)
+    at = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+    return [*zip(at, at[1:])] if n else []
+
+
+def _counts(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("quotes", "outside", "inside")]
+
+
+SPLIT_SUMS = "file string, split long, n long, head binary, quotes long, depth0 long, depth1 long"
+CUT = "sid long, k long, text binary, rest boolean"
+
+
+def _split_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split: its pieces and the first of them, its quotes, and what it adds to the depth if it starts outside (0) or inside (1) a string."""
+    at, head, sums = None, b"", np.zeros(4, np.int64)
+
+    def summed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[c.split()[0] for c in SPLIT_SUMS.split(", ")])
+
+    for batch in batches:
+        done = []
+        files, splits = batch.column("file"), batch.column("split")
+        quotes, outside, inside = _counts(batch)
+        for a, b in _runs(batch, "file", "split"):
+            if (key := (files[a].as_py(), splits[a].as_py())) != at:
+                done += [(*at, int(sums[0]), head, *sums[1:].tolist())] if at else []
+                at, head, sums = key, batch.column("piece")[a].as_py(), np.zeros(4, np.int64)
+            q, o, i = quotes[a:b], outside[a:b], inside[a:b]
+            even = (np.cumsum(q) - q + sums[1]) % 2 == 0
+            sums += (b - a, q.sum(), np.where(even, o, i).sum(), np.where(even, i, o).sum())
+        if done:
+            yield summed(done)
+    if at:
+        yield summed([(*at, int(sums[0]), head, *sums[1:].tolist())])
+
+
+def _joined(pieces: pa.Array, bounds: list[int]) -> pa.Array:
+    """The pieces between two bounds each, as one text with its commas."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pieces), b",")
+
+
+def _cut_rows(sid: int, first: int, texts: pa.Array, rest: bool = False) -> pa.RecordBatch:
+    n = len(texts)
+    columns = [pa.array(np.full(n, sid, np.int64)), pa.array(np.arange(first, first + n, dtype=np.int64)), texts, pa.array(np.full(n, rest))]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CUT.split(", ")])
+
+
+def _cut(whole: bool):
+    """The pieces of splits to rows (sid, k, text, rest): the elements that stand in one split, or the ends of splits.
+
+    ``k`` is the number of element ends before it in its split.  The ends of a split are
+    the text before its first element end, unless the file begins there, and a row with
+    the number of all its element ends, ``rest`` if pieces follow these, and their text
+    unless they are a whole element, as the file ends there.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first, last, parity, depth, k, held, rest = None, False, False, 0, 0, 0, [], False
+
+        def closed() -> list[pa.RecordBatch]:
+            entire = rest and last and (first or k > 0)
+            if at is None or whole and not entire:
+                return []
+            text = b",".join(held) if rest and whole == entire else None
+            return [_cut_rows(at, k, pa.array([text], pa.binary()), rest)]
+
+        for batch in batches:
+            done = []
+            sids, pieces = batch.column("sid"), batch.column("piece")
+            quotes, outside, inside = _counts(batch)
+            for a, b in _runs(batch, "sid"):
+                if sids[a].as_py() != at:
+                    done += closed()
+                    at, first, last, parity, depth = (batch.column(c)[a].as_py() for c in ("sid", "first", "last", "parity", "depth"))
+                    k, held, rest = 0, [], False
+                q = quotes[a:b]
+                so_far = np.cumsum(q) + parity
+                level = depth + np.cumsum(np.where((so_far - q) % 2 == 0, outside[a:b], inside[a:b]))
+                ends = (np.flatnonzero((so_far % 2 == 0) & (level == 1)) + 1).tolist()
+                parity, depth = int(so_far[-1] % 2), int(level[-1])
+                mine = pieces.slice(a, b - a)
+                if ends:
+                    if whole == (first or k > 0):
+                        text = b",".join([*held, _joined(mine, [0, ends[0]])[0].as_py()])
+                        done.append(_cut_rows(at, k, pa.array([text], pa.binary())))
+                    if whole and len(ends) > 1:
+                        done.append(_cut_rows(at, k + 1, _joined(mine, ends)))
+                    k, held, rest = k + len(ends), [], False
+                if (after := ends[-1] if ends else 0) < b - a:
+                    rest, began = True, first or k > 0
+                    if began if whole else not (began and last):
+                        held.append(_joined(mine, [after, b - a])[0].as_py())
+            if done:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        yield from closed()
+
+    return of
+
+
+def _starts(sums: DataFrame) -> DataFrame:
+    """Of every split: sid, file, split, parity and depth at its beginning, whether it is the first or last of its file, and of what its file opens with."""
+    in_file = Window.partitionBy("file").orderBy("split")
+    past = in_file.rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("parity", F.coalesce(F.sum("quotes").over(past), F.lit(0)) % 2)
     depth = F.sum(F.when(F.col("parity") == 0, F.col("depth0")).otherwise(F.col("depth1"))).over(past)
-    return sums.select("file", "split", "parity", F.coalesce(depth, F.lit(0)).alias("depth"))
+    head = F.col("head").cast("string")
+    opening = F.regexp_extract(head, "^[\\s\ufeff]*([\\[{])", 1).alias("opening")
+    blank = ((F.col("n") == 1) & head.rlike("^[\\s\ufeff]*[\\[{]\\s*[\\]}]\\s*$")).alias("blank")
+    ends = [F.lag("split").over(in_file).isNull().alias("first"), F.lead("split").over(in_file).isNull().alias("last")]
+    return sums.select(F.monotonically_increasing_id().alias("sid"), "file", "split", "parity", F.coalesce(depth, F.lit(0)).alias("depth"), *ends, opening, blank)
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
@@ -88,42 +204,38 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     a file that ends inside a string or bracket raises no error, its open rest is its last element.
     Lists and texts in an element stay whole, so an element has to fit into a row.
     """
-    by_split = Window.partitionBy("file", "split").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = pieces(spark, path).withColumn("so_far", F.sum("quotes").over(by_split))
-    starts = materialize(_starts(cut, F.col("so_far") - F.col("quotes")), "json-splits")
-    rows = cut.join(starts, ["file", "split"])
-    parity = (F.col("parity") + F.col("so_far") - F.col("quotes")) % 2
-    rows = rows.withColumn("level", F.col("depth") + F.sum(F.when(parity == 0, F.col("outside")).otherwise(F.col("inside"))).over(by_split))
-    ends = ((F.col("parity") + F.col("so_far")) % 2 == 0) & (F.col("level") == 1)
-    earlier = by_split.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"ends": ends.cast("int"), "k": F.coalesce(F.sum(ends.cast("int")).over(earlier), F.lit(0))})
-    # Whole elements and the fragments at both ends of a split.
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "piece"))), lambda p: p["piece"]), ",")
-    parts = rows.groupBy("file", "split", "k").agg(text.alias("text"), F.max("ends").alias("ends"))
-    parts = materialize(parts, "json-parts")
-    edge = parts.groupBy("file", "split").agg(F.max("k").alias("last"), F.sum("ends").alias("n_ends"))
-    past = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("before", F.coalesce(F.sum("n_ends").over(past), F.lit(0)))
-    # An element has the number of element ends before it, in whichever split its pieces are.
-    placed = parts.join(edge, ["file", "split"]).withColumn("at", F.col("before") + F.col("k"))
-    inner = (F.col("k") > 0) & (F.col("k") < F.col("last"))
-    joint = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("split", "text"))), lambda p: p["text"]), ",")
-    outer = placed.filter(~inner).groupBy("file", "at").agg(joint.alias("text"))
-    whole = placed.filter(inner).select("file", "at", "text").unionByName(outer)
+    cut = pieces(spark, path).withColumn("piece", F.col("piece").cast("binary"))
+    starts = materialize(_starts(cut.select("file", "split", "piece", "quotes", "outside", "inside").mapInArrow(_split_sums, SPLIT_SUMS)), "json-splits")
+    # One row a split, as many as the driver plans.  The pieces have to stay in their tasks and in order,
+    # and a shuffle would break both, so these rows are always copied to the tasks.
+    begun = cut.join(F.broadcast(starts.drop("opening", "blank")), ["file", "split"])
+    begun = begun.select("sid", "first", "last", "parity", "depth", "piece", "quotes", "outside", "inside")
+    edges = materialize(begun.mapInArrow(_cut(False), CUT), "json-edges")
 
-    place = F.struct("split", "k")
-    opening = F.min_by(F.regexp_extract("text", "^[\\s\ufeff]*([\\[{])", 1), place)
-    blank = F.min_by(F.col("text").rlike("^[\\s\ufeff]*[\\[{]\\s*[\\]}]\\s*$"), place)
-    files = placed.groupBy("file").agg(F.max("at").alias("final"), opening.alias("opening"), blank.alias("blank"))
+    # An element has the number of element ends before it, in whichever split its pieces are.
+    ends = edges.groupBy("sid").agg(F.max("k").alias("n_ends"), F.max_by("rest", "k").alias("rest"))
+    past = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = starts.join(ends, "sid").withColumn("before", F.coalesce(F.sum("n_ends").over(past), F.lit(0)))
+    final = F.max(F.col("before") + F.col("n_ends") - (~F.col("rest")).cast("int")).alias("final")
+    files = splits.groupBy("file").agg(final, F.max_by("opening", "first").alias("opening"), F.max_by("blank", "first").alias("blank"))
     files = files.filter(~((F.col("final") == 0) & F.col("blank"))).withColumns({"book_id": _book(F.col("file")), "part": _part(F.col("file"))})
     by_book = Window.partitionBy("book_id").orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("offset", F.coalesce(F.sum(F.col("final") + 1).over(by_book), F.lit(0)))
+    of_file = ("file", "book_id", "final", "opening", "offset")
+    places = materialize(splits.select("file", "sid", "split", "before").join(files, "file").select("sid", "split", "before", *of_file), "json-places")
+
+    # Elements that stand in one split, and those put together from the ends of splits.
+    inner = begun.mapInArrow(_cut(True), CUT).join(F.broadcast(places), "sid")
+    placed = ((F.col("before") + F.col("k")).alias("at"), *of_file, F.col("text").cast("string").alias("text"))
+    joint = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("split", "text"))), lambda p: p["text"]), ",")
+    outer = edges.filter("text IS NOT NULL").join(places, "sid").select("split", *placed)
+    whole = inner.select(*placed).unionByName(outer.groupBy("at", *of_file).agg(joint.alias("text")))
 
     body = F.when(F.col("at") == 0, F.regexp_replace("text", "^[\\s\ufeff]*[\\[{]", "")).otherwise(F.col("text"))
     body = F.when(F.col("at") == F.col("final"), F.regexp_replace(body, "[\\]}]\\s*$", "")).otherwise(body)
     body = F.regexp_replace(body, "^\\s+|\\s+$", "")
     json = F.when(F.col("opening") == "{", F.concat(F.lit("{"), body, F.lit("}"))).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    return whole.join(files, "file").select("book_id", (F.col("at") + F.col("offset")).alias("seq"), json.alias("json"))
+    return whole.select("book_id", (F.col("at") + F.col("offset")).alias("seq"), json.alias("json"))
 
 
 def write_elements(rows: DataFrame, path: str, order: str, element: Column, brackets: str = "[]", part_rows: int = PART_ROWS) -> None:
@@ -134,12 +246,23 @@ def write_elements(rows: DataFrame, path: str, order: str, element: Column, brac
     ``"key": value`` where ``brackets`` are those of an object.  A null book has
     Spark's folder of nulls; a book without rows has no file.
     """
-    parts = rows.select("book_id", F.floor(F.col(order) / part_rows).cast("long").alias("part"), F.col(order).alias("at"), element.alias("json"))
+    parts = rows.select("book_id", _part_of(F.col(order), part_rows), F.col(order).alias("at"), element.alias("json"))
+    _write_parts(parts, path, brackets)
+
+
+def _part_of(order: Column, part_rows: int) -> Column:
+    return F.floor(order / part_rows).cast("long").alias("part")
+
+
+def _write_parts(parts: DataFrame, path: str, brackets: str = "[]") -> None:
+    """Write rows (book_id, part, at, json); what was shuffled for it goes when the files stand."""
     in_part = Window.partitionBy("book_id", "part").orderBy("at")
     opened = F.when(F.lag("at").over(in_part).isNull(), F.lit(brackets[0])).otherwise(F.lit(""))
     closed = F.when(F.lead("at").over(in_part).isNull(), F.lit(brackets[1])).otherwise(F.lit(","))
     lines = parts.select("book_id", "part", "at", F.concat(opened, "json", closed).alias("value"))
-    lines.sortWithinPartitions("book_id", "part", "at").drop("at").write.mode("overwrite").partitionBy("book_id", "part").text(path)
+    lines = lines.sortWithinPartitions("book_id", "part", "at").drop("at")
+    with freed_shuffles(parts.sparkSession):
+        lines.write.mode("overwrite").partitionBy("book_id", "part").text(path)
 
 
 EXAM_FIELDS = ("start", "end", "school", "branch", "year", "title", "segments")
@@ -154,13 +277,16 @@ def write_exam_sets(exam: DataFrame, segments: DataFrame, path: str, part_rows:
     page, col.  An exam without segments has an empty list.  Nulls are written.
     """
     pairs = F.transform(F.sort_array(F.collect_list(F.struct("seq", "page", "col"))), lambda s: F.array(s["page"], s["col"]))
-    nested = segments.groupBy("book_id", "idx").agg(pairs.cast("array<array<int>>").alias("segments")).alias("s")
-    same = F.col("e.book_id").eqNullSafe(F.col("s.book_id")) & (F.col("e.idx") == F.col("s.idx"))
-    both = exam.alias("e").join(nested, same, "left")
-    plain = [F.col(f"e.{c}").alias(c) for c in EXAM_FIELDS[:-1]]
-    listed = F.coalesce("s.segments", F.array().cast("array<array<int>>")).alias("segments")
-    rows = both.select("e.book_id", "e.idx", F.to_json(F.struct(*plain, listed), WITH_NULLS).alias("json"))
-    write_elements(rows, path, "idx", F.col("json"), part_rows=part_rows)
+    nested = segments.filter("idx IS NOT NULL").groupBy("book_id", "idx").agg(pairs.cast("array<array<int>>").alias("segments"))
+    # The list of an exam's segments stands before it in its part, so texts are shuffled once, to where they are written.
+    key = ("book_id", _part_of(F.col("idx"), part_rows), F.col("idx").alias("at"))
+    exams = exam.select(*key, F.struct(*EXAM_FIELDS[:-1]).alias("plain"))
+    both = exams.unionByName(nested.select(*key, "segments"), allowMissingColumns=True).repartition("book_id", "part")
+    of_exam = Window.partitionBy("book_id", "part", "at").orderBy(F.col("plain").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = both.withColumn("segments", F.last("segments", ignorenulls=True).over(of_exam)).filter("plain IS NOT NULL")
+    listed = F.coalesce("segments", F.array().cast("array<array<int>>")).alias("segments")
+    json = F.to_json(F.struct("plain.*", listed), WITH_NULLS)
+    _write_parts(rows.select("book_id", "part", "at", json.alias("json")), path)
 
 
 def write_manifest(manifest: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:

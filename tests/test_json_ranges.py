@@ -1,12 +1,15 @@
 """JSON documents by ranges against json.loads, and round trips of the writers."""
 
 import json
+import os
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from quirewise.plans.storage import shared_dir
 from quirewise.sources import json_ranges as R
 from quirewise.sources import json_tables as J
 
@@ -105,6 +108,52 @@ def test_round_trips(spark, splits, tmp_path):
     assert Counter(map(str, again.select(*strips.columns).collect())) == Counter(map(str, strips.collect()))
 
 
+def test_texts_are_stored_once(spark, tmp_path):
+    """Beside the files there are neither stage tables nor shuffle files of their texts."""
+
+    def shuffled():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        names = env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {n: os.path.getsize(n) for n in names if "/shuffle_" in n and os.path.exists(n)}
+
+    def stored(folder):
+        return sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(folder) for f in names)
+
+    rng = random.Random(8)
+    rows = [("b", i, i, i, None, None, None, ", ".join(rng.randbytes(30).hex() for _ in range(60))) for i in range(400)]
+    exam = spark.createDataFrame(rows, "book_id string, idx int, start int, end int, school string, branch string, year string, title string")
+    segments = spark.createDataFrame([("b", i, 1, i, 0) for i in range(400)], "book_id string, idx int, seq int, page int, col int")
+    before, path = shuffled(), str(tmp_path / "exams")
+    R.write_exam_sets(exam.repartition(2), segments, path, part_rows=100)
+    for _ in range(100):  # the files are removed in the background
+        if not (left := shuffled().keys() - before.keys()):
+            break
+        time.sleep(0.1)
+    assert not left
+    written = stored(path)
+    assert written > 1_000_000
+    stages = shared_dir(spark).removeprefix("file:")
+    had = stored(stages)
+    found = R.elements(spark, path).select("seq", F.get_json_object(F.expr("substring(json, 2, length(json) - 2)"), "$.title").alias("title"))
+    assert {(r["seq"], r["title"]) for r in found.collect()} == {(r[1], r[-1]) for r in rows}
+    assert stored(stages) - had < written / 10
+    assert sum(size for name, size in shuffled().items() if name not in before) < written / 10
+
+
+def test_segments_meet_the_exams_of_their_number(spark, tmp_path):
+    plain = "start int, end int, school string, branch string, year string, title string"
+    exam = [("b", 1, "x"), ("b", 1, "y"), (None, 1, "n"), (None, 2, "m"), ("c", 9, "z")]
+    exam = spark.createDataFrame([(b, i, i, i, None, None, None, t) for b, i, t in exam], f"book_id string, idx int, {plain}")
+    segments = [("b", 1, 2, 8, 1), ("b", 1, 1, 7, 0), (None, 1, 1, 5, 0), ("b", 2, 1, 6, 0), ("c", None, 1, 4, 0), ("gone", 9, 1, 3, 0)]
+    segments = spark.createDataFrame(segments, "book_id string, idx int, seq int, page int, col int")
+    R.write_exam_sets(exam, segments, str(tmp_path / "x"), part_rows=4)
+    got = {}
+    for r in R.elements(spark, str(tmp_path / "x")).collect():
+        (one,) = json.loads(r["json"])
+        got[r["book_id"], one["title"]] = one["segments"]
+    assert got == {("b", "x"): [[7, 0], [8, 1]], ("b", "y"): [[7, 0], [8, 1]], (None, "n"): [[5, 0]], (None, "m"): [], ("c", "z"): []}
+
+
 def test_no_files_with_elements(spark, tmp_path):
     write(tmp_path, "a", [])
     assert R.elements(spark, str(tmp_path)).count() == 0
